@@ -183,7 +183,8 @@ def _grow(x: pd.DataFrame, bad: np.ndarray, cuts: int, most: int) -> Rule:
                 high = v > limit
                 p, n = int(y[high].sum()), int((~y[high]).sum())
                 for above, a, b in ((True, p, n), (False, p0 - p, n0 - n)):
-                    if (g := _gain(a, b, p0, n0)) > best:
+                    g = _gain(a, b, p0, n0)
+                    if g > best or above and add and g == best and (f, True) == (add.feature, add.above):  # of equal limits the one that rejects least
                         best, add = g, Condition(f, above, float(limit))
         if add is None:
             break
