@@ -109,10 +109,9 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> D
     many = F.lit(max(2, total // 1000))
     values = [c for c in classes.columns if c not in (key, "n")]
     hot = classes.where(F.col("n") >= many).select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
-    cold = classes.where(F.col("n") < many).select(F.col(key).alias("_key"), F.lit(False).alias("_salt"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    cold = classes.where(F.col("n") < many).select(F.col(key).cast("string").alias("_key"), *(F.col(c).alias(f"_cold_{c}") for c in values))
     out = rows.join(F.broadcast(hot), key, "left")
-    # rows that have their class get no key here and are dealt out by chance
-    out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key))).withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.hash(*rows.columns), F.lit(4096)) + 1))
-    cold = cold.drop("_salt").withColumn("_spread", F.lit(0))
-    out = out.join(cold, ["_key", "_spread"], "left")
+    # rows that have their class by now get a key of their own, which deals them out by chance
+    own = F.concat(F.lit("#"), F.xxhash64(*rows.columns).cast("string"))
+    out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(own)).join(cold, "_key", "left")
     return out.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))
