@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.shared import BLOB, n_buckets, pack, unpack, write_table
+from attesta.llm.shared import BLOB, pack, partitions, unpack, write_table
 from attesta.llm.textnum import LOWER, SPACE, Texts, mix, same, texts, words
 
 VOCAB, PER_CLASS, FORMS, FREQUENT = 512, 16, 16, 1 << 18
@@ -70,7 +70,7 @@ def _sum(v: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def count_tokens(train: DataFrame) -> DataFrame:
     """Rows of (text) -> for each bucket: packed counts, its most frequent tokens, and sums: tokens and kinds of each form."""
-    buckets = n_buckets(train.sparkSession)
+    buckets = partitions(train.sparkSession)
     most = -(-FREQUENT // buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Rows of (doc_id, held_out, text) -> a row each, of SCORED."""
     spark = docs.sparkSession
-    buckets = n_buckets(spark)
+    buckets = partitions(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
