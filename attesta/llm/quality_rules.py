@@ -243,7 +243,10 @@ def learn_from(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
     """Learn from the statistics of rows whose doc_id has a label that isn't null."""
     known = labels.where("quality IS NOT NULL").select("doc_id", "quality")
     rows = stats.select("doc_id", *COUNTS).join(known, "doc_id").where(~base_failed())
-    return learn(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *COUNTS).limit(sample).toPandas())
+    n, order = known.count(), F.pmod(F.xxhash64("doc_id"), F.lit(2**31))
+    if n > 2 * sample:  # of many rows only those with a small hash can be among the smallest: fewer to order
+        rows = rows.where(order < int(2**31 * 2 * sample / n))
+    return learn(rows.orderBy(order, "doc_id", "quality", *COUNTS).limit(sample).toPandas())
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
