@@ -15,7 +15,11 @@ intersection has at least ``percent`` in a hundred of the union.
    sets then follows from the hub's answers and those small differences, and is
    only looked at where a bound from both allows a link and the two aren't in one
    component yet. So a list of n sets costs n rows, not n * n pairs.
-5. Components of all groups are merged.
+5. A long list is dealt to cells of about ``chunk`` sets, each with the hub. What
+   is not in the hub's component there is then held against the other cells, again
+   in chunks; what the hub has linked needs no look at each other. So no task has
+   more than a cell, however many sets a list has.
+6. Components of all groups are merged.
 
 Defined results: a null or empty text has an empty set, no link, and its own id
 as component; fewer than k words make one shingle; rows of a repeated id count
@@ -42,6 +46,8 @@ _TOP = np.uint64(1 << 63)
 POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("prev", "<u4"), ("n", "<i4"), ("pos", "<i4")])
 #: Postings in a block of a list; lists of FEW or less are not cut.
 BLOCK, FEW = 64, 10
+#: Sets in a cell of a long list, about.
+CHUNK = 256
 
 
 def shingles(t: Texts, k: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +221,9 @@ class Group:
         self.hub, self.percent = tokens, percent
         self.keys = [key]
         self.plus, self.minus = [tokens[:0]], [tokens[:0]]
-        # of each set: size, shared with the hub, not in the hub, component
-        self.facts = np.array([[len(tokens)], [len(tokens)], [0], [0]])
+        # of each set: size, shared with the hub, not in the hub, component, component at first
+        self.facts = np.array([[len(tokens)], [len(tokens)], [0], [0], [0]])
+        self.placed = 0
 
     @staticmethod
     def _same(a: np.ndarray, b: np.ndarray) -> int:
@@ -228,7 +235,12 @@ class Group:
         at[at == len(b)] = 0
         return int((b[at] == a).sum())
 
-    def add(self, key: int, tokens: np.ndarray) -> None:
+    def place(self, key: int, tokens: np.ndarray, linked: bool) -> None:
+        """Takes in a set that was compared before; from now on sets are compared with the placed ones only."""
+        self.add(key, tokens, root=0 if linked else len(self.keys), compare=False)
+        self.placed = len(self.keys)
+
+    def add(self, key: int, tokens: np.ndarray, root: int | None = None, compare: bool = True) -> None:
         at = np.searchsorted(self.hub, tokens)
         at[at == len(self.hub)] = 0
         hit = self.hub[at] == tokens
@@ -238,64 +250,102 @@ class Group:
         inside, me = int(hit.sum()), len(self.keys)
         if me == self.facts.shape[1]:
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], axis=1)
-        n, shared, extra, root = self.facts[:, :me]
+        mine = me if root is None else root
+        self.facts[:, me] = len(tokens), inside, len(plus), mine, mine
+        self.keys.append(key)
+        self.plus.append(plus)
+        self.minus.append(minus)
+        if not compare:
+            return
+        n, shared, extra, root_of, _ = self.facts[:, : self.placed or me]
         need = least_overlap(n, len(tokens), self.percent)
         spare = np.minimum(shared, inside) + np.minimum(extra, len(plus)) - need
         open_ = np.flatnonzero(spare >= 0)
         open_ = open_[np.argsort(-spare[open_], kind="stable")]
-        mine = me
         while len(open_):
             k, open_ = int(open_[0]), open_[1:]
             both = len(self.hub) - len(self.minus[k]) - len(minus) + self._same(self.minus[k], minus)
             if both + self._same(self.plus[k], plus) >= need[k]:
-                open_ = open_[root[open_] != root[k]]
-                low, high = sorted((int(root[k]), mine))
-                root[root == high] = low
+                open_ = open_[root_of[open_] != root_of[k]]
+                low, high = sorted((int(root_of[k]), mine))
+                roots = self.facts[3, : me + 1]
+                roots[roots == high] = low
                 mine = low
-        self.facts[:, me] = len(tokens), inside, len(plus), mine
-        self.keys.append(key)
-        self.plus.append(plus)
-        self.minus.append(minus)
 
-    def links(self) -> list[tuple[int, int]]:
-        return [(self.keys[r], k) for k, r in zip(self.keys, self.facts[3], strict=False) if self.keys[r] != k]
+    def links(self) -> list[tuple[int, int, int]]:
+        """Rows of 0 and two sets that one component holds."""
+        return [(0, self.keys[r], k) for k, r, first in zip(self.keys, *self.facts[3:, : len(self.keys)], strict=True) if r != first]
 
+    def apart(self) -> list[tuple[int, int, int]]:
+        """Rows of 1, the hub, and a set that is not in its component."""
+        return [(1, self.keys[0], k) for k, r in zip(self.keys, self.facts[3], strict=False) if r]
 
-def _resolve(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (hub, key, text), a hub's own row first -> links that span the components of each group."""
+
+def _deal(members: DataFrame, chunk: int) -> DataFrame:
+    """Rows (hub, key) -> (hub, key, cell, part, parts, side): a list's sets dealt to cells, its hub to each of them."""
+    sizes = members.groupBy("hub").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
+    known = join_classes(members, sizes, "hub", members.count())
+    own = F.array(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    cell = F.explode(F.when(F.col("key") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own))
+    return known.select("hub", "key", cell.alias("cell"), F.lit(0).alias("part"), "parts", (F.col("key") != F.col("hub")).cast("int").alias("side"))
+
+
+def _deal_apart(dealt: DataFrame, apart: DataFrame, chunk: int) -> DataFrame:
+    """The rows of ``_deal`` for a second round: sides 1 and 2 are sets out of and in their hub's component, side 3 those out of it for all other cells."""
+    sizes = apart.groupBy("hub").agg(F.count("*").alias("n")).withColumn("rounds", F.ceil(F.col("n") / chunk).cast("int"))
+    out = apart.select("hub", "key", F.lit(True).alias("out"))
+    cells = join_classes(dealt, sizes, "hub", apart.count()).where("rounds IS NOT NULL").join(out, ["hub", "key"], "left")
+    parts = F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))
+    side = F.when(F.col("side") == 0, 0).when(F.col("out"), 1).otherwise(2)
+    held = cells.select("hub", "key", "cell", parts.alias("part"), "parts", side.alias("side"))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: c != F.col("cell")))
+    part = F.pmod(F.xxhash64("key", F.lit(1)), F.col("rounds")).cast("int")
+    return held.union(cells.where("out").select("hub", "key", others.alias("cell"), part.alias("part"), "parts", F.lit(3).alias("side")))
+
+
+def _resolve(members: DataFrame, k: int, percent: int, second: bool = False) -> DataFrame:
+    """Rows of ``_deal`` with the text -> kind 0: links that span the components of each cell; kind 1: sets of a list
+    of several cells that are not in their hub's component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hub = None, None
+        group, cell, parts = None, None, 1
+
+        def found():
+            return group.links() + (group.apart() if parts > 1 and not second else []) if group else []
 
-        def out(links):
-            a = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+        def out(rows):
+            a = np.array([r[1:] for r in rows], np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(a[:, 0]), pa.array(a[:, 1])], names=["kind", "a", "b"])
 
         for b in batches:
             hub_of, key_of = (b.column(c).to_numpy().view(np.uint64) for c in ("hub", "key"))
+            cell_of, part_of, parts_of, side_of = (b.column(c).to_numpy() for c in ("cell", "part", "parts", "side"))
             done = []
             for t in texts(b.column("text")):
                 value, off = shingles(t, k)
                 true = digests(value, off)
                 for d in np.flatnonzero(true == key_of[t.first : t.first + len(t)]):  # else another row of the same id
-                    h, key = int(hub_of[t.first + d]), int(key_of[t.first + d])
+                    i = t.first + int(d)
+                    key, this = int(key_of[i]), (int(hub_of[i]), int(cell_of[i]), int(part_of[i]))
                     tokens = value[off[d] : off[d + 1]]
-                    if h != hub:
-                        if group:
-                            done += group.links()
-                        hub, group = h, Group(key, tokens.copy(), percent)
+                    if this != cell:
+                        done += found()
+                        cell, parts, group = this, int(parts_of[i]), Group(key, tokens.copy(), percent)
                     elif key != group.keys[-1]:
-                        group.add(key, tokens)
+                        if second and side_of[i] < 3:
+                            group.place(key, tokens, side_of[i] == 2)
+                        else:
+                            group.add(key, tokens)
             if done:
                 yield out(done)
         if group:
-            yield out(group.links())
+            yield out(found())
 
-    dealt = members.repartition("hub").sortWithinPartitions("hub", F.col("key") != F.col("hub"), "key")
-    return dealt.mapInArrow(run, "a long, b long")
+    order = ["hub", "cell", "part", "side", "key"]
+    return members.repartition("hub", "cell", "part").sortWithinPartitions(*order).mapInArrow(run, "kind int, a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """Rows of (doc_id, text) -> a row each: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -312,9 +362,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     members = write_table(_post(docs, k, percent, last, buckets).groupBy("bucket").applyInArrow(work, "hub long, key long").distinct(), "jaccard-members")
     filled = sets.where("n > 0")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    texts_of = members.join(classes.select("key", F.col("first").alias("doc_id")), "key")
-    links = write_table(_resolve(docs.join(texts_of, "doc_id").select("hub", "key", "text"), k, percent), "jaccard-links")
+    at = classes.select("key", F.col("first").alias("doc_id"))
+    dealt = write_table(_deal(members, chunk), "jaccard-cells")
     drop_table(members)
+    found = write_table(_resolve(docs.join(dealt.join(at, "key"), "doc_id").select(*dealt.columns, "text"), k, percent), "jaccard-links")
+    links = found.where("kind = 0").select("a", "b")
+    apart = found.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("key"))
+    if apart.head(1):
+        again = write_table(_deal_apart(dealt, apart, chunk), "jaccard-cells")
+        more = _resolve(docs.join(again.join(at, "key"), "doc_id").select(*again.columns, "text"), k, percent, second=True)
+        links = links.union(write_table(more.select("a", "b"), "jaccard-links"))
+        drop_table(again)
+    drop_table(dealt)
     roots = components(links)
     least = classes.join(roots.withColumnRenamed("node", "key"), "key").groupBy("root").agg(F.min("first").alias("least"))
     linked = roots.join(least, "root").select(F.col("node").alias("key"), "least")

@@ -131,6 +131,25 @@ def test_jaccard_chains_and_crowds(spark):
         assert rows(jaccard_join.jaccard_components(df, 3, percent), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(made, 3, percent), key=repr)
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 16])
+def test_jaccard_long_lists_in_cells(spark, chunk):
+    """Different near copies of one text, chains that only touch away from the hub, and a second crowd that shares one shingle."""
+    rng = np.random.default_rng(chunk)
+    base = [f"w{i}" for i in range(60)]
+    made = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = list(base)
+        for at in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            w[at] = f"x{i}"
+        made.append((i, " ".join(w)))
+    for i in range(60, 90):
+        made.append((i, " ".join(base[:7] + [f"y{j}" for j in range((i - 60) * 2, (i - 60) * 2 + 30)])))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for percent in (60, 80):
+        got = rows(jaccard_join.jaccard_components(df, 3, percent, chunk), "doc_id", "n_shingles", "component_id")
+        assert got == sorted(brute.jaccard(made, 3, percent), key=repr)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 5)), max_size=12), st.integers(0, 400))
 def test_fit_lengths(lengths, budget):
