@@ -272,13 +272,13 @@ class Group:
                 roots[roots == high] = low
                 mine = low
 
-    def links(self) -> list[tuple[int, int, int]]:
+    def links(self) -> list[tuple]:
         """Rows of 0 and two sets that one component holds."""
-        return [(0, self.keys[r], k) for k, r, first in zip(self.keys, *self.facts[3:, : len(self.keys)], strict=True) if r != first]
+        return [(0, self.keys[r], k, None) for k, r, first in zip(self.keys, *self.facts[3:, : len(self.keys)], strict=True) if r != first]
 
-    def apart(self) -> list[tuple[int, int, int]]:
+    def apart(self) -> list[tuple]:
         """Rows of 1, the hub, and a set that is not in its component."""
-        return [(1, self.keys[0], k) for k, r in zip(self.keys, self.facts[3], strict=False) if r]
+        return [(1, self.keys[0], k, None) for k, r in zip(self.keys, self.facts[3], strict=False) if r]
 
 
 def _deal(members: DataFrame, chunk: int) -> DataFrame:
@@ -303,46 +303,81 @@ def _deal_apart(dealt: DataFrame, apart: DataFrame, chunk: int) -> DataFrame:
     return held.union(cells.where("out").select("hub", "key", others.alias("cell"), part.alias("part"), "parts", F.lit(3).alias("side")))
 
 
-def _resolve(members: DataFrame, k: int, percent: int, second: bool = False) -> DataFrame:
-    """Rows of ``_deal`` with the text -> kind 0: links that span the components of each cell; kind 1: sets of a list
-    of several cells that are not in their hub's component."""
+FOUND = "kind int, a long, b long, tokens binary"
+CELL = ["hub", "cell", "part"]
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kind, a, b, tokens = zip(*found, strict=True)
+    ids = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *ids, pa.array(tokens, pa.binary())], names=["kind", "a", "b", "tokens"])
+
+
+def _deal_out(members: DataFrame) -> DataFrame:
+    return members.repartition(*CELL).sortWithinPartitions(*CELL, "side", "key")
+
+
+def _resolve(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows of ``_deal`` with the text -> kind 0: links that span the components of each cell. Of lists of several
+    cells also kind 1: sets that are not in their hub's component, and kind 2: every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, cell, parts = None, None, 1
 
         def found():
-            return group.links() + (group.apart() if parts > 1 and not second else []) if group else []
-
-        def out(rows):
-            a = np.array([r[1:] for r in rows], np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(a[:, 0]), pa.array(a[:, 1])], names=["kind", "a", "b"])
+            return group.links() + (group.apart() if parts > 1 else []) if group else []
 
         for b in batches:
             hub_of, key_of = (b.column(c).to_numpy().view(np.uint64) for c in ("hub", "key"))
-            cell_of, part_of, parts_of, side_of = (b.column(c).to_numpy() for c in ("cell", "part", "parts", "side"))
+            cell_of, parts_of = (b.column(c).to_numpy() for c in ("cell", "parts"))
             done = []
             for t in texts(b.column("text")):
                 value, off = shingles(t, k)
                 true = digests(value, off)
                 for d in np.flatnonzero(true == key_of[t.first : t.first + len(t)]):  # else another row of the same id
                     i = t.first + int(d)
-                    key, this = int(key_of[i]), (int(hub_of[i]), int(cell_of[i]), int(part_of[i]))
+                    key, this = int(key_of[i]), (int(hub_of[i]), int(cell_of[i]))
                     tokens = value[off[d] : off[d + 1]]
+                    if this == cell and key == group.keys[-1]:
+                        continue
                     if this != cell:
                         done += found()
                         cell, parts, group = this, int(parts_of[i]), Group(key, tokens.copy(), percent)
-                    elif key != group.keys[-1]:
-                        if second and side_of[i] < 3:
-                            group.place(key, tokens, side_of[i] == 2)
-                        else:
-                            group.add(key, tokens)
+                    else:
+                        group.add(key, tokens)
+                    if parts > 1 and (key != this[0] or this[1] == 0):
+                        done.append((2, this[0], key, tokens.tobytes()))
+            if done:
+                yield _rows(done)
+        if done := found():
+            yield _rows(done)
+
+    return _deal_out(members).mapInArrow(run, FOUND)
+
+
+def _resolve_apart(members: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``_deal_apart`` with the sets -> more links, as kind 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cell = None, None
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in (*CELL, "side", "key", "tokens"))
+            done = []
+            for hub, part, cell_no, side, key, tokens in zip(*columns, strict=True):
+                value, key = np.frombuffer(tokens, np.uint64), key % (1 << 64)
+                if (hub, part, cell_no) != cell:
+                    done += group.links() if group else []
+                    cell, group = (hub, part, cell_no), Group(key, value, percent)
+                elif side < 3:
+                    group.place(key, value, side == 2)
+                else:
+                    group.add(key, value)
             if done:
-                yield out(done)
-        if group:
-            yield out(found())
+                yield _rows(done)
+        if group and (done := group.links()):
+            yield _rows(done)
 
-    order = ["hub", "cell", "part", "side", "key"]
-    return members.repartition("hub", "cell", "part").sortWithinPartitions(*order).mapInArrow(run, "kind int, a long, b long")
+    return _deal_out(members).mapInArrow(run, FOUND)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -369,10 +404,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     links = found.where("kind = 0").select("a", "b")
     apart = found.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("key"))
     if apart.head(1):
-        again = write_table(_deal_apart(dealt, apart, chunk), "jaccard-cells")
-        more = _resolve(docs.join(again.join(at, "key"), "doc_id").select(*again.columns, "text"), k, percent, second=True)
+        again = _deal_apart(dealt, apart, chunk)
+        sets_of = found.where("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("key"), "tokens")
+        more = _resolve_apart(again.join(sets_of, ["hub", "key"]), percent)
         links = links.union(write_table(more.select("a", "b"), "jaccard-links"))
-        drop_table(again)
     drop_table(dealt)
     roots = components(links)
     least = classes.join(roots.withColumnRenamed("node", "key"), "key").groupBy("root").agg(F.min("first").alias("least"))
