@@ -292,9 +292,12 @@ def _deal(members: DataFrame, chunk: int) -> DataFrame:
 
 def _deal_apart(dealt: DataFrame, apart: DataFrame, chunk: int) -> DataFrame:
     """The rows of ``_deal`` for a second round: sides 1 and 2 are sets out of and in their hub's component, side 3 those out of it for all other cells."""
-    sizes = apart.groupBy("hub").agg(F.count("*").alias("n")).withColumn("rounds", F.ceil(F.col("n") / chunk).cast("int"))
+    lists = dealt.where("parts > 1")
+    rounds = apart.groupBy("hub").agg(F.ceil(F.count("*") / chunk).cast("int").alias("rounds"))
+    # of all lists, those with no set apart too: their rows must not meet by hub either
+    sizes = lists.groupBy("hub").agg(F.count("*").alias("n")).join(rounds, "hub", "left")
     out = apart.select("hub", "key", F.lit(True).alias("out"))
-    cells = join_classes(dealt, sizes, "hub", apart.count()).where("rounds IS NOT NULL").join(out, ["hub", "key"], "left")
+    cells = join_classes(lists, sizes, "hub", lists.count()).where("rounds IS NOT NULL").join(out, ["hub", "key"], "left")
     parts = F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))
     side = F.when(F.col("side") == 0, 0).when(F.col("out"), 1).otherwise(2)
     held = cells.select("hub", "key", "cell", parts.alias("part"), "parts", side.alias("side"))
