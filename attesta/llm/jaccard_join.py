@@ -413,8 +413,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
         links = links.union(write_table(more.select("a", "b"), "jaccard-links"))
     drop_table(dealt)
     roots = components(links)
-    least = classes.join(roots.withColumnRenamed("node", "key"), "key").groupBy("root").agg(F.min("first").alias("least"))
-    linked = roots.join(least, "root").select(F.col("node").alias("key"), "least")
+    least = classes.join(roots.withColumnRenamed("node", "key"), "key").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    # by root as classes: a large component's sets don't meet in one task
+    linked = join_classes(roots, least, "root", roots.count()).select(F.col("node").alias("key"), "least")
     of_class = classes.join(linked, "key", "left").select("key", "n", F.coalesce("least", "first").alias("component_id"))
     full = join_classes(filled.withColumnRenamed("n", "n_shingles"), of_class, "key", profile.count()).select("doc_id", "n_shingles", "component_id")
     return full.union(sets.where("n = 0").select("doc_id", "n", "doc_id"))
