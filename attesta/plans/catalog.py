@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "ag4_case_verdict"
 #: Modules of this folder that hold QUERIES (name: function) and SQL (name: text).
-MODULES: tuple[str, ...] = ("decisions", "sessions", "measures")
+MODULES: tuple[str, ...] = ("decisions", "sessions", "measures", "geometry")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
