@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import measures, text
+from attesta.operators import blocks as B
 from attesta.operators import curation as C
 from attesta.operators import matching as M
 from attesta.operators import statistics as S
@@ -25,9 +26,12 @@ def _scores(s, d):
     return S.region_score(dev, S.fit_limits(dev, 0.02))
 
 
+def _vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), "embedding")
+
+
 def _pairs(s, d):
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), "embedding")
-    return M.evaluation_pairs(e, 20)
+    return M.evaluation_pairs(_vectors(s, d), 20)
 
 
 def ag30(s, d):
@@ -35,6 +39,11 @@ def ag30(s, d):
     return r.select("threshold", F.round("fmr", 6).alias("fmr"), F.round("fnmr", 6).alias("fnmr"), "chosen")
 
 
+def ag30_all(s, d):
+    r = B.fmr_fnmr(_vectors(s, d), GRID, 0.01)
+    return r.select("threshold", F.round("fmr", 6).alias("fmr"), F.round("fnmr", 6).alias("fnmr"), "chosen")
+
+
 def jn8(s, d):
     e = table(s, d, "embeddings")
     cards = e.where("vec_id % 2 = 0").select((F.col("vec_id") / 2).cast("long").alias("case_id"), F.col("embedding").alias("card"))
@@ -160,15 +169,19 @@ QUERIES = {
     "ag21_uncovered_chars": lambda s, d: C.uncovered_chars(DOCS(s, d), "text", "abcdefghijklmnopqrstuvwxyz \n"),
     "ag22_dedup_content": lambda s, d: C.dedup_content(DOCS(s, d), "text", "doc_id"),
     "ag23_identity_groups": lambda s, d: M.identity_groups(_pairs(s, d), "similarity", 0.25),
+    "ag23_identity_groups_all": lambda s, d: M.identity_groups(B.links(_vectors(s, d), 0.25).withColumn("similarity", F.lit(1.0)), "similarity", 0.25),
     "ag24_live_score": ag24,
     "ag25_fuse_classes": ag25,
     "ag29_location_rates": lambda s, d: table(s, d, "orders").select("o_orderkey").join(table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("hit")).distinct(), "o_orderkey", "left").agg(F.count("hit").alias("located"), F.count_if(F.col("hit").isNull()).alias("missing")),
     "ag30_fmr_fnmr": ag30,
+    "ag30_fmr_fnmr_all": ag30_all,
     "ag31_join_words": ag31,
     "ag32_trimmed_mean": lambda s, d: S.trimmed_mean(table(s, d, "lineitem").withColumn("v", F.col("l_extendedprice").cast("double")), "l_returnflag", "v").withColumn("trimmed", F.round("trimmed", 4)),
     "ag33_tail_summary": lambda s, d: S.tail_summary(_pairs(s, d).where("NOT genuine"), "similarity").select(F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"), F.round("top", 6).alias("top"), "n"),
+    "ag33_tail_summary_all": lambda s, d: B.tail_summary(_vectors(s, d)).select(F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"), F.round("top", 6).alias("top"), "n"),
     "ag35_run_counts": lambda s, d: DOCS(s, d).groupBy("lang", "source").agg(F.count("*").alias("n")),
     "wn10_best_with_margin": lambda s, d: _margin(s, d),
+    "wn10_best_with_margin_all": lambda s, d: M_margin(B.best_two(_vectors(s, d))),
     "wn11_ring_donor": lambda s, d: C.ring_donor(DOCS(s, d).select("doc_id", "source"), "doc_id", "source"),
     "wn14_next_round": lambda s, d: DOCS(s, d).groupBy("lang").agg((F.coalesce(F.max(F.regexp_extract("source", r"(\d+)$", 1).cast("int")), F.lit(0)) + 1).alias("round")),
     "sl2_stratified_cap": lambda s, d: C.stratified_cap(DOCS(s, d), "lang", "doc_id", 100, 7).select("doc_id", "lang"),
