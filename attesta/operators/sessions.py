@@ -128,3 +128,18 @@ def valid_captures(requests: DataFrame, captures: DataFrame, key: str, ts: str,
     """Requests with the captures of their key that are there and not past five times the time to live."""
     age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(created).cast("timestamp"))
     return requests.join(captures, key).where((age >= 0) & (age <= 5_000_000 * ttl_s))
+
+
+def with_valid_capture(requests: DataFrame, captures: DataFrame, key: str, ts: str, created: str, ttl_s: int) -> DataFrame:
+    """Requests whose key's newest capture not after them is not past five times the time to live, with its time.
+
+    A capture serves its own stretch of that length and the next; a key's events are put in order within one stretch.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    stretch = lambda c: F.floor(micros(c) / F.lit(5_000_000 * ttl_s))
+    r = requests.withColumns({"_at": micros(ts), "_stretch": stretch(ts)})
+    c = captures.where(F.col(created).isNotNull()).groupBy(key, created).agg(F.lit(1).alias("_n"))
+    c = c.select(key, created, micros(created).alias("_at"), F.explode(F.array(stretch(created), stretch(created) + 1)).alias("_stretch"), F.lit(True).alias("_capture"))
+    w = Window.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = r.unionByName(c, allowMissingColumns=True).withColumn(created, F.last(created, ignorenulls=True).over(w))
+    return both.where(F.col("_capture").isNull() & (F.col("_at") - micros(created) <= 5_000_000 * ttl_s)).select(*requests.columns, created)

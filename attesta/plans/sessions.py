@@ -32,6 +32,12 @@ def jn10(s, d):
     return S.valid_captures(f.select("user_id", "event_id", "ts"), captures, "user_id", "ts", "created", 3600).select("event_id")
 
 
+def jn10_any(s, d):
+    f = frames(s, d)
+    captures = f.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("created"))
+    return S.with_valid_capture(f.select("user_id", "event_id", "ts"), captures, "user_id", "ts", "created", 3600).select("event_id")
+
+
 QUERIES = {
     "wn1_ok_streak": lambda s, d: _streaks(s, d).select("event_id", "streak", "qualified"),
     "wn2_running_max": lambda s, d: S.running_max(frames(s, d), "user_id", ORDER, "value").select("event_id", "reference"),
@@ -48,6 +54,7 @@ QUERIES = {
     "ag27_baseline": lambda s, d: S.baseline(frames(s, d), "user_id", ORDER, "value", ok(), 5),
     "ag28_attempts": ag28,
     "jn10_valid_captures": jn10,
+    "jn10_valid_captures_all": jn10_any,
     "str1_capture_sessions": lambda s, d: machines.capture_batch(machines.capture_frames(frames(s, d)), required=3, budget=60),
     "str2_liveness_sessions": lambda s, d: machines.liveness_batch(machines.liveness_frames(frames(s, d)), ["BLINK", "TURN_LEFT", "SMILE"]),
     "str3_case_lifecycle": lambda s, d: machines.lifecycle_batch(frames(s, d).select(F.col("user_id").alias("case_id"), "ts", "event_id", F.element_at(F.create_map(*map(F.lit, ("click", "document", "view", "selfie", "purchase", "liveness", "error", "finalize"))), F.col("event_type")).alias("action")).fillna("face_match", ["action"]), limit=3),
