@@ -5,7 +5,7 @@ A-Z. A window is ``n`` consecutive words of an item; an item of fewer words, but
 not none, is one window. Token windows of every text are looked up by hash, hits
 are verified word by word, and the words inside them are hit. The windows are
 broadcast in blocks of at most ``BLOCK`` items and ``BLOCK_WORDS`` words, however
-large the benchmark is; a text's results of all blocks are joined afterwards.
+large the benchmark is; each block appends to a row's results.
 
 Defined results: a null text has no words and no hits; a null item gives no
 window; repeated items share their windows; empty tables give no hits; other
@@ -79,21 +79,27 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-SCAN = "doc_id long, n_words long, hit array<struct<first:int,last:int>>, items array<long>"
-SCANNED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.int64()))])
+FOUND = "n_words long, hit array<struct<first:int,last:int>>, items array<long>"
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Rows of (doc_id, text) -> doc_id, n_words, runs of hit words (first and last, from 0), items with hits."""
+    """Rows of (doc_id, text) -> doc_id, n_words, runs of hit words (first and last, from 0), items with hits.
+
+    Each block appends to the hits and items of a row, so rows stay apart whatever their ids are.
+    """
     spark = docs.sparkSession
-    out = None
-    for items in _blocks(benchmark):
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = _blocks(benchmark)
+    items = next(blocks)
+    while items is not None:
+        after = next(blocks, None)
         shared = spark.sparkContext.broadcast(Windows(items, n))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=after is None) -> Iterator[pa.RecordBatch]:
             known = shared.value
+            carry = ["doc_id"] if last else ["doc_id", "text"]
             for b in batches:
-                ids = b.column("doc_id")
+                before = "hit" in b.schema.names
                 for t in texts(b.column("text")):
                     w = words(t, MARKS, LOWER)
                     h = w.hashes()
@@ -114,29 +120,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
                     head[1:] &= ~hit[:-1] | (w.doc[1:] != w.doc[:-1])
                     tail = hit.copy()
                     tail[:-1] &= ~hit[1:] | (w.doc[1:] != w.doc[:-1])
-                    f, last = np.flatnonzero(head), np.flatnonzero(tail)
+                    f, l = np.flatnonzero(head), np.flatnonzero(tail)
                     base = w.at[w.doc[f]]
                     runs_at = np.searchsorted(f, w.at)
-                    spans = pa.StructArray.from_arrays([pa.array((f - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["first", "last"])
+                    spans = pa.StructArray.from_arrays([pa.array((f - base).astype(np.int32)), pa.array((l - base).astype(np.int32))], ["first", "last"])
                     named = pa.array([known.ids[i] for i in got[:, 1]], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.slice(t.first, len(t)),
-                            pa.array(w.n.astype(np.int64)),
-                            pa.ListArray.from_arrays(pa.array(runs_at.astype(np.int32)), spans),
-                            pa.ListArray.from_arrays(pa.array(items_at.astype(np.int32)), named),
-                        ],
-                        schema=SCANNED,
-                    )
-
-        # a row's place in the scan tells repeated ids apart where blocks are joined
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
-        if out is None:
-            out = one
+                    found = {
+                        "n_words": pa.array(w.n.astype(np.int64)),
+                        "hit": pa.ListArray.from_arrays(pa.array(runs_at.astype(np.int32)), spans),
+                        "items": pa.ListArray.from_arrays(pa.array(items_at.astype(np.int32)), named),
+                    }
+                    here = {c: b.column(c).slice(t.first, len(t)) for c in carry}
+                    earlier = {f"old_{c}": b.column(c).slice(t.first, len(t)) for c in ("hit", "items")} if before else {}
+                    yield pa.RecordBatch.from_pydict(here | found | earlier)
+
+        carried = "doc_id long" + (", text string" if after is not None else "")
+        if "hit" in out.columns:
+            out = out.mapInArrow(run, f"{carried}, {FOUND}, old_hit array<struct<first:int,last:int>>, old_items array<long>")
+            out = out.withColumns({"hit": F.concat("old_hit", "hit"), "items": F.array_distinct(F.concat("old_items", "items"))}).drop("old_hit", "old_items")
         else:
-            # rows that agree in id and words but come of different texts only share what either hits, as repeated rows of one id do
-            both = out.unionByName(one)
-            out = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+            out = out.mapInArrow(run, f"{carried}, {FOUND}")
+        items = after
     return out
 
 
