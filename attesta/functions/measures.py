@@ -41,6 +41,13 @@ def iou(a: Column, b: Column) -> Column:
     return both / (area(a) + area(b) - both)
 
 
+def context_scale(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """The largest factor by which a box grows about its centre and still fits the frame; sides count as 1 at least."""
+    cx, cy = x1 + x2, y1 + y2  # twice the centre
+    w, h = F.greatest(x2 - x1, F.lit(1.0)), F.greatest(y2 - y1, F.lit(1.0))
+    return F.least(cx / w, (2 * width - cx) / w, cy / h, (2 * height - cy) / h)
+
+
 def jitter_boxes(df: DataFrame, amount: float) -> DataFrame:
     """Nine shifted copies of each box (x1, y1, x2, y2), row by row; only the box itself where ``amount`` is not above 0."""
     steps = [0] if amount <= 0 else [-1, 0, 1]

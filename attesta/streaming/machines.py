@@ -48,6 +48,23 @@ def capture_step(s: State, e: dict, required: int = 2, budget: int = 100, ratio:
     return s, {"state": s["state"], "code": code or ""}
 
 
+def hint_step(s: State, e: dict, priority: tuple[str, ...], window: int = 3, least: int = 2) -> tuple[State, dict | None]:
+    """STR7: the hint shown stays while it is steady, or nothing else is, and goes after a window of clean frames.
+
+    It is silent where no frame of the window has its code.
+    """
+    s = s or {"recent": [], "shown": None}
+    s["recent"] = [*s["recent"], [] if e["codes"] is None else list(e["codes"])][-window:]
+    seen = [c for codes in s["recent"] for c in codes]
+    rank = {c: i for i, c in enumerate(priority)}
+    steady = sorted((c for c in dict.fromkeys(seen) if seen.count(c) >= least), key=lambda c: rank.get(c, len(rank)))
+    if not seen:
+        s["shown"] = None
+    elif steady and s["shown"] not in steady:
+        s["shown"] = steady[0]
+    return s, {"hint": s["shown"] if s["shown"] in seen else None}
+
+
 LIVE = {"frontal": 15.0, "closed": 0.6, "open": 0.8, "turn": 25.0, "smile": 1.15, "closer": 1.3, "samples": 3, "limit_s": 20.0, "lost_s": 2.0, "same": 0.3, "open_eyes": 0.18}
 
 
@@ -169,6 +186,7 @@ def run_stream(events: DataFrame, key: str, order: list[str], step: Callable, ou
 
 CAPTURE_OUT = "session_id long, event_id long, state string, code string"
 LIVE_OUT = "session_id long, event_id long, state string, code string, task long"
+HINT_OUT = "session_id long, event_id long, hint string"
 CASE_OUT = "case_id long, event_id long, action string, code string"
 
 
@@ -183,6 +201,10 @@ def capture_batch(frames: DataFrame, **cfg) -> DataFrame:
     return run_batch(frames, "session_id", ["ts", "event_id"], lambda s, e: capture_step(s, e, **cfg), CAPTURE_OUT)
 
 
+def hint_batch(frames: DataFrame, priority: tuple[str, ...], **cfg) -> DataFrame:
+    return run_batch(frames, "session_id", ["ts", "event_id"], lambda s, e: hint_step(s, e, priority, **cfg), HINT_OUT)
+
+
 def liveness_frames(frames: DataFrame) -> DataFrame:
     k = F.col("k")
     return frames.select(
