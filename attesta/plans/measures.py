@@ -86,6 +86,20 @@ def fn4(s, d):
     return x.select("doc_id", text.normalize_text(F.col("raw")).alias("clean"))
 
 
+def ag31_all(s, d):
+    """All words of all turns in order; a word's weight is its length, its place its turn's."""
+    w = F.col("w")
+    x = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("place", "w"))
+    item = F.struct("turn", "place", "w")
+    return x.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["w"]), " ").alias("line"), F.round(F.sum(F.length(w) * (F.col("turn") + 1)) / F.nullif(F.sum(F.length(w)), F.lit(0)), 6).alias("weighted"))
+
+
+def src2_all(s, d):
+    x = table(s, d, "documents").select("doc_id", "source", "n_chars", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    value = F.concat_ws("\t", "source", "t", F.when(F.col("n_chars") % 9 == 0, "x"))
+    return readers.parse_transcripts(x.select("doc_id", "line", value.alias("value"))).select("doc_id", "line", "bad", "path", "text")
+
+
 def fn7(s, d):
     k = F.col("c_custkey")
     raw = F.when(k % 4 == 0, F.concat_ws("-", (k % 100 + 1300).cast("string"), (k % 12 + 1).cast("string"), (k % 28 + 1).cast("string"))).when(k % 4 == 1, (k + 13700000).cast("string")).when(k % 4 == 2, F.lit("70/5/12")).otherwise("۱۳۷۰/۰۵/۱۲")
@@ -134,6 +148,7 @@ DOCS = lambda s, d: table(s, d, "documents")
 
 QUERIES = {
     "src2_transcripts": lambda s, d: readers.parse_transcripts(DOCS(s, d).select("doc_id", F.concat_ws("\t", F.col("source"), F.substring_index("text", "\n", 1), F.when(F.col("n_chars") % 9 == 0, "x")).alias("value"))).select("doc_id", "bad", "path"),
+    "src2_transcripts_all": src2_all,
     "src4_pair_media": lambda s, d: C.pair_media(DOCS(s, d).select("doc_id", "lang"), table(s, d, "labels"), "doc_id"),
     "src5_lexicon": lambda s, d: readers.parse_lexicon(table(s, d, "part"), "p_name", "p_partkey", F.upper),
     "src6_results": lambda s, d: readers.parse_results(table(s, d, "events").select("event_id", F.concat(F.lit('{"module":"'), "event_type", F.lit('","score":0.5,"reasons":['), F.when(F.col("event_type") == "error", F.lit('{"code":"E1","severity":"error"}')).otherwise(""), F.lit("]}")).alias("j")), "j").select("event_id", "module", "score", "code"),
@@ -176,6 +191,7 @@ QUERIES = {
     "ag30_fmr_fnmr": ag30,
     "ag30_fmr_fnmr_all": ag30_all,
     "ag31_join_words": ag31,
+    "ag31_join_words_all": ag31_all,
     "ag32_trimmed_mean": lambda s, d: S.trimmed_mean(table(s, d, "lineitem").withColumn("v", F.col("l_extendedprice").cast("double")), "l_returnflag", "v").withColumn("trimmed", F.round("trimmed", 4)),
     "ag33_tail_summary": lambda s, d: S.tail_summary(_pairs(s, d).where("NOT genuine"), "similarity").select(F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"), F.round("top", 6).alias("top"), "n"),
     "ag33_tail_summary_all": lambda s, d: B.tail_summary(_vectors(s, d)).select(F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"), F.round("top", 6).alias("top"), "n"),
@@ -196,6 +212,7 @@ QUERIES = {
     "st6_separate_eval": st6,
     "fn1_fold_digits": lambda s, d: table(s, d, "customer").select("c_custkey", text.keep_digits(F.concat(F.lit("۱٢-"), F.col("c_name"))).alias("digits")),
     "fn4_normalize_text": fn4,
+    "fn4_normalize_text_all": lambda s, d: DOCS(s, d).select("doc_id", text.normalize_text(F.col("text")).alias("clean")),
     "fn7_normalize_date": fn7,
     "fn14_quality_score": fn14,
     "fn15_cosine": lambda s, d: jn8(s, d).where("similarity > 0"),
