@@ -16,9 +16,12 @@ smaller doc_id, or earlier in the same document) is removed.
 4. Spans come back to their documents.
 
 Defined results: a null text is empty; strings are compared as UTF-8 bytes and
-never reach over the end of a text; rows of one doc_id are expected to have one
-text and count as one document; a null doc_id counts as the smallest; empty
-tables give empty results; other columns of the input are not read.
+never reach over the end of a text; different texts of one doc_id are documents
+of their own, in the order of a hash; rows that agree in id and text count as one
+document and get the same result each; a null doc_id counts as the smallest; a
+text may have up to 2 GB (its anchors are sought in pieces); empty tables give
+empty results; other columns of the input are not read. Rows are told apart by a
+hash of id and text with 64 bits.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from attesta.llm.textnum import Texts, mix, powers, same, texts
 LENGTH, K = 100, 32
 #: Suffixes of a batch.
 BATCH = 1 << 15
+#: Bytes of a long text that are searched for anchors at a time.
+PIECE = 1 << 22
 _POS = 27
 
 
@@ -49,13 +54,19 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return mix((c[k:] - c[:-k]) * ip[: len(data) - k + 1])
 
 
-def anchors(t: Texts, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all anchors, their hashes and texts."""
+def anchors(t: Texts, length: int, k: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all anchors, their hashes and texts. One long text is read in pieces that share ``length`` - 1 bytes."""
     none = np.zeros(0, np.int64)
     if len(t.data) < length:
         return none, none.astype(np.uint64), none
-    if len(t.data) >> _POS:
-        raise ValueError("a text of 128 MB or more")
+    if len(t) == 1 and len(t.data) >= piece + length:
+        parts = []
+        for a in range(0, len(t.data) - length + 1, piece):
+            data = t.data[a : a + piece + length - 1]
+            at, h, _ = anchors(Texts(data, np.array([0, len(data)]), 0), length, k, piece)
+            parts.append((at + a, h))
+        at, first = np.unique(np.concatenate([x for x, _ in parts]), return_index=True)
+        return at, np.concatenate([h for _, h in parts])[first], np.zeros(len(at), np.int64)
     h = gram_hashes(t.data, k)
     m = (h >> np.uint64(_POS) << np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64)
     w, have = length - k + 1, 1
@@ -75,19 +86,19 @@ def anchors(t: Texts, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 #: part: the upper bits of an anchor's hash; should two anchors agree in it and the bucket, both only come further than needed.
-SEEN = np.dtype([("part", "<u4"), ("doc", "<i8"), ("pos", "<i4")])
-_HASHED = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
+SEEN = np.dtype([("part", "<u4"), ("row", "<i8"), ("pos", "<i4")])
+_HASHED = np.dtype([("hash", "<u8"), ("row", "<i8"), ("pos", "<i4")])
 
 
-def _places(doc: np.ndarray, pos: np.ndarray) -> pa.Table:
+def _places(row: np.ndarray, pos: np.ndarray) -> pa.Table:
     """A row for each document with its places."""
-    order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order].astype(np.int32)
-    at = np.flatnonzero(same(doc))
-    return pa.table({"doc_id": pa.array(doc[at]), "places": pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)].astype(np.int32)), pa.array(pos))})
+    order = np.argsort(row, kind="stable")
+    row, pos = row[order], pos[order].astype(np.int32)
+    at = np.flatnonzero(same(row))
+    return pa.table({"row": pa.array(row[at]), "places": pa.ListArray.from_arrays(pa.array(np.r_[at, len(row)].astype(np.int32)), pa.array(pos))})
 
 
-_PLACES = "doc_id long, places array<int>"
+_PLACES = "row long, places array<int>"
 
 
 def _anchor_blobs(docs: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
@@ -104,18 +115,18 @@ def _anchor_blobs(docs: DataFrame, length: int, k: int, buckets: int) -> DataFra
             alone = first & np.r_[first[1:], True]
             for kind, own in ((0, r[first]), (1, r[~alone])):
                 out = np.zeros(len(own), SEEN)
-                out["part"], out["doc"], out["pos"] = own["hash"] >> np.uint64(32), own["doc"], own["pos"]
+                out["part"], out["row"], out["pos"] = own["hash"] >> np.uint64(32), own["row"], own["pos"]
                 if not kind:
                     out["pos"][~alone[first]] = -1
-                by = (own["hash"] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) if not kind else own["doc"] % buckets
+                by = (own["hash"] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) if not kind else own["row"] % buckets
                 yield pack(out, by.astype(np.int32), kind)
 
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
+            rows = b.column("row").to_numpy()
             for t in texts(b.column("text")):
                 at, h, doc = anchors(t, length, k)
                 r = np.zeros(len(at), _HASHED)
-                r["hash"], r["doc"], r["pos"] = h, ids[t.first + doc], at - t.off[doc]
+                r["hash"], r["row"], r["pos"] = h, rows[t.first + doc], at - t.off[doc]
                 held.append(r)
                 if sum(map(len, held)) > 500_000:
                     yield from flush()
@@ -133,18 +144,18 @@ def _repeated(table: pa.Table) -> pa.Table:
     first = same(r["part"])
     r = r[~(first & np.r_[first[1:], True]) & (r["pos"] >= 0)]
     more = unpack(table.filter(pa.array(kind == 1)).column("data"), SEEN)
-    return _places(np.r_[r["doc"], more["doc"]], np.r_[r["pos"], more["pos"]])
+    return _places(np.r_[r["row"], more["row"]], np.r_[r["pos"], more["pos"]])
 
 
 def context_dtype(length: int, k: int) -> np.dtype:
-    return np.dtype([("hash", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("a", "<i2"), ("b", "<i2"), ("right", f"S{length}"), ("left", f"S{length - k}")])
+    return np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("a", "<i2"), ("b", "<i2"), ("right", f"S{length}"), ("left", f"S{length - k}")])
 
 
-def contexts(data: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, length: int, k: int) -> np.ndarray:
+def contexts(data: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, rows: np.ndarray, length: int, k: int) -> np.ndarray:
     """Of each place the bytes from it on, and those before it backwards; 1 is added, so that 0 stands for none."""
     out = np.zeros(len(pos), context_dtype(length, k))
     at = off[doc] + pos
-    out["doc"], out["pos"] = ids[doc], pos
+    out["doc"], out["row"], out["pos"] = ids[doc], rows[doc], pos
     a, b = np.minimum(pos, length - k), np.minimum(off[doc + 1] - at, length)
     out["a"], out["b"] = a, b
     padded = np.concatenate([data + np.uint8(1), np.zeros(length, np.uint8)])
@@ -194,7 +205,7 @@ class Family:
         self.levels: list[np.ndarray] = []
 
     def add(self, batch: np.ndarray) -> np.ndarray:
-        """Spans (doc, first byte, end) of the batch that earlier strings repeat."""
+        """Spans (row, first byte, end) of the batch that earlier strings repeat."""
         before, behind = repeats(batch, self.length, self.k)
         heads = np.unique(batch["right"].astype(f"S{self.k}"))
         for level in self.levels:
@@ -210,16 +221,16 @@ class Family:
             self.levels[-2:] = [both[np.argsort(both["right"], kind="stable")]]
         hit = before >= 0
         out = np.zeros(int(hit.sum()), SPAN)
-        out["doc"], out["start"], out["end"] = batch["doc"][hit], batch["pos"][hit] - before[hit], batch["pos"][hit] + behind[hit]
+        out["row"], out["start"], out["end"] = batch["row"][hit], batch["pos"][hit] - before[hit], batch["pos"][hit] + behind[hit]
         return out
 
 
 def _spans(r: np.ndarray) -> np.ndarray:
     """Spans of one document that touch become one."""
-    r = r[np.lexsort((r["start"], r["doc"]))]
+    r = r[np.lexsort((r["start"], r["row"]))]
     if not len(r):
         return r
-    base = np.cumsum(same(r["doc"])) << 32
+    base = np.cumsum(same(r["row"])) << 32
     reach = np.maximum.accumulate(r["end"] + base)
     at = np.flatnonzero(np.r_[True, (r["start"] + base)[1:] > reach[:-1]])
     out = r[at]
@@ -227,11 +238,11 @@ def _spans(r: np.ndarray) -> np.ndarray:
     return out
 
 
-SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+SPAN = np.dtype([("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
 def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
-    """doc_id, text, places -> contexts by hash; of equal ones in a task the first, whose copies' spans come as kind 1."""
+    """doc_id, row, text, places -> contexts by hash; of equal ones in a task the first, whose copies' spans come as kind 1."""
     kind = context_dtype(length, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +251,9 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
         def flush() -> Iterator[pa.RecordBatch]:
             r = np.concatenate(held)
             held.clear()
-            order = np.lexsort((r["pos"], r["doc"], r["hash"]))
+            order = np.lexsort((r["pos"], r["row"], r["doc"], r["hash"]))
             r = r[order]
-            r = r[np.r_[True, (r["hash"][1:] != r["hash"][:-1]) | (r["doc"][1:] != r["doc"][:-1]) | (r["pos"][1:] != r["pos"][:-1])]] if len(r) else r
+            r = r[np.r_[True, (r["hash"][1:] != r["hash"][:-1]) | (r["row"][1:] != r["row"][:-1]) | (r["pos"][1:] != r["pos"][:-1])]] if len(r) else r
             raw = r.view(np.uint8).reshape(len(r), kind.itemsize)[:, kind.fields["right"][1] :]
             pw, _ = powers(raw.shape[1])
             body = np.zeros(len(r), np.uint64)
@@ -255,22 +266,25 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
             x = r[by[again]]
             copies = x[x["a"] + x["b"] >= length]
             s = np.zeros(len(copies), SPAN)
-            s["doc"], s["start"], s["end"] = copies["doc"], copies["pos"] - copies["a"], copies["pos"] + copies["b"]
+            s["row"], s["start"], s["end"] = copies["row"], copies["pos"] - copies["a"], copies["pos"] + copies["b"]
             own = r[by[~again]]
             yield pack(own, (own["hash"] % np.uint64(buckets)).astype(np.int32), 0)
             s = _spans(s)
-            yield pack(s, (s["doc"] % buckets).astype(np.int32), 1)
+            yield pack(s, (s["row"] % buckets).astype(np.int32), 1)
 
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
+            ids, keys = b.column("doc_id").to_numpy(), b.column("row").to_numpy()
             for t in texts(b.column("text")):
                 own = [np.unique(np.concatenate([np.asarray(x, np.int64) for x in b.column("places")[t.first + d].as_py()])) for d in range(len(t))]
                 doc = np.repeat(np.arange(len(t)), [len(x) for x in own])
                 pos = np.concatenate(own)
-                ok = pos + k <= np.diff(t.off)[doc]
-                held.append(contexts(t.data, t.off, doc[ok], pos[ok], ids[t.first : t.first + len(t)], length, k))
-                if sum(map(len, held)) > 150_000:
-                    yield from flush()
+                ok = np.flatnonzero(pos + k <= np.diff(t.off)[doc])
+                mine = slice(t.first, t.first + len(t))
+                for x in range(0, len(ok), 100_000):
+                    some = ok[x : x + 100_000]
+                    held.append(contexts(t.data, t.off, doc[some], pos[some], ids[mine], keys[mine], length, k))
+                    if sum(map(len, held)) > 150_000:
+                        yield from flush()
         if held:
             yield from flush()
 
@@ -278,31 +292,36 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
-    """Rows of (doc_id, text) -> doc_id, spans: lists of byte spans to remove; they may overlap."""
+    """Rows of ``_whole`` -> row, spans: lists of byte spans to remove; they may overlap."""
     buckets = n_buckets(docs.sparkSession)
     placed = _anchor_blobs(docs, length, k, buckets).groupBy("bucket").applyInArrow(_repeated, _PLACES)
-    placed = placed.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    rows = docs.join(placed, "doc_id").select("doc_id", "text", "places")
+    placed = placed.groupBy("row").agg(F.collect_list("places").alias("places"))
+    rows = docs.join(placed, "row").select("doc_id", "row", "text", "places")
 
     def work(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         c = unpack(table.filter(pa.array(kind == 0)).column("data"), context_dtype(length, k))
-        c = c[np.lexsort((c["pos"], c["doc"]))]
+        c = c[np.lexsort((c["pos"], c["row"], c["doc"]))]
         family = Family(length, k)
         found = [family.add(c[x : x + batch]) for x in range(0, len(c), batch)]
         found.append(unpack(table.filter(pa.array(kind == 1)).column("data"), SPAN))
         s = _spans(np.concatenate(found))
-        at = np.flatnonzero(same(s["doc"]))
+        at = np.flatnonzero(same(s["row"]))
         pairs = pa.StructArray.from_arrays([pa.array(s["start"]), pa.array(s["end"])], ["start", "end"])
-        return pa.table({"doc_id": pa.array(s["doc"][at]), "spans": pa.ListArray.from_arrays(pa.array(np.r_[at, len(s)].astype(np.int32)), pairs)})
+        return pa.table({"row": pa.array(s["row"][at]), "spans": pa.ListArray.from_arrays(pa.array(np.r_[at, len(s)].astype(np.int32)), pairs)})
+
+    spans = _context_blobs(rows, length, k, buckets).groupBy("bucket").applyInArrow(work, "row long, spans array<struct<start:int,end:int>>")
+    return write_table(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+
 
-    spans = _context_blobs(rows, length, k, buckets).groupBy("bucket").applyInArrow(work, "doc_id long, spans array<struct<start:int,end:int>>")
-    return write_table(spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+def _row() -> F.Column:
+    """What tells documents apart: a hash of id and text, whatever is null."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """Without null ids, which become the smallest."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id (null ids become the smallest), row, text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), _row().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -311,7 +330,7 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, keep: bool = False) -> DataFrame:
     """Rows of (doc_id, text) -> a row each: bytes, removed bytes, removed runs, digest of the rest, and the rest where ``keep``."""
     rows = _whole(docs)
-    found = rows.join(repeated_spans(rows, length, k, batch), "doc_id", "left")
+    found = rows.join(repeated_spans(rows, length, k, batch), "row", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,8 +360,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated strings cut out of ``text`` (broken characters at the cuts go too); n_chars follows where there is one."""
-    spans = repeated_spans(_whole(docs), length, k).select(F.col("doc_id").alias("_suffix_id"), F.col("spans").alias("_suffix_spans"))
-    rows = docs.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("_suffix_id"), "left").drop("_suffix_id")
+    spans = repeated_spans(_whole(docs), length, k).toDF("attesta suffix row", "attesta suffix spans")
+    rows = docs.join(spans, _row() == F.col("`attesta suffix row`"), "left").drop("attesta suffix row")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
