@@ -11,8 +11,10 @@ others less often. Which documents of a length are taken is set by a hash of id
 and seed.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
-source of its own; repeated rows count each; an empty table gives an empty
-result; other columns of the input are not read.
+source of its own; repeated rows count each, and rows that share an id, or have
+none, are taken each for itself; an empty table gives an empty result; other
+columns of the input are not read. Reruns agree; of rows that agree in id, source
+and text it doesn't matter which is taken.
 """
 
 from __future__ import annotations
@@ -104,14 +106,24 @@ def fit_lengths(size: np.ndarray, count: np.ndarray, budget: int, limit: int = K
     return take
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """Rows of (doc_id, source, text) -> doc_id, size, source_size, target, copies, taken."""
-    sized = write_table(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumns(
-            {"pick": F.xxhash64(F.lit(seed), "doc_id"), "part": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(PARTS)).cast("int")}
-        ),
-        "mix-sizes",
-    )
+SIZED = {"of": "attesta mix source", "size": "attesta mix size", "pick": "attesta mix pick", "part": "attesta mix part"}
+
+
+def _of(source) -> F.Column:
+    """A source's key, never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _sized(docs: DataFrame, seed: int, names: dict[str, str]) -> DataFrame:
+    """The rows of ``docs`` with their size in words, and what sets their order and part."""
+    pick = F.xxhash64(F.lit(seed), "doc_id", "text")
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(PARTS)).cast("int")
+    return docs.withColumns({names["of"]: _of(F.col("source")), names["size"]: word_count(F.col("text")), names["pick"]: pick, names["part"]: part})
+
+
+def _quotas(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
+    """(source, size, part) of each document -> of each such cell: epochs, source_size, target, all (documents of the
+    source and length) and quota (how many of the cell's first come before those are used up that are taken once more)."""
     cells = sized.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     lengths = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     aims = write_table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "mix-targets")
@@ -139,18 +151,38 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     )
     fitted = write_table(fitted, "mix-fitted")
     before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("n")
-    quota = (
+    return (
         cells.withColumn("before", before).alias("c").join(fitted.alias("f"), F.expr("c.source <=> f.source AND c.size = f.size"))
         .select("c.source", "c.size", "c.part", "f.epochs", "f.source_size", "f.target", F.col("f.n").alias("all"), (F.col("extra") - F.col("before")).alias("quota"))
     )
-    rank = F.row_number().over(Window.partitionBy("d.source", "d.size", "d.part").orderBy("d.pick", "d.doc_id"))
-    chosen = sized.alias("d").join(quota.alias("q"), F.expr("d.source <=> q.source AND d.size = q.size AND d.part = q.part"))
-    more = sum((rank <= F.col("quota") - k * F.col("all")).cast("long") for k in range(max_epochs))
-    chosen = chosen.select("d.doc_id", "d.size", "q.source_size", "q.target", (F.col("epochs") + more).alias("copies"))
+
+
+def _chosen(rows: DataFrame, quotas: DataFrame, names: dict[str, str], max_epochs: int) -> tuple[DataFrame, F.Column]:
+    """Rows beside their cell (as q), and how often each is taken. A row keeps its columns: nothing is joined back by id."""
+    of, size, pick, part = (F.col(f"d.`{names[k]}`") for k in ("of", "size", "pick", "part"))
+    quotas = quotas.withColumn("of", _of(F.col("source")))
+    both = rows.alias("d").join(quotas.alias("q"), (of == F.col("q.of")) & (size == F.col("q.size")) & (part == F.col("q.part")))
+    rank = F.row_number().over(Window.partitionBy(of, size, part).orderBy(pick, F.col("d.doc_id")))
+    more = sum((rank <= F.col("q.quota") - k * F.col("q.all")).cast("long") for k in range(max_epochs))
+    return both, F.col("q.epochs") + more
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
+    """Rows of (doc_id, source, text) -> doc_id, size, source_size, target, copies, taken."""
+    names = {k: k for k in SIZED}
+    sized = write_table(_sized(docs.select("doc_id", "source", "text"), seed, names).drop("text"), "mix-sizes")
+    both, copies = _chosen(sized, _quotas(sized, weights, max_epochs), names, max_epochs)
+    chosen = both.select("d.doc_id", "d.size", "q.source_size", "q.target", copies.alias("copies"))
     return chosen.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, all columns, that the mix takes, with ``copies``: how often it takes them."""
-    mixed = mix_sources(docs, weights, max_epochs, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(mixed, "doc_id").select(*docs.columns, "copies")
+    """The rows of ``docs``, all columns, that the mix takes, with ``copies``: how often it takes them.
+
+    A column ``copies`` of ``docs`` gives way to it.
+    """
+    docs = docs.drop("copies")
+    plain = {k: k for k in SIZED}
+    sized = write_table(_sized(docs.select("doc_id", "source", "text"), seed, plain).drop("text"), "mix-sizes")
+    both, copies = _chosen(_sized(docs, seed, SIZED), _quotas(sized, weights, max_epochs), SIZED, max_epochs)
+    return both.select(*(F.col(f"d.`{c}`") for c in docs.columns), copies.alias("copies")).where("copies > 0")
