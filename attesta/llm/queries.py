@@ -16,7 +16,7 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.shared import write_table
     from attesta.llm.warc_bundles import read_bundles, revisits, write_bundles
 
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
     archive = write_table(write_bundles(revisits(pages)), "warc")
     return read_bundles(archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

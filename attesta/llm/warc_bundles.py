@@ -11,12 +11,16 @@ smallest identifier is a response, the others are revisits that name it.
 Defined results: a null payload is empty; a null identifier is kept, sorts after
 all others and never becomes a response that others name unless all are null;
 rows that share the smallest identifier are all responses; null urls have no
-target line; empty tables give no bundles; other columns are not read.
+target line; control characters of a url are escaped in its target line, and a
+line of our own keeps such a url as it was; the date of all records is the one
+given; empty tables give no bundles; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -39,7 +43,8 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     Payloads that at least a thousandth of all rows share are at most a thousand and are broadcast;
     any other is joined by digest, so that no task gets more than a thousandth of the rows for one key.
     """
-    rows = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    rows = pages.select("page_id", "url", F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     groups = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     many = F.lit(max(2, pages.count() // 1000))
     hot = groups.where(F.col("n") >= many).select("digest", F.col("first").alias("hot"))
@@ -50,17 +55,27 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(first), first)).select("page_id", "url", "payload", "digest", "payload_bytes", "refers_to")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit holds no payload."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
+#: The date of records where none is given: tables of pages have none.
+DATE = "1970-01-01T00:00:00Z"
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, date: str = DATE) -> bytes:
+    """One WARC record; a response holds an HTTP answer with the payload, a revisit nothing."""
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {size}"]
-    if refers_to is not None:
+        plain = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
+        head.append("WARC-Target-URI: " + plain)
+        if plain != url:
+            head.append("Page-Target-JSON: " + json.dumps(url))
+    head += [f"WARC-Payload-Digest: sha256:{digest}", f"Page-Payload-Length: {size}", "Content-Type: application/http;msgtype=response"]
+    block = b""
+    if refers_to is None:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
+    else:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-        payload = b""
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    head.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 class Bundle:
@@ -115,7 +130,7 @@ def read_frame(data: bytes, entry: tuple[int, int, int]) -> bytes:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header lines and content of one record."""
+    """Header lines and payload of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -124,15 +139,15 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     n = int(fields["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record doesn't end where its length says")
-    return fields, rest[:n]
+    return fields, rest[:n].partition(b"\r\n\r\n")[2]
 
 
 BUNDLES = "bundle string, n_records long, data binary, index array<struct<page_id:long,frame:int,offset:long,length:long>>"
 _INDEX = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
 
 
-def write_bundles(records: DataFrame, level: int = 3) -> DataFrame:
-    """Rows of ``revisits`` -> a row for each bundle: its bytes and its index."""
+def write_bundles(records: DataFrame, level: int = 3, date: str = DATE) -> DataFrame:
+    """Rows of ``revisits`` -> a row for each bundle: its bytes and its index. ``date``: of all records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, b = TaskContext.get().partitionId(), 0, Bundle(level)
@@ -144,7 +159,7 @@ def write_bundles(records: DataFrame, level: int = 3) -> DataFrame:
         for batch in batches:
             for page_id, url, payload, digest, size, refers in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "payload_bytes", "refers_to")), strict=True):
                 i = page_id.as_py()
-                b.add(i, record(i, url.as_py(), payload.as_py(), digest.as_py(), size.as_py(), refers.as_py()))
+                b.add(i, record(i, url.as_py(), payload.as_py(), digest.as_py(), size.as_py(), refers.as_py(), date))
                 if b.size >= BUNDLE_BYTES:
                     yield done()
                     k, b = k + 1, Bundle(level)
@@ -181,7 +196,8 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
                     if response and hashlib.sha256(content).hexdigest() != digest:
                         raise ValueError(f"record {page_id}: digest and payload differ")
                     refers = None if response else number(fields["WARC-Refers-To"])
-                    out.append((page_id, int(fields["WARC-Payload-Length"]), digest, fields["WARC-Type"], refers, fields.get("WARC-Target-URI"), content if payloads else None))
+                    url = json.loads(fields["Page-Target-JSON"]) if "Page-Target-JSON" in fields else fields.get("WARC-Target-URI")
+                    out.append((page_id, int(fields["Page-Payload-Length"]), digest, fields["WARC-Type"], refers, url, content if payloads else None))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)],
                     names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"],
