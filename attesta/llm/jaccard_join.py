@@ -23,8 +23,9 @@ intersection has at least ``percent`` in a hundred of the union.
 
 Defined results: a null or empty text has an empty set, no link, and its own id
 as component; fewer than k words make one shingle; rows of a repeated id count
-each and share the component of any of them only where their texts link;
-other columns of the input are not read.
+each and share the component of any of them only where their texts link; rows
+without an id link like others, a component's id is the smallest that there is,
+null if none is there; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from attesta.llm.textnum import LOWER, SPACE, Texts, mix, same, texts, windows,
 #: Frequent shingles that are put last, at most; any choice gives the same result.
 FREQUENT = 200_000
 _TOP = np.uint64(1 << 63)
-POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("prev", "<u4"), ("n", "<i4"), ("pos", "<i4")])
+POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("prev", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 #: Postings in a block of a list; lists of FEW or less are not cut.
 BLOCK, FEW = 64, 10
 #: Sets in a cell of a long list, about.
@@ -95,9 +96,9 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             often.append((v[n > 1], n[n > 1]))
             held.clear()
 
-        def rows(kind, ids, key, n):
+        def rows(kind, row, ids, key, n):
             m = len(key)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), ids, pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "doc_id", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), row, ids, pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "row", "doc_id", "key", "n"])
 
         for b in batches:
             for t in texts(b.column("text")):
@@ -105,7 +106,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 held.append(value)
                 if sum(map(len, held)) > 1_000_000:
                     count()
-                yield rows(0, b.column("doc_id").slice(t.first, len(t)), digests(value, off), np.diff(off))
+                yield rows(0, *(b.column(c).slice(t.first, len(t)) for c in ("row", "doc_id")), digests(value, off), np.diff(off))
         if held:
             count()
         if often:
@@ -115,9 +116,10 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             at = np.flatnonzero(same(v))
             n = np.add.reduceat(n, at) if len(at) else n
             v = v[at]
-            yield rows(1, pa.nulls(int((n > 2).sum()), pa.int64()), v[n > 2], n[n > 2])
+            none = pa.nulls(int((n > 2).sum()), pa.int64())
+            yield rows(1, none, none, v[n > 2], n[n > 2])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long")
+    return docs.mapInArrow(run, "kind int, row long, doc_id long, key long, n long")
 
 
 def _post(docs: DataFrame, k: int, percent: int, last, buckets: int) -> DataFrame:
@@ -140,7 +142,7 @@ def _post(docs: DataFrame, k: int, percent: int, last, buckets: int) -> DataFram
                 at = off[:-1][doc] + pos
                 r = np.zeros(len(doc), POSTING)
                 r["token"], r["key"], r["n"], r["pos"] = value[at], key[doc], n[doc], pos
-                r["prev"] = np.where(pos > 0, value[np.maximum(at - 1, 0)] & np.uint64(0xFFFFFFFF), 0)
+                r["prev"] = np.where(pos > 0, value[np.maximum(at - 1, 0)], np.uint64(0))
                 yield from packer.add(r)
         yield from packer.flush()
 
@@ -383,14 +385,21 @@ def _resolve_apart(members: DataFrame, percent: int) -> DataFrame:
     return _deal_out(members).mapInArrow(run, FOUND)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
-    """Rows of (doc_id, text) -> a row each: doc_id, n_shingles, component_id."""
+def _row() -> F.Column:
+    """What tells texts apart: a hash of id and text, whatever is null."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def _components(docs: DataFrame, k: int, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of (row, doc_id, text) -> sets (row, doc_id, key, n) of all rows, and classes (key, n, first, root): of each
+    set that isn't empty its rows, its smallest doc_id, and a name of its component."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = write_table(_profile(docs, k), "jaccard-profile")
-    often = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "key").limit(FREQUENT)
+    # every task that read texts may hand in a count of a shingle that is frequent everywhere: summed in two steps
+    parts = profile.where("kind = 1").groupBy("key", F.pmod(F.spark_partition_id(), F.lit(16)).alias("part")).agg(F.sum("n").alias("n"))
+    often = parts.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "key").limit(FREQUENT)
     last = spark.sparkContext.broadcast(np.sort(often.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
-    sets = profile.where("kind = 0").select("doc_id", "key", "n")
+    sets = profile.where("kind = 0").select("row", "doc_id", "key", "n")
     buckets = n_buckets(spark)
 
     def work(table: pa.Table) -> pa.Table:
@@ -398,12 +407,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
         return pa.table({"hub": pa.array(got[:, 0]), "key": pa.array(got[:, 1])})
 
     members = write_table(_post(docs, k, percent, last, buckets).groupBy("bucket").applyInArrow(work, "hub long, key long").distinct(), "jaccard-members")
-    filled = sets.where("n > 0")
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    at = classes.select("key", F.col("first").alias("doc_id"))
+    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.count("*").alias("n"))
     dealt = write_table(_deal(members, chunk), "jaccard-cells")
     drop_table(members)
-    found = write_table(_resolve(docs.join(dealt.join(at, "key"), "doc_id").select(*dealt.columns, "text"), k, percent), "jaccard-links")
+    texts_of = docs.select("row", "text").join(dealt.join(classes.select("key", "row"), "key"), "row")
+    found = write_table(_resolve(texts_of.select(*dealt.columns, "text"), k, percent), "jaccard-links")
     links = found.where("kind = 0").select("a", "b")
     apart = found.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("key"))
     if apart.head(1):
@@ -413,16 +421,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
         links = links.union(write_table(more.select("a", "b"), "jaccard-links"))
     drop_table(dealt)
     roots = components(links)
-    least = classes.join(roots.withColumnRenamed("node", "key"), "key").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    return sets, classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "first", "root")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+    """Rows of (doc_id, text) -> a row each: doc_id, n_shingles, component_id."""
+    docs = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets, classes = _components(docs, k, percent, chunk)
+    tied = classes.where("root IS NOT NULL")
+    least = tied.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     # by root as classes: a large component's sets don't meet in one task
-    linked = join_classes(roots, least, "root", roots.count()).select(F.col("node").alias("key"), "least")
-    of_class = classes.join(linked, "key", "left").select("key", "n", F.coalesce("least", "first").alias("component_id"))
-    full = join_classes(filled.withColumnRenamed("n", "n_shingles"), of_class, "key", profile.count()).select("doc_id", "n_shingles", "component_id")
+    known = join_classes(tied.select("key", F.col("n").alias("rows"), "root"), least, "root", tied.count())
+    of_class = known.select("key", F.col("rows").alias("n"), "component_id").union(classes.where("root IS NULL").select("key", "n", "first"))
+    filled = sets.where("n > 0").withColumnRenamed("n", "n_shingles")
+    full = join_classes(filled, of_class, "key", sets.count()).select("doc_id", "n_shingles", "component_id")
     return full.union(sets.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns: of each component the one with the smallest doc_id. Rows without an id stay."""
-    found = jaccard_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs``, all columns: of each component one row, that with the smallest doc_id (null last), and of
+    several such the one whose hash of id and text is smallest. Texts without a word link with nothing and stay.
+    """
+    rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets, classes = _components(rows, k, percent, CHUNK)
+    best = sets.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
+    firsts = best.join(classes.select("key", "root"), "key")
+    mine = F.coalesce("root", "key")  # a component's name is the key of one of its sets
+    row = "attesta near row"
+    winners = firsts.groupBy(mine.alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.where(~wordless).withColumn(row, _row()).join(winners, row, "left_semi").dropDuplicates([row]).drop(row)
+    return kept.unionByName(docs.where(wordless))
