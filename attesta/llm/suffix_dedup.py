@@ -148,11 +148,11 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 def context_dtype(length: int, k: int) -> np.dtype:
-    return np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("a", "<i2"), ("b", "<i2"), ("right", f"S{length}"), ("left", f"S{length - k}")])
+    return np.dtype([("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("a", "<i2"), ("b", "<i2"), ("right", f"S{length}"), ("left", f"S{length - k}")])
 
 
-def contexts(data: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, rows: np.ndarray, length: int, k: int) -> np.ndarray:
-    """Of each place the bytes from it on, and those before it backwards; 1 is added, so that 0 stands for none."""
+def contexts(data: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, rows: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place the bytes from it on, and those before it backwards; 1 is added, so that 0 stands for none. And the anchors' hashes."""
     out = np.zeros(len(pos), context_dtype(length, k))
     at = off[doc] + pos
     out["doc"], out["row"], out["pos"] = ids[doc], rows[doc], pos
@@ -164,10 +164,8 @@ def contexts(data: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.ndarray
     left = padded[at[:, None] - 1 - np.arange(length - k)]
     left[np.arange(length - k) >= a[:, None]] = 0
     out["right"], out["left"] = np.ascontiguousarray(right).view(f"S{length}").ravel(), np.ascontiguousarray(left).view(f"S{length - k}").ravel()
-    if len(pos):
-        pw, _ = powers(k + 1)
-        out["hash"] = mix((textnum._R[right[:, :k] - np.uint8(1)] * pw[:k]).sum(axis=1, dtype=np.uint64))
-    return out
+    pw, _ = powers(k + 1)
+    return out, mix((textnum._R[right[:, :k] - np.uint8(1)] * pw[:k]).sum(axis=1, dtype=np.uint64))
 
 
 def _prefixes(column: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -246,14 +244,15 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
     kind = context_dtype(length, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            r = np.concatenate(held)
+            r, h = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((r["pos"], r["row"], r["doc"], r["hash"]))
-            r = r[order]
-            r = r[np.r_[True, (r["hash"][1:] != r["hash"][:-1]) | (r["row"][1:] != r["row"][:-1]) | (r["pos"][1:] != r["pos"][:-1])]] if len(r) else r
+            order = np.lexsort((r["pos"], r["row"], r["doc"], h))
+            r, h = r[order], h[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (r["row"][1:] != r["row"][:-1]) | (r["pos"][1:] != r["pos"][:-1])] if len(r) else np.zeros(0, bool)
+            r, h = r[new], h[new]
             raw = r.view(np.uint8).reshape(len(r), kind.itemsize)[:, kind.fields["right"][1] :]
             pw, _ = powers(raw.shape[1])
             body = np.zeros(len(r), np.uint64)
@@ -267,8 +266,8 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
             copies = x[x["a"] + x["b"] >= length]
             s = np.zeros(len(copies), SPAN)
             s["row"], s["start"], s["end"] = copies["row"], copies["pos"] - copies["a"], copies["pos"] + copies["b"]
-            own = r[by[~again]]
-            yield pack(own, (own["hash"] % np.uint64(buckets)).astype(np.int32), 0)
+            own = by[~again]
+            yield pack(r[own], (h[own] % np.uint64(buckets)).astype(np.int32), 0)
             s = _spans(s)
             yield pack(s, (s["row"] % buckets).astype(np.int32), 1)
 
@@ -283,7 +282,7 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
                 for x in range(0, len(ok), 100_000):
                     some = ok[x : x + 100_000]
                     held.append(contexts(t.data, t.off, doc[some], pos[some], ids[mine], keys[mine], length, k))
-                    if sum(map(len, held)) > 150_000:
+                    if sum(len(x) for x, _ in held) > 150_000:
                         yield from flush()
         if held:
             yield from flush()
