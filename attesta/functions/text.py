@@ -17,6 +17,7 @@ INVISIBLES = r"[​‍‎‏‪-‮⁦-⁩﻿]"
 NAME_DROPPED = r"[^ء-غف-يٮ-ۓە‌ ]"
 ZWNJ = "‌"
 FOLD_FROM, FOLD_TO = "ژگپچ", "زکبج"
+BASE_FROM, BASE_TO = "گژپچەڕێۆڵڤ", "کزبجهریولف"
 
 
 def fold_digits(c: Column) -> Column:
@@ -85,6 +86,16 @@ def fold_key(c: Column) -> Column:
     return F.translate(match_key(c), FOLD_FROM, FOLD_TO)
 
 
+def base_key(c: Column) -> Column:
+    """Letters only, and Kurdish and Persian ones as the Arabic letters they come from."""
+    return F.translate(match_key(c), BASE_FROM, BASE_TO)
+
+
+def label_of(c: Column) -> Column:
+    """A training label: without joiners, which aren't drawn, and with single spaces; null gives ''."""
+    return _spaces(F.translate(F.coalesce(c, F.lit("")), ZWNJ, ""))
+
+
 def reading_order(c: Column) -> Column:
     """Right-to-left text for display: runs in reverse order, and letters reversed in all but runs of digits and Latin letters."""
     runs = F.regexp_extract_all(c, F.lit(r"([0-9A-Za-z]+|[^0-9A-Za-z]+)"), 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Steps in the order they are shown, groups of checks with their codes, words that name an editor.
 STEPS = ("document", "forensics", "selfie", "antispoof", "face_match", "liveness")
 GROUPS = {
     "single_person": ("multiple_faces",), "distance": ("face_too_small", "face_too_large", "face_off_center", "face_cut_off", "face_too_close_for_context"),
@@ -12,6 +13,7 @@ GROUPS = {
     "eyes_open": ("eyes_closed",), "mouth_closed": ("mouth_open",), "gaze": ("gaze_off_center",), "no_cover": ("face_occluded",), "background": ("background_not_uniform",),
 }
 MODES = ("off", "info", "block")
+EDITORS = ("photoshop", "gimp", "snapseed", "picsart", "canva", "lightroom", "pixlr", "paint.net", "affinity", "polarr", "facetune", "remini", "photoroom", "illustrator", "corel")
 
 
 def severity_rank(c: Column) -> Column:
@@ -80,28 +82,84 @@ def reason_outcomes(reasons: DataFrame, reject: tuple[str, ...], reject_warned:
     return reasons.where("severity IN ('error', 'warn')").withColumn("outcome", F.when(listed, "rejected").otherwise("manual_review"))
 
 
-def case_verdict(cases: DataFrame, results: DataFrame, reasons: DataFrame, required: tuple[str, ...], reject: tuple[str, ...], reject_warned: tuple[str, ...] = ()) -> DataFrame:
-    """cases(case_id), results(case_id, step, status, decision, score), reasons(case_id, step, code, severity) -> verdict, blocking, review_score.
+RESULTS = "array<struct<step:string,status:string,decision:string,score:double>>"
+REASONS = "array<struct<step:string,code:string,severity:string>>"
+
+
+def gather(cases: DataFrame, results: DataFrame, reasons: DataFrame) -> DataFrame:
+    """cases(case_id), results(case_id, step, status, decision, score), reasons(case_id, step, code, severity) ->
+    case_id, results, reasons: all of a case in one row, by one exchange. A case has a few steps with a few reasons each.
+    """
+    none = lambda kind: F.lit(None).cast(kind[6:-1])
+    result = F.struct("step", "status", "decision", F.col("score").cast("double").alias("score"))
+    rows = cases.select("case_id", F.lit(1).alias("open"), none(RESULTS).alias("result"), none(REASONS).alias("reason"))
+    rows = rows.union(results.where("case_id IS NOT NULL").select("case_id", F.lit(0), result, none(REASONS)))
+    rows = rows.union(reasons.where("case_id IS NOT NULL").select("case_id", F.lit(0), none(RESULTS), F.struct("step", "code", "severity")))
+    out = rows.groupBy("case_id").agg(F.sum("open").cast("int").alias("open"), F.collect_list("result").alias("results"), F.collect_list("reason").alias("reasons"))
+    return out.where("open > 0").select("case_id", "results", "reasons", F.explode(F.sequence(F.lit(1), F.col("open"))).alias("copy")).drop("copy")
+
+
+def judge(gathered: DataFrame, required: tuple[str, ...], reject: tuple[str, ...], reject_warned: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``gather`` -> the same with verdict, blocking, review_score, by functions on each row alone.
 
     A rejected outcome rejects; any other blocking one, a missing or unavailable
     step, or a non-pass without a blocking reason asks for a human; else approved.
     """
-    order = F.array_position(F.array(*map(F.lit, STEPS)), F.col("step"))
-    missing = missing_steps(cases, results, required).select("case_id", "step", F.lit("step_missing").alias("code"), F.lit("manual_review").alias("outcome"))
-    gone = results.where("status = 'unavailable'").select("case_id", "step", F.lit("module_unavailable").alias("code"), F.lit("manual_review").alias("outcome"))
-    done = results.where("status = 'done'")
-    said = reason_outcomes(reasons, reject, reject_warned).join(done.select("case_id", "step"), ["case_id", "step"], "left_semi").select("case_id", "step", "code", "outcome")
-    vague = done.where("decision <> 'pass'").join(said, ["case_id", "step"], "left_anti")
-    vague = vague.select("case_id", "step", F.concat_ws("_", "step", "decision").alias("code"), F.lit("manual_review").alias("outcome"))
-    blocking = missing.union(gone).union(said).union(vague).withColumn("ord", order)
-    rolled = blocking.groupBy("case_id").agg(
-        F.max(F.col("outcome") == "rejected").alias("rejected"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "step", "code"))), lambda x: F.concat_ws(":", x["step"], x["code"])), ",").alias("blocking"),
-    )
-    score = done.groupBy("case_id").agg(F.round(F.min("score"), 4).alias("review_score"))
-    out = cases.select("case_id").join(rolled, "case_id", "left").join(score, "case_id", "left")
-    verdict = F.when(F.col("rejected"), "rejected").when(F.col("blocking").isNotNull(), "manual_review").otherwise("approved")
-    return out.select("case_id", verdict.alias("verdict"), F.coalesce("blocking", F.lit("")).alias("blocking"), F.coalesce("review_score", F.lit(0.0)).alias("review_score"))
+    step = lambda x: x["step"]
+    code = lambda what, of=step: lambda x: F.struct(of(x).alias("step"), what(x).alias("code"))
+    done = F.filter("results", lambda r: r["status"] == "done")
+    gone = F.transform(F.filter("results", lambda r: r["status"] == "unavailable"), code(lambda r: F.lit("module_unavailable")))
+    lacking = F.array_except(F.array(*map(F.lit, required)), F.transform("results", step))
+    missing = F.transform(lacking, code(lambda s: F.lit("step_missing"), lambda s: s))
+    steps_done = F.transform(done, step)
+    said = F.filter("reasons", lambda q: q["severity"].isin("error", "warn") & F.array_contains(steps_done, q["step"]))
+    vague = F.filter(done, lambda r: (r["decision"] != "pass") & ~F.coalesce(F.array_contains(F.transform(F.col("said"), step), r["step"]), F.lit(False)))
+    vague = F.transform(vague, code(lambda r: F.concat_ws("_", r["step"], r["decision"])))
+    order = F.array(*map(F.lit, STEPS))
+    listed = lambda q: ((q["severity"] == "error") & q["code"].isin(*reject)) | ((q["severity"] == "warn") & q["code"].isin(*reject_warned))
+    out = gathered.withColumn("said", said)
+    out = out.withColumn("all", F.concat(missing, gone, F.transform("said", code(lambda q: q["code"])), vague))
+    ranked = F.array_sort(F.transform("all", lambda x: F.struct(F.array_position(order, x["step"]).alias("ord"), x["step"].alias("step"), x["code"].alias("code"))))
+    blocking = F.array_join(F.transform(ranked, lambda x: F.concat_ws(":", x["step"], x["code"])), ",")
+    verdict = F.when(F.exists("said", listed), "rejected").when(F.size("all") > 0, "manual_review").otherwise("approved")
+    return out.withColumns({"verdict": verdict, "blocking": blocking, "review_score": review_score(F.transform(done, lambda r: r["score"]))}).drop("said", "all")
+
+
+def review_score(scores: Column) -> Column:
+    """The lowest of an array of scores, 0 where there is none: it ranks the queue, it never decides."""
+    return F.coalesce(F.round(F.array_min(scores), 4), F.lit(0.0))
+
+
+def case_verdict(cases: DataFrame, results: DataFrame, reasons: DataFrame, required: tuple[str, ...], reject: tuple[str, ...], reject_warned: tuple[str, ...] = ()) -> DataFrame:
+    """``gather`` and ``judge``: case_id, verdict, blocking, review_score for each row of ``cases``."""
+    return judge(gather(cases, results, reasons), required, reject, reject_warned).select("case_id", "verdict", "blocking", "review_score")
+
+
+def flag_editors(media: DataFrame, software: str, words: tuple[str, ...] = EDITORS) -> DataFrame:
+    """edited: does the software's name hold one of the words? An unnamed one doesn't."""
+    low = F.lower(F.coalesce(software, F.lit("")))
+    hit = F.lit(False)
+    for w in words:
+        hit |= low.contains(w)
+    return media.withColumn("edited", hit)
+
+
+def field_findings(readings: DataFrame, spec: DataFrame, least: float) -> DataFrame:
+    """readings(field, value, confidence, ...) and spec(field, exact_len) -> the same with ``findings``, an array of codes.
+
+    Only fields with a value have findings. ``spec`` has a row for each field; fields without one have no length to meet.
+    """
+    filled = F.coalesce(F.col("value") != "", F.lit(False))
+    low = F.when(filled & (F.col("confidence") < least), F.lit("field_low_confidence"))
+    size = F.when(filled & (F.length("value") != F.col("exact_len")), F.lit("field_length_mismatch"))
+    both = readings.join(spec.select("field", "exact_len"), "field", "left")
+    return both.withColumn("findings", F.array_compact(F.array(low, size))).drop("exact_len").select(*readings.columns, "findings")
+
+
+def reuse_match(cases: DataFrame, matches: DataFrame, keys: tuple[str, ...] = ("case_id", "capture_id", "card"), order: str = "made") -> DataFrame:
+    """cases(keys) and stored matches(keys, match_id, order) -> the newest match of just this selfie and card, null where a new one is needed."""
+    newest = matches.groupBy(*keys).agg(F.max_by("match_id", order).alias("match_id"))
+    return cases.join(newest, list(keys), "left")
 
 
 def assemble_case(cases: DataFrame, results: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
@@ -167,10 +225,24 @@ def frame_findings(m: dict[str, Column], cfg: dict[str, float]) -> Column:
 
 
 def policy_as_of(verdicts: DataFrame, policies: DataFrame, at: str) -> DataFrame:
-    """The version in force at each row's time: the latest that began by then."""
-    begun = verdicts.join(F.broadcast(policies), F.col("valid_from") <= F.col(at), "left")
-    last = F.row_number().over(Window.partitionBy(*verdicts.columns).orderBy(F.desc("valid_from")))
-    return begun.withColumn("rn", last).where("rn = 1").drop("rn")
+    """policies(version, valid_from): the version in force at each row's time, the latest that began by then; null before all.
+
+    Versions become stretches of days; a row meets only those of its own day. Of equal starts the larger version counts.
+    """
+    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
+    p = policies.where("valid_from IS NOT NULL").groupBy(F.col("valid_from").cast("timestamp").alias("valid_from")).agg(F.max("version").alias("version"))
+    p = p.withColumn("_day", day(F.col("valid_from")))
+    # of each day its last version serves the days after it, until the next day that has one
+    first = p.groupBy("_day").agg(F.collect_list(F.struct("valid_from", "version")).alias("_of_day"), F.max(F.struct("valid_from", "version")).alias("_last"))
+    rows = verdicts.withColumn("_at", F.col(at).cast("timestamp"))
+    days = rows.select(day(F.col("_at")).alias("_day")).where("_day IS NOT NULL").distinct().unionByName(first.select("_day")).distinct()
+    w = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each day that occurs: years of days are some thousands
+    known = days.join(first, "_day", "left").withColumn("_before", F.last("_last", ignorenulls=True).over(w))
+    both = rows.withColumn("_day", day(F.col("_at"))).join(known, "_day", "left")
+    today = F.array_max(F.filter("_of_day", lambda x: x["valid_from"] <= F.col("_at")))
+    found = F.coalesce(today, F.col("_before"))
+    return both.select(*verdicts.columns, found["version"].alias("version"), found["valid_from"].alias("valid_from"))
 
 
 def validate_documents(wide: DataFrame, today: Column) -> DataFrame:

@@ -124,6 +124,13 @@ def reap_idle(events: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
     return events.groupBy(key, s.alias("s")).agg(F.count("*").alias("events")).select(key, F.col("s.start").alias("began"), F.col("s.end").alias("closes"), "events")
 
 
+def reap_expired(events: DataFrame, key: str, ts: str, ttl_s: int) -> DataFrame:
+    """Sessions end ``ttl_s`` after their first event, whatever follows; they are dropped one time more of that later."""
+    out = events.groupBy(key).agg(F.min(ts).alias("began"))
+    after = lambda n: F.col("began") + F.make_dt_interval(secs=F.lit(n * ttl_s))
+    return out.withColumns({"expires": after(1), "dropped_at": after(2)})
+
+
 def valid_captures(requests: DataFrame, captures: DataFrame, key: str, ts: str, created: str, ttl_s: int) -> DataFrame:
     """Requests with the captures of their key that are there and not past five times the time to live."""
     age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(created).cast("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import dates
-from attesta.operators import curation, decisions
+from attesta.operators import curation, decisions, evaluation
 from attesta.plans.tables import FRAMES, RESULTS, frames, reasons, results, table
 
 REQUIRED = ("document", "selfie", "antispoof", "face_match", "liveness")
@@ -63,11 +63,9 @@ def prj7(s, d):
 
 
 def prj12(s, d):
-    spec = F.when(F.col("lang") == "en", 9).when(F.col("lang") == "fr", 8)
-    docs = table(s, d, "documents").withColumn("want", spec).withColumn("confidence", (F.col("n_chars") % 100) / 100.0)
-    low = F.when((F.col("confidence") < 0.3) & (F.length("text") > 0), F.lit("field_low_confidence"))
-    size = F.when(F.length("text") % 10 != F.col("want"), F.lit("field_length"))
-    return docs.select("doc_id", F.array_join(F.array_compact(F.array(low, size)), ",").alias("codes"))
+    spec = s.createDataFrame([("en", 300), ("fr", 200)], "field string, exact_len int")
+    docs = table(s, d, "documents").select("doc_id", F.col("lang").alias("field"), F.col("text").alias("value"), ((F.col("n_chars") % 100) / 100.0).alias("confidence"))
+    return decisions.field_findings(docs, spec, 0.3).select("doc_id", F.array_join("findings", ",").alias("codes"))
 
 
 def _wide(s, d):
@@ -130,11 +128,10 @@ def policies(s):
 
 
 def jn11(s, d):
-    """A stored match serves the same pair of selfie and card only."""
-    f = frames(s, d).withColumn("card", F.col("k") % 4)
-    last = f.groupBy("user_id", "card").agg(F.max("event_id").alias("match_id"))
-    cases = f.groupBy("user_id").agg(F.max_by("card", "event_id").alias("card"), F.max("event_id").alias("at"))
-    return cases.join(last, ["user_id", "card"], "left").select("user_id", "card", (F.col("match_id") < F.col("at")).alias("stale"), "match_id")
+    """A user's newest frame asks for the match that was made for its selfie and card."""
+    f = frames(s, d).select(F.col("user_id").alias("case_id"), (F.col("k") % 3).alias("capture_id"), (F.col("k") % 4).alias("card"), F.col("event_id").alias("match_id"))
+    newest = f.groupBy("case_id").agg(F.max(F.struct("match_id", "capture_id", "card")).alias("x")).select("case_id", "x.capture_id", "x.card")
+    return decisions.reuse_match(newest, f.where("match_id % 5 <> 0").withColumn("made", F.col("match_id")))
 
 
 QUERIES = {
@@ -145,9 +142,9 @@ QUERIES = {
     "prj6_three_bands": prj6,
     "prj7_retake_guard": prj7,
     "prj8_tenant_view": lambda s, d: decisions.tenant_view(table(s, d, "orders"), "o_custkey", 7).select("o_orderkey", "o_orderstatus"),
-    "prj9_flag_editors": lambda s, d: table(s, d, "pages").select("page_id", F.lower("html").rlike("photoshop|gimp|lightroom|canva|track").alias("edited")),
-    "prj10_path_fields": lambda s, d: table(s, d, "documents").select("doc_id", F.substring_index(F.concat_ws("__", "lang", "source"), "__", -1).alias("field"), F.split_part(F.concat_ws("_", "lang", "source"), F.lit("_"), F.lit(1)).alias("split")),
-    "prj11_fit_labels": lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.count_if(F.length("text") <= 500).alias("kept"), F.count_if(F.length("text") > 500).alias("dropped")),
+    "prj9_flag_editors": lambda s, d: decisions.flag_editors(table(s, d, "pages"), "html").select("page_id", "edited"),
+    "prj10_path_fields": lambda s, d: evaluation.crop_keys(table(s, d, "documents").select("doc_id", F.concat(F.lit("a__b/"), "lang", F.lit("_7__x__"), "source", F.lit(".png")).alias("path")), "path").select("doc_id", "field", "split"),
+    "prj11_fit_labels": lambda s, d: evaluation.fit_labels(table(s, d, "documents"), "text", 500)[1],
     "prj12_field_findings": prj12,
     "prj13_validate_documents": lambda s, d: decisions.profile("ir_national_card_front")[0](_wide(s, d), today()).select("c_custkey", "codes"),
     "prj14_enrich": lambda s, d: decisions.enrich(_wide(s, d), today()).select("c_custkey", "born", "age", "ends", "expired", "id_valid"),
@@ -164,7 +161,7 @@ QUERIES = {
     "ag2_decide": lambda s, d: decisions.decide(_cases(s, d).select("case_id"), reasons(results(s, d)), "case_id"),
     "ag3_ocr_score": lambda s, d: decisions.ocr_score(table(s, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 3 > 0, "v").alias("value"), (F.col("l_quantity") / 50).cast("double").alias("confidence")), "l_orderkey").withColumn("ocr_score", F.round("ocr_score", 6)),
     "ag4_case_verdict": _verdicts,
-    "ag5_review_score": lambda s, d: results(s, d).groupBy("case_id").agg(F.round(F.min("score"), 4).alias("review_score")),
+    "ag5_review_score": lambda s, d: decisions.judge(decisions.gather(_cases(s, d), results(s, d), reasons(results(s, d))), REQUIRED, REJECT).select("case_id", "review_score"),
     "ag34_weighted_verdict": lambda s, d: decisions.weighted_verdict(results(s, d), {"document": 0.4, "face_match": 0.35, "liveness": 0.25}).withColumn("weighted", F.round("weighted", 6)),
     "sl1_order_findings": lambda s, d: decisions.order_findings(reasons(results(s, d)), "case_id", ("spoof_detected", "under_age")),
     "sl5_review_queue": lambda s, d: decisions.review_queue(_verdicts(s, d), 50),
@@ -188,10 +185,10 @@ SQL = {
     "prj6_three_bands": f"WITH {RESULTS} SELECT result_id, CASE WHEN score >= 0.45 THEN CASE WHEN result_id % 5 = 0 THEN 'review' ELSE 'pass' END WHEN score < 0.25 THEN 'fail' ELSE 'review' END AS decision, least(1.0, greatest(0.0, CASE WHEN score < 0.25 THEN least(score, 0.5) ELSE score END)) AS band_score FROM results",
     "prj7_retake_guard": f"WITH {FRAMES} SELECT event_id, CASE WHEN k % 10 > 0 AND value < 5 THEN 'retake_low_quality' ELSE 'pass' END AS decision FROM frames",
     "prj8_tenant_view": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7",
-    "prj9_flag_editors": "SELECT page_id, regexp_matches(lower(html), 'photoshop|gimp|lightroom|canva|track') AS edited FROM pages",
+    "prj9_flag_editors": f"SELECT page_id, regexp_matches(lower(coalesce(html, '')), '{'|'.join(decisions.EDITORS).replace('.', '[.]')}') AS edited FROM pages",
     "prj10_path_fields": "SELECT doc_id, source AS field, lang AS split FROM documents",
-    "prj11_fit_labels": "SELECT lang, count(*) FILTER (length(text) <= 500) AS kept, count(*) FILTER (length(text) > 500) AS dropped FROM documents GROUP BY 1",
-    "prj12_field_findings": "SELECT doc_id, concat_ws(',', CASE WHEN (n_chars % 100) / 100.0 < 0.3 AND length(text) > 0 THEN 'field_low_confidence' END, CASE WHEN length(text) % 10 <> CASE lang WHEN 'en' THEN 9 WHEN 'fr' THEN 8 END THEN 'field_length' END) AS codes FROM documents",
+    "prj11_fit_labels": "SELECT count(*) FILTER (length(text) <= 500) AS kept, count(*) FILTER (text IS NULL OR length(text) > 500) AS dropped FROM documents",
+    "prj12_field_findings": "SELECT doc_id, CASE WHEN text <> '' THEN concat_ws(',', CASE WHEN (n_chars % 100) / 100.0 < 0.3 THEN 'field_low_confidence' END, CASE WHEN length(text) <> CASE lang WHEN 'en' THEN 300 WHEN 'fr' THEN 200 END THEN 'field_length_mismatch' END) ELSE '' END AS codes FROM documents",
     "prj13_validate_documents": f"""WITH {WIDE} SELECT c_custkey, concat_ws(',', CASE WHEN national_id IS NULL THEN 'national_id_missing' WHEN length(national_id) <> 10 THEN 'national_id_length' WHEN NOT id_ok THEN 'national_id_checksum' END,
         CASE WHEN birth_date IS NULL THEN 'birth_date_missing' WHEN born IS NULL THEN 'birth_date_invalid' WHEN age < 0 OR age > 120 THEN 'birth_date_implausible' WHEN age < 18 THEN 'under_age' END,
         CASE WHEN expiry_date IS NULL THEN 'expiry_missing' WHEN ends IS NULL THEN 'expiry_invalid' WHEN ends < DATE '2026-01-01' THEN 'card_expired' END, CASE WHEN born >= ends THEN 'date_order' END,
@@ -203,14 +200,14 @@ SQL = {
     "prj16_missing_fields": f"WITH {WIDE} SELECT c_custkey, concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL OR {c} = '' THEN '{c}' END" for c in ("national_id", "birth_date", "expiry_date", "first_name", "last_name", "father_name")) + ") AS missing FROM a",
     "jn1_assemble_case": f"WITH {RESULTS} SELECT c_custkey AS case_id, " + ", ".join(f"max(decision) FILTER (step = '{x}') AS {x}" for x in REQUIRED) + " FROM customer LEFT JOIN results ON case_id = c_custkey GROUP BY 1",
     "jn2_missing_steps": f"WITH {RESULTS}, req AS (SELECT unnest(['document', 'selfie', 'antispoof', 'face_match', 'liveness']) AS step) SELECT c_custkey AS case_id, req.step FROM customer, req WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.case_id = c_custkey AND r.step = req.step)",
-    "jn11_reuse_match": f"WITH {FRAMES}, c AS (SELECT user_id, arg_max(k % 4, event_id) AS card, max(event_id) AS latest FROM frames GROUP BY 1), m AS (SELECT user_id, k % 4 AS card, max(event_id) AS match_id FROM frames GROUP BY 1, 2) SELECT user_id, card, match_id < latest AS stale, match_id FROM c LEFT JOIN m USING (user_id, card)",
+    "jn11_reuse_match": f"WITH {FRAMES}, c AS (SELECT user_id, arg_max(k, event_id) AS k FROM frames GROUP BY 1), m AS (SELECT user_id, k % 3 AS a, k % 4 AS b, max(event_id) AS match_id FROM frames WHERE event_id % 5 <> 0 GROUP BY 1, 2, 3) SELECT c.user_id AS case_id, k % 3 AS capture_id, k % 4 AS card, match_id FROM c LEFT JOIN m ON m.user_id = c.user_id AND a = k % 3 AND b = k % 4",
     "jn16_reason_outcomes": f"WITH {RESULTS} SELECT step, code, CASE WHEN severity = 'error' AND code IN ('spoof_detected', 'faces_do_not_match') THEN 'rejected' ELSE 'manual_review' END AS outcome, count(*) AS n FROM reasons GROUP BY 1, 2, 3",
     "jn17_policy_as_of": "SELECT o_orderkey, CASE WHEN o_orderdate >= DATE '1999-01-01' THEN 'v3' WHEN o_orderdate >= DATE '1995-06-01' THEN 'v2' WHEN o_orderdate >= DATE '1990-01-01' THEN 'v1' END AS version FROM orders",
     "ag1_best_per_class": "SELECT l_orderkey, l_returnflag, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_quantity DESC, l_linenumber) AS rn FROM lineitem) WHERE rn = 1",
     "ag2_decide": f"WITH {RESULTS} SELECT c_custkey AS case_id, CASE WHEN bool_or(severity = 'error') THEN 'fail' WHEN bool_or(severity = 'warn') THEN 'review' ELSE 'pass' END AS decision FROM customer LEFT JOIN reasons ON case_id = c_custkey GROUP BY 1",
     "ag3_ocr_score": "SELECT l_orderkey, round(sum(CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_quantity AS DOUBLE) / 50 ELSE 0 END) / count(*), 6) AS ocr_score FROM lineitem GROUP BY 1",
     "ag4_case_verdict": f"{_VERDICT} SELECT * FROM verdicts",
-    "ag5_review_score": f"WITH {RESULTS} SELECT case_id, round(min(score), 4) AS review_score FROM results GROUP BY 1",
+    "ag5_review_score": f"{_VERDICT} SELECT case_id, review_score FROM verdicts",
     "ag34_weighted_verdict": f"WITH {RESULTS}, w AS (SELECT *, CASE step WHEN 'document' THEN 0.4::DOUBLE WHEN 'face_match' THEN 0.35::DOUBLE WHEN 'liveness' THEN 0.25::DOUBLE END AS w FROM results) SELECT case_id, round(sum(w * score) / sum(w), 6) AS weighted FROM w WHERE w IS NOT NULL GROUP BY 1",
     "sl1_order_findings": f"WITH {RESULTS} SELECT case_id, string_agg(code, ',' ORDER BY severity <> 'error', CASE code WHEN 'spoof_detected' THEN 1 WHEN 'under_age' THEN 2 ELSE 3 END, code) AS codes FROM reasons GROUP BY 1",
     "sl5_review_queue": f"{_VERDICT} SELECT * FROM verdicts WHERE verdict <> 'approved' ORDER BY review_score, case_id LIMIT 50",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.functions import measures, text
+from attesta.functions import dates, measures, text
 from attesta.operators import blocks as B
 from attesta.operators import curation as C
+from attesta.operators import evaluation as E
+from attesta.operators import images
 from attesta.operators import matching as M
 from attesta.operators import statistics as S
 from attesta.plans.tables import CELLS, FRAMES, LABELLED, NAMES, REFERENCE, cells, frames, labelled, lexicon, table, words
@@ -30,17 +32,7 @@ def _vectors(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), "embedding")
 
 
-def _pairs(s, d):
-    return M.evaluation_pairs(_vectors(s, d), 20)
-
-
-def ag30(s, d):
-    r = S.fmr_fnmr(_pairs(s, d), "similarity", F.col("genuine"), GRID, 0.01)
-    return r.select("threshold", F.round("fmr", 6).alias("fmr"), F.round("fnmr", 6).alias("fnmr"), "chosen")
-
-
-def ag30_all(s, d):
-    r = B.fmr_fnmr(_vectors(s, d), GRID, 0.01)
+def _rates(r):
     return r.select("threshold", F.round("fmr", 6).alias("fmr"), F.round("fnmr", 6).alias("fnmr"), "chosen")
 
 
@@ -52,15 +44,38 @@ def jn8(s, d):
 
 
 def ag16(s, d):
-    """Each document's first 40 characters against those of the next id: ASCII ones only."""
-    x = table(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("t")).where(~F.col("t").rlike(r"[^\x00-\x7F]"))
-    pairs = x.join(x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("read")), "doc_id", "left")
+    """Each part's name against that of the part with the next key."""
+    x = table(s, d, "part").select("p_partkey", F.col("p_name").alias("t"))
+    pairs = x.join(x.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("t").alias("read")), "p_partkey", "left")
     return M.accuracy(pairs, "t", "read").withColumns({"exact": F.round("exact", 6), "edit": F.round("edit", 6)})
 
 
 def ag17(s, d):
-    x = table(s, d, "documents").withColumn("tag", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("lang") != "en", F.col("lang"))))))
-    return x.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg((F.col("n_chars") % 2 == 0).cast("double")), 6).alias("exact"))
+    """Part names, every second one misread, by back end: as they are, and with kindred letters folded."""
+    x = table(s, d, "part").select(F.concat(F.lit("backend"), F.col("p_partkey") % 3).alias("backend"), F.col("p_name").alias("t"), F.when(F.col("p_partkey") % 2 == 0, F.translate("p_name", "kz", "cs")).otherwise(F.col("p_name")).alias("read"))
+    fold = lambda c: F.translate(c, "cksz", "kkss")
+    out = E.group_accuracy(x, {"with z": F.col("t").contains("z"), "long": F.length("t") > 30}, {"letters": (F.col("t"), F.col("read")), "base": (fold("t"), fold("read"))}, ("backend",))
+    return out.withColumns({"letters": F.round("letters", 6), "base": F.round("base", 6)})
+
+
+def jn12(s, d):
+    """Names of Persian letters made from customers' keys, read with other forms of a letter, wrongly or not at all; and digits."""
+    k = F.col("c_custkey")
+    letters = F.translate(k.cast("string"), "0123456789", "ابپتجیکدرز")
+    c = table(s, d, "customer")
+    name = c.select("c_custkey", F.lit("name").alias("kind"), letters.alias("truth"), F.when(k % 4 == 0, F.concat(F.translate(letters, "یک", "يك"), F.lit(" ‌"))).when(k % 4 == 1, letters).when(k % 4 == 2, F.translate(letters, "ا", "ب")).alias("read"))
+    digits = c.select("c_custkey", F.lit("digits").alias("kind"), k.cast("string").alias("truth"), F.when(k % 3 == 0, F.translate(k.cast("string"), "1", "۱")).otherwise(k.cast("string")).alias("read"))
+    both = name.union(digits)
+    return E.truth_join(both.drop("read"), both.where("read IS NOT NULL").select("c_custkey", "kind", "read"), ["c_custkey", "kind"]).select("c_custkey", "kind", "right")
+
+
+def jn13(s, d):
+    """Boxes of line items found in other line items of the same order and flag."""
+    q = F.col("l_quantity").cast("double")
+    box = lambda x: F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 20).alias("x2"), F.lit(10.0).alias("y2"))
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class"), "l_linenumber", box(q).alias("box"))
+    one = lambda want: li.where(F.col("l_linenumber") % 2 == want).groupBy("image", "class").agg(F.min("box").alias("box"))
+    return M.iou_recall(one(0), one(1)).withColumn("recall", F.round("recall", 6))
 
 
 def ag18(s, d):
@@ -76,25 +91,13 @@ def snk8(s, d):
 
 
 def ag31(s, d):
-    x = table(s, d, "conversations").select("conv_id", "turn", F.split("text", " ")[0].alias("w"))
-    item = F.struct("turn", "w")
-    return x.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["w"]), " ").alias("line"), F.round(F.sum(F.length("w") * (F.col("turn") + 1)) / F.sum(F.length("w")), 6).alias("weighted"))
-
-
-def fn4(s, d):
-    x = table(s, d, "documents").select("doc_id", F.concat(F.lit("  كريمي‌ ١٢"), F.col("lang"), F.lit("  "), F.col("source")).alias("raw"))
-    return x.select("doc_id", text.normalize_text(F.col("raw")).alias("clean"))
-
-
-def ag31_all(s, d):
-    """All words of all turns in order; a word's weight is its length, its place its turn's."""
-    w = F.col("w")
+    """All words of all turns as boxes; conversations of even number read from the left."""
     x = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("place", "w"))
-    item = F.struct("turn", "place", "w")
-    return x.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["w"]), " ").alias("line"), F.round(F.sum(F.length(w) * (F.col("turn") + 1)) / F.nullif(F.sum(F.length(w)), F.lit(0)), 6).alias("weighted"))
+    out = E.join_words(x.select("conv_id", (F.col("turn") * 1000000 + F.col("place")).alias("x"), "w", (F.col("turn") / 10).alias("c")), ["conv_id"], "x", "w", "c", F.col("conv_id") % 2 == 0)
+    return out.select("conv_id", F.md5(F.col("text")).alias("text_md5"), F.round("confidence", 6).alias("confidence"))
 
 
-def src2_all(s, d):
+def src2(s, d):
     x = table(s, d, "documents").select("doc_id", "source", "n_chars", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     value = F.concat_ws("\t", "source", "t", F.when(F.col("n_chars") % 9 == 0, "x"))
     return readers.parse_transcripts(x.select("doc_id", "line", value.alias("value"))).select("doc_id", "line", "bad", "path", "text")
@@ -141,14 +144,44 @@ def sl3(s, d):
 
 def st6(s, d):
     x = C.split_dataset(table(s, d, "documents"), "doc_id", 0.1, 0.1, 9)
-    return x.groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    held, pool = E.separate_eval(x, "split", "doc_id", 1, table(s, d, "labels"))
+    both = held.withColumn("set", F.lit("eval")).union(pool.withColumn("set", F.lit("pool")))
+    return both.groupBy("set").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+def ag29(s, d):
+    fields = table(s, d, "orders").select("o_orderkey", F.explode(F.array(F.lit("R"), F.lit("A"), F.lit("X"))).alias("field"))
+    found = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("field"))
+    return E.location_rates(fields, found, ["o_orderkey", "field"], "field")
+
+
+def _checked(s, d):
+    f = frames(s, d)
+    return f.select("event_type", F.array_compact(F.array(F.when(F.col("k") > 50, F.lit("high")), F.when(F.col("value") < 5, F.lit("low")), F.when(F.col("k") % 2 == 1, F.lit("odd")))).alias("codes"))
+
+
+def ag11(s, d):
+    expected = s.createDataFrame([("click", "high"), ("view", "low"), ("error", "odd")], "event_type string, code string")
+    rates, others = E.check_rates(_checked(s, d), "event_type", "codes", expected)
+    none = F.lit(None).cast("long")
+    return rates.select("event_type", "code", "n", "fired").union(others.select("event_type", "other", "n", none))
+
+
+def _whole_text(s, d, make):
+    return table(s, d, "documents").select("doc_id", *(F.md5(c).alias(n) for n, c in make(F.col("text")).items()))
+
+
+def ext6(s, d):
+    """Line items as overlapping boxes of their order."""
+    q = F.col("l_quantity").cast("double")
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("x1"), F.lit(0.0).alias("y1"), (q + 20).alias("x2"), F.lit(10.0).alias("y2"), F.col("l_discount").cast("double").alias("score"))
+    return images.suppress_overlaps(li, "l_orderkey", "l_linenumber", 0.5).select("l_orderkey", "l_linenumber")
 
 
 DOCS = lambda s, d: table(s, d, "documents")
 
 QUERIES = {
-    "src2_transcripts": lambda s, d: readers.parse_transcripts(DOCS(s, d).select("doc_id", F.concat_ws("\t", F.col("source"), F.substring_index("text", "\n", 1), F.when(F.col("n_chars") % 9 == 0, "x")).alias("value"))).select("doc_id", "bad", "path"),
-    "src2_transcripts_all": src2_all,
+    "src2_transcripts": src2,
     "src4_pair_media": lambda s, d: C.pair_media(DOCS(s, d).select("doc_id", "lang"), table(s, d, "labels"), "doc_id"),
     "src5_lexicon": lambda s, d: readers.parse_lexicon(table(s, d, "part"), "p_name", "p_partkey", F.upper),
     "src6_results": lambda s, d: readers.parse_results(table(s, d, "events").select("event_id", F.concat(F.lit('{"module":"'), "event_type", F.lit('","score":0.5,"reasons":['), F.when(F.col("event_type") == "error", F.lit('{"code":"E1","severity":"error"}')).otherwise(""), F.lit("]}")).alias("j")), "j").select("event_id", "module", "score", "code"),
@@ -162,8 +195,9 @@ QUERIES = {
     "jn5_lexicon_nearest": lambda s, d: M.lexicon_nearest(words(s, d).select("name", "key"), lexicon(s, d)).select("name", "value", "distance"),
     "jn6_resolve_names": lambda s, d: M.resolve_names(words(s, d), lexicon(s, d)).select("name", "value", "method"),
     "jn8_verify_pairs": jn8,
-    "jn9_evaluation_pairs": lambda s, d: _pairs(s, d).select("id", "other", "genuine", F.round("similarity", 6).alias("similarity")),
-    "jn12_truth_join": lambda s, d: table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("truth")).join(DOCS(s, d).select("doc_id", "text"), "doc_id", "left").select("doc_id", F.coalesce(F.col("truth") == F.col("text"), F.lit(False)).alias("right")),
+    "jn9_evaluation_pairs": lambda s, d: M.evaluation_pairs(_vectors(s, d)).select("id", "other", "genuine", F.round("similarity", 6).alias("similarity")),
+    "jn12_truth_join": jn12,
+    "jn13_iou_recall": jn13,
     "jn14_remap_classes": lambda s, d: M.remap_classes(table(s, d, "lineitem").withColumn("c", F.col("l_linenumber") - 1), "c", ["a", "b", "c", "d"], ["d", "c", "b", "a"]).groupBy("class_id").agg(F.count("*").alias("n")),
     "jn15_with_reference": lambda s, d: S.with_reference(cells(s, d), S.fit_reference(cells(s, d))).groupBy("region", "feature").agg(F.count("*").alias("cells"), F.round(F.avg("median"), 6).alias("median")),
     "ag6_fit_reference": lambda s, d: S.fit_reference(cells(s, d)).withColumns({"median": F.round("median", 6), "scale": F.round("scale", 6)}),
@@ -171,8 +205,8 @@ QUERIES = {
     "ag8_region_score": lambda s, d: _scores(s, d).select("photo", "region", "feature", F.round("score", 6).alias("score"), "warns"),
     "ag9_describe_by": lambda s, d: S.describe_by(table(s, d, "events"), "event_type", "value").withColumn("p10", F.round("p10", 6)),
     "ag10_sweep": lambda s, d: S.sweep(labelled(s, d), "score", F.col("quality") == 1, [0.1, 0.3, 0.5, 0.7, 0.9]).select("threshold", F.round("genuine_pass", 6).alias("genuine_pass"), F.round("attack_pass", 6).alias("attack_pass")),
-    "ag11_check_rates": lambda s, d: frames(s, d).groupBy("event_type").agg(F.round(F.avg((F.col("k") > 50).cast("double")), 6).alias("hit"), F.count_if(F.col("value") < 5).alias("others")),
-    "ag12_wrong_blocks": lambda s, d: frames(s, d).where("k % 4 = 0 AND event_type <> 'view'").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type"),
+    "ag11_check_rates": ag11,
+    "ag12_wrong_blocks": lambda s, d: E.wrong_blocks(_checked(s, d), "event_type", "codes", ("click", "purchase")),
     "ag13_flag_rates": lambda s, d: S.flag_rates(table(s, d, "lineitem").withColumn("flag", F.col("l_quantity") > 40), "l_linestatus", "l_returnflag", "flag").withColumn("rate", F.round("rate", 6)),
     "ag14_auc": lambda s, d: S.auc(labelled(s, d), "lang", "score", F.col("toxic") == 1).withColumn("auc", F.round("auc", 6)),
     "ag15_fired_by": lambda s, d: S.fired_by(_scores(s, d), "region", "feature"),
@@ -183,23 +217,18 @@ QUERIES = {
     "ag20_charset": lambda s, d: C.charset(DOCS(s, d), "text"),
     "ag21_uncovered_chars": lambda s, d: C.uncovered_chars(DOCS(s, d), "text", "abcdefghijklmnopqrstuvwxyz \n"),
     "ag22_dedup_content": lambda s, d: C.dedup_content(DOCS(s, d), "text", "doc_id"),
-    "ag23_identity_groups": lambda s, d: M.identity_groups(_pairs(s, d), "similarity", 0.25),
-    "ag23_identity_groups_all": lambda s, d: M.identity_groups(B.links(_vectors(s, d), 0.25).withColumn("similarity", F.lit(1.0)), "similarity", 0.25),
+    "ag23_identity_groups": lambda s, d: M.identity_groups(B.links(_vectors(s, d), 0.25).withColumn("similarity", F.lit(1.0)), "similarity", 0.25),
     "ag24_live_score": ag24,
     "ag25_fuse_classes": ag25,
-    "ag29_location_rates": lambda s, d: table(s, d, "orders").select("o_orderkey").join(table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("hit")).distinct(), "o_orderkey", "left").agg(F.count("hit").alias("located"), F.count_if(F.col("hit").isNull()).alias("missing")),
-    "ag30_fmr_fnmr": ag30,
-    "ag30_fmr_fnmr_all": ag30_all,
+    "ag29_location_rates": ag29,
+    "ag30_fmr_fnmr": lambda s, d: _rates(B.fmr_fnmr(_vectors(s, d), GRID, 0.01)),
     "ag31_join_words": ag31,
-    "ag31_join_words_all": ag31_all,
     "ag32_trimmed_mean": lambda s, d: S.trimmed_mean(table(s, d, "lineitem").withColumn("v", F.col("l_extendedprice").cast("double")), "l_returnflag", "v").withColumn("trimmed", F.round("trimmed", 4)),
-    "ag33_tail_summary": lambda s, d: S.tail_summary(_pairs(s, d).where("NOT genuine"), "similarity").select(F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"), F.round("top", 6).alias("top"), "n"),
-    "ag33_tail_summary_all": lambda s, d: B.tail_summary(_vectors(s, d)).select(F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"), F.round("top", 6).alias("top"), "n"),
-    "ag35_run_counts": lambda s, d: DOCS(s, d).groupBy("lang", "source").agg(F.count("*").alias("n")),
-    "wn10_best_with_margin": lambda s, d: _margin(s, d),
-    "wn10_best_with_margin_all": lambda s, d: M_margin(B.best_two(_vectors(s, d))),
+    "ag33_tail_summary": lambda s, d: B.tail_summary(_vectors(s, d)).select(F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"), F.round("top", 6).alias("top"), "n"),
+    "ag35_run_counts": lambda s, d: E.run_counts(DOCS(s, d), "lang", "source"),
+    "wn10_best_with_margin": lambda s, d: _margin(B.best_two(_vectors(s, d))),
     "wn11_ring_donor": lambda s, d: C.ring_donor(DOCS(s, d).select("doc_id", "source"), "doc_id", "source"),
-    "wn14_next_round": lambda s, d: DOCS(s, d).groupBy("lang").agg((F.coalesce(F.max(F.regexp_extract("source", r"(\d+)$", 1).cast("int")), F.lit(0)) + 1).alias("round")),
+    "wn14_next_round": lambda s, d: E.next_round(DOCS(s, d), "source", "lang"),
     "sl2_stratified_cap": lambda s, d: C.stratified_cap(DOCS(s, d), "lang", "doc_id", 100, 7).select("doc_id", "lang"),
     "sl3_holdout_groups": sl3,
     "sl4_split_dataset": lambda s, d: C.split_dataset(DOCS(s, d), "doc_id", 0.1, 0.2, 5).select("doc_id", "split"),
@@ -208,24 +237,27 @@ QUERIES = {
     "st1_exclude_used": lambda s, d: C.exclude_used(DOCS(s, d).select("doc_id", "lang"), "doc_id", table(s, d, "labels"), DOCS(s, d).where("lang = 'fr'")),
     "st2_combine_rounds": lambda s, d: C.combine_rounds(DOCS(s, d).select("doc_id", "lang"), DOCS(s, d).where("lang = 'de'").select("doc_id", "source")),
     "st3_unknown_classes": lambda s, d: C.unknown_values(table(s, d, "lineitem").select((F.col("l_partkey") + 5).alias("p_partkey")), "p_partkey", table(s, d, "part")),
-    "st4_alphabet_gap": lambda s, d: C.charset(DOCS(s, d).where("lang = 'fr'"), "text").subtract(C.charset(DOCS(s, d).where("lang = 'en'"), "text")),
+    "st4_alphabet_gap": lambda s, d: E.alphabet_gap(C.charset(DOCS(s, d).where("lang = 'fr'"), "text"), C.charset(DOCS(s, d).where("lang = 'en'"), "text")),
+    "st5_merge_split_aliases": lambda s, d: C.merge_split_aliases(DOCS(s, d).select("doc_id", "lang"), "lang", {"valid": ["val", "fr", "de"], "test": ["en"]}),
     "st6_separate_eval": st6,
     "fn1_fold_digits": lambda s, d: table(s, d, "customer").select("c_custkey", text.keep_digits(F.concat(F.lit("۱٢-"), F.col("c_name"))).alias("digits")),
-    "fn4_normalize_text": fn4,
-    "fn4_normalize_text_all": lambda s, d: DOCS(s, d).select("doc_id", text.normalize_text(F.col("text")).alias("clean")),
+    "fn2_fold_letters": lambda s, d: _whole_text(s, d, lambda t: {"folded": text.fold_letters(t)}),
+    "fn3_strip_marks": lambda s, d: _whole_text(s, d, lambda t: {"bare": text.strip_marks(text.strip_invisibles(t))}),
+    "fn4_normalize_text": lambda s, d: _whole_text(s, d, lambda t: {"clean": text.normalize_text(t)}),
+    "fn5_keep_digits": lambda s, d: _whole_text(s, d, lambda t: {"digits": text.keep_digits(t)}),
+    "fn6_normalize_name": lambda s, d: _whole_text(s, d, lambda t: {"name": text.normalize_name(t)}),
+    "fn8_match_keys": lambda s, d: _whole_text(s, d, lambda t: {"letters": text.match_key(t), "fold": text.fold_key(t), "base": text.base_key(t)}),
+    "fn9_label_of": lambda s, d: _whole_text(s, d, lambda t: {"label": text.label_of(t)}),
     "fn7_normalize_date": fn7,
     "fn14_quality_score": fn14,
     "fn15_cosine": lambda s, d: jn8(s, d).where("similarity > 0"),
     "fn19_jitter_boxes": fn19,
     "fn20_task_tests": fn20,
+    "ext6_suppress_overlaps": ext6,
 }
 
 
-def _margin(s, d):
-    return M_margin(_pairs(s, d))
-
-
-def M_margin(pairs):
+def _margin(pairs):
     from attesta.operators.sessions import best_with_margin
 
     return best_with_margin(pairs.withColumn("similarity", F.round("similarity", 6)), "id", "similarity", "other").select("id", "other", F.round("margin", 6).alias("margin"))
@@ -234,15 +266,26 @@ def M_margin(pairs):
 _DOT = "list_dot_product({0}, {1})"
 _COS = "list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)) + 1e-9)"
 _PAIRS = f"""e AS (SELECT vec_id, label, [CAST(v AS DOUBLE) FOR v IN embedding] AS v FROM embeddings),
-    p AS (SELECT a.vec_id AS id, b.vec_id AS other, a.label = b.label AS genuine, a.v AS x, b.v AS y FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 20),
+    p AS (SELECT a.vec_id AS id, b.vec_id AS other, a.label = b.label AS genuine, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id < b.vec_id),
     pairs AS (SELECT id, other, genuine, {_COS} AS similarity FROM p)"""
+# White space, as Unicode has it.
+_WHITE = "[\\x{9}-\\x{d} \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_TRIM = lambda x: f"trim(regexp_replace({x}, '{_WHITE}+', ' ', 'g'), ' ')"
+_DIGITS = lambda x: f"translate({x}, '{text.PERSIAN_DIGITS}{text.ARABIC_DIGITS}', '01234567890123456789')"
+_FOLDED = f"translate(regexp_replace(nfc_normalize(coalesce(text, '')), '{text.INVISIBLES}', '', 'g'), '{text.LETTERS_FROM}', '{text.LETTERS_TO}')"
+_NORMAL = _TRIM("regexp_replace(" + _DIGITS(f"regexp_replace({_FOLDED}, '{text.MARKS}', '', 'g')") + f", '{_WHITE}*{text.ZWNJ}{_WHITE}*', '{text.ZWNJ}', 'g')")
+_NAME = _TRIM(f"regexp_replace({_NORMAL}, '{text.NAME_DROPPED}', ' ', 'g')")
+_KEY = f"replace(replace({_NAME}, ' ', ''), '{text.ZWNJ}', '')"
 _SPLIT = "o AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '{seed}')), doc_id) AS rn, count(*) OVER () AS n FROM documents), sp AS (SELECT *, CASE WHEN rn <= floor(n * {val}) THEN 'val' WHEN rn <= floor(n * {val}) + floor(n * {test}) THEN 'test' ELSE 'train' END AS split FROM o)"
 _SCORES = f"""{REFERENCE}, sc AS (SELECT photo, d.region, d.feature, deviation / "limit" AS score, row_number() OVER (PARTITION BY photo, d.region ORDER BY deviation / "limit" DESC, d.feature) AS rn FROM dev d JOIN limits l ON d.region = l.region AND d.feature = l.feature), scores AS (SELECT photo, region, feature, score, score >= 1 AS warns FROM sc WHERE rn = 1)"""
 _CASES = "e AS (SELECT vec_id, [CAST(v AS DOUBLE) FOR v IN embedding] AS v FROM embeddings), c AS (SELECT a.vec_id // 2 AS case_id, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1)"
 _CLEAN = "unnest(string_split(text, '')) AS ch"
 
 SQL = {
-    "src2_transcripts": "SELECT doc_id, len(string_split(v, chr(9))) <> 2 AS bad, CASE WHEN len(string_split(v, chr(9))) = 2 THEN split_part(v, chr(9), 1) END AS path FROM (SELECT doc_id, concat_ws(chr(9), source, split_part(text, chr(10), 1), CASE WHEN n_chars % 9 = 0 THEN 'x' END) AS v FROM documents)",
+    "ag25_fuse_classes": f"WITH {FRAMES}, m AS (SELECT user_id, avg(k / 100.0::DOUBLE) AS real, avg(1 - k / 100.0::DOUBLE) AS unsure, avg(value / 100) AS fake FROM frames GROUP BY 1) SELECT user_id, CASE greatest(real, unsure, fake) WHEN real THEN 'real' WHEN unsure THEN 'unsure' ELSE 'fake' END AS label FROM m",
+    "src2_transcripts": """WITH l AS (SELECT doc_id, CAST(i - 1 AS INT) AS line, string_split(concat_ws(chr(9), source, lines[i], CASE WHEN n_chars % 9 = 0 THEN 'x' END), chr(9)) AS p
+        FROM (SELECT doc_id, source, n_chars, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)))
+        SELECT doc_id, line, len(p) <> 2 AS bad, CASE WHEN len(p) = 2 THEN p[1] END AS path, CASE WHEN len(p) = 2 THEN trim(nfc_normalize(p[2]), ' ') END AS text FROM l""",
     "src4_pair_media": "SELECT d.doc_id, lang, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "src5_lexicon": "SELECT upper(p_name) AS word, min(p_partkey) AS ord FROM part GROUP BY 1",
     "src6_results": "SELECT event_id, event_type AS module, 0.5::DOUBLE AS score, CASE WHEN event_type = 'error' THEN 'E1' END AS code FROM events",
@@ -253,14 +296,21 @@ SQL = {
     "snk8_fixity_audit": "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unrecorded' WHEN doc_id % 11 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents WHERE NOT (doc_id % 5 = 0 AND doc_id % 7 = 0)",
     "jn3_lexicon_exact": f"WITH {NAMES} SELECT name, word AS value FROM names JOIN lexicon ON word = name",
     "jn4_lexicon_folded": f"WITH {NAMES} SELECT name, l.value FROM names n JOIN (SELECT fold, any_value(word) AS value FROM lexicon GROUP BY 1 HAVING count(*) = 1) l ON l.fold = n.fold",
-    "jn5_lexicon_nearest": f"WITH {NAMES}, c AS (SELECT name, word, ord, levenshtein(name, word) AS d FROM names, lexicon), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, ord) AS rn FROM c) SELECT name, word AS value, CAST(d AS INT) AS distance FROM r WHERE rn = 1 AND d <= greatest(1, length(word) // 3)",
-    "jn6_resolve_names": f"""WITH {NAMES}, f AS (SELECT fold, any_value(word) AS value FROM lexicon GROUP BY 1 HAVING count(*) = 1), c AS (SELECT name, word, ord, levenshtein(name, word) AS d FROM names, lexicon), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, ord) AS rn FROM c) WHERE rn = 1)
+    "jn5_lexicon_nearest": f"WITH {NAMES}, c AS (SELECT name, word, ord, levenshtein(plain, word) AS d FROM names, lexicon WHERE abs(length(name) - length(word)) <= 8), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, ord) AS rn FROM c) SELECT name, word AS value, CAST(d AS INT) AS distance FROM r WHERE rn = 1 AND d <= greatest(1, length(word) // 3)",
+    "jn6_resolve_names": f"""WITH {NAMES}, f AS (SELECT fold, any_value(word) AS value FROM lexicon GROUP BY 1 HAVING count(*) = 1), c AS (SELECT name, word, ord, levenshtein(plain, word) AS d FROM names, lexicon WHERE abs(length(name) - length(word)) <= 8), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, ord) AS rn FROM c) WHERE rn = 1)
         SELECT n.name, CASE WHEN e.word IS NOT NULL THEN e.word WHEN f.value IS NOT NULL THEN f.value WHEN r.d <= greatest(1, length(r.word) // 3) THEN r.word END AS value, CASE WHEN e.word IS NOT NULL OR f.value IS NOT NULL THEN 'exact' WHEN r.d <= greatest(1, length(r.word) // 3) THEN 'nearest' ELSE 'none' END AS method
         FROM names n LEFT JOIN lexicon e ON e.word = n.name LEFT JOIN f ON f.fold = n.fold LEFT JOIN r ON r.name = n.name""",
     "jn8_verify_pairs": f"WITH {_CASES} SELECT case_id, round({_COS}, 6) AS similarity FROM c",
     "fn15_cosine": f"WITH {_CASES} SELECT * FROM (SELECT case_id, round({_COS}, 6) AS similarity FROM c) WHERE similarity > 0",
-    "jn9_evaluation_pairs": f"WITH {_PAIRS} SELECT id, other, genuine, round(similarity, 6) AS similarity FROM pairs",
-    "jn12_truth_join": "SELECT item_id AS doc_id, coalesce(b.text = d.text, false) AS right FROM benchmark b LEFT JOIN documents d ON doc_id = item_id",
+    "jn9_evaluation_pairs": f"""WITH e AS (SELECT vec_id, label, [CAST(v AS DOUBLE) FOR v IN embedding] AS v FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS other, a.label = b.label AS genuine, a.v AS x, b.v AS y
+        FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 20 <> 0 OR a.vec_id < b.vec_id)) SELECT id, other, genuine, round({_COS}, 6) AS similarity FROM p""",
+    "jn12_truth_join": """WITH n AS (SELECT c_custkey, translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ابپتجیکدرز') AS t FROM customer),
+        r AS (SELECT *, CASE c_custkey % 4 WHEN 0 THEN translate(t, 'یک', 'يك') || ' ' || chr(8204) WHEN 1 THEN t WHEN 2 THEN translate(t, 'ا', 'ب') END AS read FROM n)
+        SELECT c_custkey, 'name' AS kind, coalesce(t = replace(replace(translate(read, 'يك', 'یک'), ' ', ''), chr(8204), ''), false) AS right FROM r
+        UNION ALL SELECT c_custkey, 'digits', CAST(c_custkey AS VARCHAR) = CASE WHEN c_custkey % 3 = 0 THEN replace(CAST(c_custkey AS VARCHAR), '1', '۱') ELSE CAST(c_custkey AS VARCHAR) END FROM customer""",
+    "jn13_iou_recall": """WITH b AS (SELECT l_orderkey, l_returnflag AS class, l_linenumber % 2 AS side, min(CAST(l_quantity AS DOUBLE)) AS x FROM lineitem GROUP BY 1, 2, 3)
+        SELECT t.class, round(avg(CASE WHEN greatest(0, 20 - abs(t.x - d.x)) * 10 / (400 - greatest(0, 20 - abs(t.x - d.x)) * 10) >= 0.5 THEN 1.0 ELSE 0 END), 6) AS recall, count(*) AS n
+        FROM (SELECT * FROM b WHERE side = 1) t LEFT JOIN (SELECT * FROM b WHERE side = 0) d ON t.l_orderkey = d.l_orderkey AND t.class = d.class GROUP BY 1""",
     "jn14_remap_classes": "SELECT CASE WHEN l_linenumber BETWEEN 1 AND 4 THEN CAST(4 - l_linenumber AS INT) END AS class_id, count(*) AS n FROM lineitem GROUP BY 1",
     "jn15_with_reference": f"WITH {REFERENCE} SELECT c.region, c.feature, count(*) AS cells, round(avg(median), 6) AS median FROM cells c JOIN reference r ON c.region = r.region AND c.feature = r.feature GROUP BY 1, 2",
     "ag6_fit_reference": f"WITH {REFERENCE} SELECT region, feature, round(median, 6) AS median, round(scale, 6) AS scale, n FROM reference",
@@ -269,12 +319,18 @@ SQL = {
     "ag15_fired_by": f"WITH {_SCORES} SELECT region, feature, count(*) AS n FROM scores GROUP BY 1, 2",
     "ag9_describe_by": "SELECT event_type, count(value) AS n, min(value) AS low, round(quantile_cont(value, 0.1), 6) AS p10, quantile_cont(value, 0.5) AS mid, max(value) AS high FROM events GROUP BY 1",
     "ag10_sweep": f"WITH {LABELLED}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold) SELECT threshold, round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0 END) FILTER (quality = 1), 6) AS genuine_pass, round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0 END) FILTER (quality <> 1), 6) AS attack_pass FROM labelled, t GROUP BY 1",
-    "ag11_check_rates": f"WITH {FRAMES} SELECT event_type, round(avg(CASE WHEN k > 50 THEN 1.0 ELSE 0 END), 6) AS hit, count(*) FILTER (value < 5) AS others FROM frames GROUP BY 1",
-    "ag12_wrong_blocks": f"WITH {FRAMES} SELECT event_type, count(*) AS n FROM frames WHERE k % 4 = 0 AND event_type <> 'view' GROUP BY 1",
+    "ag11_check_rates": f"""WITH {FRAMES}, x AS (SELECT *, CASE event_type WHEN 'click' THEN 'high' WHEN 'view' THEN 'low' WHEN 'error' THEN 'odd' END AS code FROM frames WHERE event_type IN ('click', 'view', 'error')),
+        c AS (SELECT event_type, code, 'high' AS other FROM x WHERE k > 50 UNION ALL SELECT event_type, code, 'low' FROM x WHERE value < 5 UNION ALL SELECT event_type, code, 'odd' FROM x WHERE k % 2 = 1)
+        SELECT x.event_type, x.code, count(*) AS n, any_value((SELECT count(*) FROM c WHERE c.event_type = x.event_type AND other = x.code)) AS fired FROM x GROUP BY 1, 2
+        UNION ALL SELECT event_type, other, count(*), NULL FROM c WHERE other <> code GROUP BY 1, 2""",
+    "ag12_wrong_blocks": f"""WITH {FRAMES}, x AS (SELECT * FROM frames WHERE event_type IN ('click', 'purchase')) SELECT event_type, code, count(*) AS n
+        FROM (SELECT event_type, 'high' AS code FROM x WHERE k > 50 UNION ALL SELECT event_type, 'low' FROM x WHERE value < 5 UNION ALL SELECT event_type, 'odd' FROM x WHERE k % 2 = 1) GROUP BY 1, 2""",
     "ag13_flag_rates": "SELECT l_linestatus, l_returnflag, round(avg(CASE WHEN l_quantity > 40 THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_linestatus), (l_linestatus, l_returnflag))",
     "ag14_auc": f"WITH {LABELLED} SELECT a.lang, round(sum(CASE WHEN a.score > g.score THEN 1 ELSE 0 END) / count(*), 6) AS auc FROM labelled a JOIN labelled g ON a.lang = g.lang AND a.toxic = 1 AND g.toxic <> 1 GROUP BY 1",
-    "ag16_accuracy": r"WITH x AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents WHERE NOT regexp_matches(substr(text, 1, 40), '[^\x00-\x7F]')) SELECT count(*) AS n, round(avg(CASE WHEN a.t = b.t THEN 1.0 ELSE 0 END), 6) AS exact, round(avg(levenshtein(a.t, coalesce(b.t, '')) / greatest(1, length(a.t))), 6) AS edit FROM x a LEFT JOIN x b ON b.doc_id = a.doc_id + 1",
-    "ag17_group_accuracy": "SELECT tag, count(*) AS n, round(avg(CASE WHEN n_chars % 2 = 0 THEN 1.0 ELSE 0 END), 6) AS exact FROM (SELECT 'all' AS tag, n_chars FROM documents UNION ALL SELECT lang, n_chars FROM documents WHERE lang <> 'en') GROUP BY 1",
+    "ag16_accuracy": "SELECT count(*) AS n, round(avg(CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 0 END), 6) AS exact, round(avg(levenshtein(a.p_name, coalesce(b.p_name, '')) / greatest(1, length(a.p_name))), 6) AS edit FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1",
+    "ag17_group_accuracy": """WITH x AS (SELECT 'backend' || CAST(p_partkey % 3 AS VARCHAR) AS backend, p_name AS t, CASE WHEN p_partkey % 2 = 0 THEN translate(p_name, 'kz', 'cs') ELSE p_name END AS r FROM part),
+        g AS (SELECT *, 'all' AS "group" FROM x UNION ALL SELECT *, 'with z' FROM x WHERE contains(t, 'z') UNION ALL SELECT *, 'long' FROM x WHERE length(t) > 30)
+        SELECT backend, "group", count(*) AS n, round(avg(CASE WHEN t = r THEN 1.0 ELSE 0 END), 6) AS letters, round(avg(CASE WHEN translate(t, 'cksz', 'kkss') = translate(r, 'cksz', 'kkss') THEN 1.0 ELSE 0 END), 6) AS base FROM g GROUP BY 1, 2""",
     "ag18_field_outcomes": "SELECT lang, count(*) FILTER (n_chars % 3 > 0 AND n_chars % 5 > 0) AS right, count(*) FILTER (n_chars % 5 = 0) AS review, count(*) FILTER (n_chars % 3 = 0 AND n_chars % 5 > 0) AS wrong FROM documents GROUP BY ROLLUP (lang)",
     "ag19_class_counts": "SELECT p_partkey, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
     "ag20_charset": f"SELECT DISTINCT ch FROM (SELECT {_CLEAN} FROM documents) WHERE ch <> ''",
@@ -282,20 +338,23 @@ SQL = {
     "ag22_dedup_content": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "ag23_identity_groups": f"WITH RECURSIVE {_PAIRS}, l AS (SELECT id, other FROM pairs WHERE similarity >= 0.25), b AS (SELECT id, other FROM l UNION SELECT other, id FROM l), r AS (SELECT DISTINCT id, id AS seen FROM b UNION SELECT r.id, b.other FROM r JOIN b ON b.id = r.seen) SELECT id, min(seen) AS root FROM r GROUP BY 1",
     "ag24_live_score": f"WITH {FRAMES}, i AS (SELECT user_id, k % 2 AS model, round(avg(k / 100.0::DOUBLE), 4) AS m FROM frames GROUP BY 1, 2) SELECT user_id, round(avg(m), 6) AS live, max(m) - min(m) > 0.02 AS models_disagree FROM i GROUP BY 1",
-    "ag29_location_rates": "SELECT count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) AS located, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) AS missing FROM orders",
+    "ag29_location_rates": """WITH f AS (SELECT o_orderkey, unnest(['R', 'A', 'X']) AS field FROM orders), h AS (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem)
+        SELECT field, count(l_orderkey) AS located, count(*) - count(l_orderkey) AS missing FROM f LEFT JOIN h ON l_orderkey = o_orderkey AND l_returnflag = field GROUP BY 1""",
     "ag30_fmr_fnmr": f"""WITH {_PAIRS}, t AS (SELECT round(i * 0.1::DOUBLE, 1) AS threshold FROM range(-2, 8) x(i)), r AS (SELECT threshold, avg(CASE WHEN similarity >= threshold THEN 1.0 ELSE 0 END) FILTER (NOT genuine) AS fmr, 1 - avg(CASE WHEN similarity >= threshold THEN 1.0 ELSE 0 END) FILTER (genuine) AS fnmr FROM pairs, t GROUP BY 1)
         SELECT threshold, round(fmr, 6) AS fmr, round(fnmr, 6) AS fnmr, coalesce(threshold = min(CASE WHEN fmr <= 0.01 THEN threshold END) OVER (), false) AS chosen FROM r""",
-    "ag31_join_words": "SELECT conv_id, string_agg(split_part(text, ' ', 1), ' ' ORDER BY turn) AS line, round(sum(length(split_part(text, ' ', 1)) * (turn + 1)) / sum(length(split_part(text, ' ', 1))), 6) AS weighted FROM conversations GROUP BY 1",
+    "ag31_join_words": """WITH b AS (SELECT conv_id, turn, trim(ws[i], ' ') AS w, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE -1 END * (turn * 1000000 + i) AS place FROM (SELECT conv_id, turn, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM conversations WHERE text IS NOT NULL)))
+        SELECT conv_id, md5(coalesce(string_agg(w, ' ' ORDER BY place, w) FILTER (w <> ''), '')) AS text_md5, round(least(1, coalesce(sum(turn / 10.0::DOUBLE * length(w)) FILTER (w <> ''), 0) / greatest(1, coalesce(sum(length(w)) FILTER (w <> ''), 0))), 6) AS confidence FROM b GROUP BY 1""",
     "ag32_trimmed_mean": "WITH q AS (SELECT l_returnflag, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.8) AS cut FROM lineitem GROUP BY 1) SELECT l_returnflag, round(avg(CAST(l_extendedprice AS DOUBLE)), 4) AS trimmed FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice <= cut GROUP BY 1",
     "ag33_tail_summary": f"WITH {_PAIRS} SELECT round(quantile_cont(similarity, 0.99), 6) AS p99, round(quantile_cont(similarity, 0.999), 6) AS p999, round(max(similarity), 6) AS top, count(*) AS n FROM pairs WHERE NOT genuine",
-    "ag35_run_counts": "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2",
-    "wn10_best_with_margin": f"WITH {_PAIRS}, r AS (SELECT id, other, round(similarity, 6) AS s, lead(round(similarity, 6)) OVER w AS nxt, row_number() OVER w AS rn FROM pairs WINDOW w AS (PARTITION BY id ORDER BY round(similarity, 6) DESC, other)) SELECT id, other, round(s - nxt, 6) AS margin FROM r WHERE rn = 1",
+    "ag35_run_counts": "SELECT 'lang' AS kind, lang AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2",
+    "wn10_best_with_margin": f"WITH {_PAIRS}, b AS (SELECT id, other, round(similarity, 6) AS s FROM pairs UNION ALL SELECT other, id, round(similarity, 6) FROM pairs), r AS (SELECT id, other, s, lead(s) OVER w AS nxt, row_number() OVER w AS rn FROM b WINDOW w AS (PARTITION BY id ORDER BY s DESC, other)) SELECT id, other, round(s - nxt, 6) AS margin FROM r WHERE rn = 1",
     "wn11_ring_donor": "SELECT doc_id, source, coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id), min(doc_id) OVER (PARTITION BY source)) AS donor FROM documents",
     "wn14_next_round": r"SELECT lang, coalesce(max(TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS INT)), 0) + 1 AS round FROM documents GROUP BY 1",
     "sl2_stratified_cap": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '7')), doc_id) AS rn FROM documents) WHERE rn <= greatest(1, 100 // (SELECT count(DISTINCT lang) FROM documents))",
     "sl3_holdout_groups": "WITH g AS (SELECT source, row_number() OVER (ORDER BY md5(concat_ws('|', source, '3')), source) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) SELECT source, n >= 4 AND rn <= greatest(1, round(n * 0.2)) AS held_out FROM g",
     "sl4_split_dataset": f"WITH {_SPLIT.format(seed=5, val=0.1, test=0.2)} SELECT doc_id, split FROM sp",
-    "st6_separate_eval": f"WITH {_SPLIT.format(seed=9, val=0.1, test=0.1)} SELECT split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM sp GROUP BY 1",
+    "st6_separate_eval": f"WITH {_SPLIT.format(seed=9, val=0.1, test=0.1)} SELECT CASE split WHEN 'test' THEN 'eval' ELSE 'pool' END AS set, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM sp WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
+    "st5_merge_split_aliases": "SELECT doc_id, CASE lang WHEN 'fr' THEN 'valid' WHEN 'en' THEN 'test' ELSE lang END AS lang FROM documents WHERE lang IS NULL OR lang <> 'de'",
     "sl6_sample_n": "SELECT doc_id FROM documents ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '3')), doc_id LIMIT 25",
     "sl7_main_face": "WITH r AS (SELECT *, row_number() OVER w AS rn, first_value(l_quantity) OVER w AS top FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity * 100 - l_linenumber DESC, l_linenumber)) SELECT l_orderkey, max(CASE WHEN rn = 1 THEN l_linenumber END) AS main, count(*) FILTER (rn > 1 AND l_quantity >= 0.5 * top) AS others FROM r GROUP BY 1",
     "st1_exclude_used": "SELECT doc_id, lang FROM documents WHERE lang <> 'fr' AND doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -303,7 +362,13 @@ SQL = {
     "st3_unknown_classes": "SELECT DISTINCT l_partkey + 5 AS p_partkey FROM lineitem WHERE l_partkey + 5 NOT IN (SELECT p_partkey FROM part)",
     "st4_alphabet_gap": f"SELECT DISTINCT ch FROM (SELECT {_CLEAN} FROM documents WHERE lang = 'fr') WHERE ch <> '' AND ch NOT IN (SELECT ch FROM (SELECT {_CLEAN} FROM documents WHERE lang = 'en'))",
     "fn1_fold_digits": "SELECT c_custkey, '12' || regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer",
-    "fn4_normalize_text": "SELECT doc_id, 'کریمی‌12' || lang || ' ' || source AS clean FROM documents",
+    "fn2_fold_letters": f"SELECT doc_id, md5(translate(text, '{text.LETTERS_FROM}', '{text.LETTERS_TO}')) AS folded FROM documents",
+    "fn3_strip_marks": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{text.INVISIBLES}', '', 'g'), '{text.MARKS}', '', 'g')) AS bare FROM documents",
+    "fn4_normalize_text": f"SELECT doc_id, md5({_NORMAL}) AS clean FROM documents",
+    "fn5_keep_digits": f"SELECT doc_id, md5(regexp_replace({_DIGITS("coalesce(text, '')")}, '[^0-9]', '', 'g')) AS digits FROM documents",
+    "fn6_normalize_name": f"SELECT doc_id, md5({_NAME}) AS name FROM documents",
+    "fn8_match_keys": f"SELECT doc_id, md5({_KEY}) AS letters, md5(translate({_KEY}, '{text.FOLD_FROM}', '{text.FOLD_TO}')) AS fold, md5(translate({_KEY}, '{text.BASE_FROM}', '{text.BASE_TO}')) AS base FROM documents",
+    "fn9_label_of": f"SELECT doc_id, md5({_TRIM(f"replace(coalesce(text, ''), '{text.ZWNJ}', '')")}) AS label FROM documents",
     "fn7_normalize_date": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey % 100 + 1300 AS VARCHAR) || '/' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') WHEN 1 THEN substr(CAST(c_custkey + 13700000 AS VARCHAR), 1, 4) || '/' || substr(CAST(c_custkey + 13700000 AS VARCHAR), 5, 2) || '/' || substr(CAST(c_custkey + 13700000 AS VARCHAR), 7, 2) WHEN 3 THEN '1370/05/12' END AS date FROM customer",
     "fn14_quality_score": f"WITH {FRAMES}, p AS (SELECT event_id, k, least(1, greatest(0, value / 20)) + least(1, greatest(0, k / 100.0::DOUBLE)) + least(1, greatest(0, 1 - abs(k - 50) / 25.0::DOUBLE)) + least(1, greatest(0, 1 - abs(k / 5.0::DOUBLE) / 20)) + least(1, greatest(0, 1 - abs(value - 20) / 20)) AS q FROM frames) SELECT event_id, round(CASE WHEN k % 2 = 0 THEN (q + least(1, greatest(0, k / 300.0::DOUBLE / 0.3))) / 6 ELSE q / 5 END, 6) AS quality FROM p",
     "fn19_jitter_boxes": "SELECT l_orderkey, count(*) * 9 AS boxes, round(sum(9 * (CAST(l_quantity AS DOUBLE) + 20)), 3) AS total FROM lineitem GROUP BY 1",

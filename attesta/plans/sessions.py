@@ -27,12 +27,6 @@ def ag28(s, d):
 
 
 def jn10(s, d):
-    f = frames(s, d)
-    captures = f.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("created"))
-    return S.valid_captures(f.select("user_id", "event_id", "ts"), captures, "user_id", "ts", "created", 3600).select("event_id")
-
-
-def jn10_any(s, d):
     f = frames(s, d)
     captures = f.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("created"))
     return S.with_valid_capture(f.select("user_id", "event_id", "ts"), captures, "user_id", "ts", "created", 3600).select("event_id")
@@ -54,12 +48,11 @@ QUERIES = {
     "ag27_baseline": lambda s, d: S.baseline(frames(s, d), "user_id", ORDER, "value", ok(), 5),
     "ag28_attempts": ag28,
     "jn10_valid_captures": jn10,
-    "jn10_valid_captures_all": jn10_any,
     "str1_capture_sessions": lambda s, d: machines.capture_batch(machines.capture_frames(frames(s, d)), required=3, budget=60),
     "str2_liveness_sessions": lambda s, d: machines.liveness_batch(machines.liveness_frames(frames(s, d)), ["BLINK", "TURN_LEFT", "SMILE"]),
     "str3_case_lifecycle": lambda s, d: machines.lifecycle_batch(frames(s, d).select(F.col("user_id").alias("case_id"), "ts", "event_id", F.element_at(F.create_map(*map(F.lit, ("click", "document", "view", "selfie", "purchase", "liveness", "error", "finalize"))), F.col("event_type")).alias("action")).fillna("face_match", ["action"]), limit=3),
     "str5_reap_idle": lambda s, d: S.reap_idle(frames(s, d), "user_id", "ts", 7200).select("user_id", "began", "closes", "events"),
-    "str6_reap_expired": lambda s, d: frames(s, d).groupBy("user_id").agg(F.min("ts").alias("began")).select("user_id", F.expr("began + INTERVAL 2 DAYS").alias("dropped_at")),
+    "str6_reap_expired": lambda s, d: S.reap_expired(frames(s, d), "user_id", "ts", 86_400).select("user_id", "dropped_at"),
 }
 
 _O = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -83,7 +76,7 @@ SQL = {
     "ag26_session_summary": f"WITH {FRAMES} SELECT user_id, min(value) AS identity_min, quantile_cont(CAST(k AS DOUBLE), 0.5) AS live_median, min(CAST(k AS DOUBLE)) AS live_min, count(*) AS checks, count(*) FILTER (event_type = 'purchase') AS tasks_done FROM frames GROUP BY 1",
     "ag27_baseline": f"WITH {FRAMES}, q AS (SELECT *, row_number() OVER ({_O}) AS rn FROM frames WHERE event_type <> 'error'), b AS (SELECT user_id, CASE WHEN count(*) = 5 THEN quantile_cont(value, 0.5) END AS baseline FROM q WHERE rn <= 5 GROUP BY 1) SELECT u.user_id, baseline FROM (SELECT DISTINCT user_id FROM frames) u LEFT JOIN b ON u.user_id = b.user_id",
     "ag28_attempts": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM events) SELECT user_id, event_type, CAST(max(attempt) AS INT) AS attempts, min(CASE WHEN attempt > 10 THEN event_id END) AS first_refused FROM n GROUP BY 1, 2",
-    "jn10_valid_captures": "WITH c AS (SELECT user_id, max(ts) AS created FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id FROM events e JOIN c USING (user_id) WHERE ts >= created AND date_diff('microsecond', created, ts) <= 18000000000",
+    "jn10_valid_captures": "WITH c AS (SELECT DISTINCT user_id, ts AS created FROM events WHERE event_type = 'purchase') SELECT event_id FROM events e ASOF JOIN c ON e.user_id = c.user_id AND e.ts >= c.created WHERE date_diff('microsecond', created, ts) <= 18000000000",
     "str5_reap_idle": "WITH g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 7200 SECONDS AS closes, count(*) AS events FROM n GROUP BY user_id, s",
     "str6_reap_expired": "SELECT user_id, min(ts) + INTERVAL 2 DAYS AS dropped_at FROM events GROUP BY 1",
 }

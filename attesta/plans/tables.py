@@ -78,12 +78,12 @@ LABELLED = "labelled AS (SELECT d.doc_id, lang, source, n_chars, quality, toxic,
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct lower-case ASCII words of documents, and of part names as they are, misread and cut short, as names to resolve."""
-    d = table(spark, sf_dir, "documents")
-    w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![^ \n])[a-z]{3,10}(?![^ \n])"), 0)).alias("name"))
+    """All distinct words of documents, with A-Z in lower case, and those of part names as they are, misread and cut short, as names to resolve."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(low("text"), r"[ \x09-\x0D]+")).alias("name"))
     p = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
-    p = p.select(F.explode(F.array("w", F.translate("w", "kc", "ck"), F.substring("w", 2, 20))).alias("name")).where("name RLIKE '^[a-z]{3,10}$'")
-    w = w.union(p).distinct()
+    p = p.select(F.explode(F.array("w", F.translate("w", "kc", "ck"), F.substring("w", 2, 20))).alias("name"))
+    w = w.union(p).where("name <> ''").distinct()
     return w.withColumn("key", F.col("name")).withColumn("fold", F.translate("name", "cksz", "kkss"))
 
 
@@ -96,5 +96,5 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = """
-    names AS (SELECT DISTINCT name, translate(name, 'cksz', 'kkss') AS fold FROM (SELECT unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n]')) AS name FROM documents UNION ALL SELECT unnest([w, translate(w, 'kc', 'ck'), substr(w, 2)]) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part)) WHERE regexp_full_match(name, '[a-z]{3,10}')),
+    names AS (SELECT DISTINCT name, translate(name, 'cksz', 'kkss') AS fold, regexp_replace(name, '[^\\x00-\\x7F]', '?', 'g') AS plain FROM (SELECT unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+')) AS name FROM documents UNION ALL SELECT unnest([w, translate(w, 'kc', 'ck'), substr(w, 2)]) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part)) WHERE name <> ''),
     lexicon AS (SELECT min(p_partkey * 10 + i) AS ord, word, translate(word, 'cksz', 'kkss') AS fold FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word, unnest(range(0, len(string_split(p_name, ' ')))) AS i FROM part) GROUP BY word)"""

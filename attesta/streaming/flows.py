@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,69 @@ def drop_duplicate_media(media: DataFrame, content: str, ts: str, delay: str = "
     return media.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256)).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def verdict_stream(cases: DataFrame, results: DataFrame, ttl: str = "30 minutes") -> DataFrame:
-    """Each case with the results that came within its time; a case without any comes too, once the time is over."""
-    c = cases.withWatermark("opened", ttl)
-    r = results.select(F.col("case_id").alias("of"), "step", "decision", "made").withWatermark("made", ttl)
-    return c.join(r, F.expr(f"of = case_id AND made >= opened AND made <= opened + INTERVAL {ttl}"), "left_outer").drop("of")
+def verdict_stream(events: DataFrame, required: tuple[str, ...], reject: tuple[str, ...], reject_warned: tuple[str, ...] = (), ttl_s: int = 1800, watermark: str = "1 minute") -> DataFrame:
+    """STR4: events(case_id, at, kind, step, status, decision, score, reasons) -> a verdict for each opened case.
+
+    kind "opened" starts a case; any other row is a step's result, whose ``reasons`` are (code, severity). A case is judged
+    when every required step has a result, or its time after opening is over: a step that is missing then asks for a
+    human. Results that come once a case is judged change nothing; that it is judged is known for one time more.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from attesta.operators import decisions
+
+    def run(keys, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        state = json.loads(held.get[0]) if held.exists else {"opened": None, "results": [], "reasons": [], "judged": False}
+        over = held.hasTimedOut
+        if over and (state["judged"] or state["opened"] is None):
+            held.remove()
+            return
+        latest = 0
+        for pdf in [] if over else parts:
+            for e in pdf.sort_values("at_ms").to_dict("records"):
+                at = int(e["at_ms"])
+                latest = max(latest, at)
+                if e["kind"] == "opened":
+                    state["opened"] = at if state["opened"] is None else min(at, state["opened"])
+                elif state["opened"] is None or at <= state["opened"] + 1000 * ttl_s:
+                    score = None if pd.isna(e["score"]) else float(e["score"])
+                    state["results"].append({"step": e["step"], "status": e["status"], "decision": e["decision"], "score": score})
+                    said = e["reasons"] if e["reasons"] is not None else []
+                    state["reasons"] += [{"step": e["step"], "code": q["code"], "severity": q["severity"]} for q in said]
+        there = {r["step"] for r in state["results"]}
+        ready = state["opened"] is not None and not state["judged"] and (over or set(required) <= there)
+        if ready:
+            yield pd.DataFrame({"case_id": [keys[0]], "results": [json.dumps(state["results"])], "reasons": [json.dumps(state["reasons"])]})
+            state = {"opened": state["opened"], "results": [], "reasons": [], "judged": True}
+        held.update((json.dumps(state),))
+        begun = latest if state["opened"] is None else state["opened"]
+        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, begun + 1000 * ttl_s * (2 if state["judged"] else 1)))
+
+    case = events.schema["case_id"].dataType.simpleString()
+    timed = events.withColumn("at_ms", F.unix_millis(F.col("at").cast("timestamp")))
+    closed = timed.withWatermark("at", watermark).groupBy("case_id").applyInPandasWithState(run, f"case_id {case}, results string, reasons string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    gathered = closed.select("case_id", F.from_json("results", decisions.RESULTS).alias("results"), F.from_json("reasons", decisions.REASONS).alias("reasons"))
+    return decisions.judge(gathered, required, reject, reject_warned).select("case_id", "verdict", "blocking", "review_score")
+
+
+def reap_expired(events: DataFrame, key: str, ts: str, ttl_s: int = 120, watermark: str = "1 minute") -> DataFrame:
+    """STR6: each session's first event and the time it is dropped at: one time to live after it has expired, whatever came since."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(keys, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            yield pd.DataFrame({key: [keys[0]], "began": [held.get[0]]})
+            held.remove()
+            return
+        first = min(int(pdf["at_ms"].min()) for pdf in parts)
+        first = min(first, held.get[0]) if held.exists else first
+        held.update((first,))
+        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, first + 2000 * ttl_s))
+
+    kind = events.schema[key].dataType.simpleString()
+    timed = events.select(key, ts, F.unix_millis(F.col(ts).cast("timestamp")).alias("at_ms")).withWatermark(ts, watermark)
+    out = timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, began long", "first long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.timestamp_millis("began").alias("began"), F.timestamp_millis(F.col("began") + 2000 * ttl_s).alias("dropped_at"))
 
 
 def retention_tick(purge: Callable[[], int], last_run: Callable[[], float], ran: Callable[[float], None], now: Callable[[], float], every_s: float = 6 * 3600) -> Callable[[DataFrame, int], None]:

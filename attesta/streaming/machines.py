@@ -65,12 +65,15 @@ def hint_step(s: State, e: dict, priority: tuple[str, ...], window: int = 3, lea
     return s, {"hint": s["shown"] if s["shown"] in seen else None}
 
 
-LIVE = {"frontal": 15.0, "closed": 0.6, "open": 0.8, "turn": 25.0, "smile": 1.15, "closer": 1.3, "samples": 3, "limit_s": 20.0, "lost_s": 2.0, "same": 0.3, "open_eyes": 0.18}
+LIVE = {"frontal": 15.0, "closed": 0.6, "open": 0.8, "turn": 25.0, "smile": 1.15, "closer": 1.3, "samples": 3, "limit_s": 20.0, "lost_s": 2.0, "same": 0.3, "open_eyes": 0.18, "frames": 400, "identity_every": 2}
 
 
 def liveness_step(s: State, e: dict, tasks: list[str], cfg: dict = LIVE, ttl: float = 120.0) -> tuple[State, dict | None]:
-    """BASELINE -> RUNNING -> VERIFIED, FAILED or EXPIRED."""
-    s = s or {"state": "BASELINE", "at": 0, "since": e["ts"], "began": e["ts"], "face": e["ts"], "seen": [], "flag": False}
+    """BASELINE -> RUNNING -> VERIFIED, FAILED or EXPIRED; frames past the budget end it.
+
+    The face is compared on the first frontal frame, then on those whose number divides by ``identity_every``.
+    """
+    s = s or {"state": "BASELINE", "at": 0, "since": e["ts"], "began": e["ts"], "face": e["ts"], "seen": [], "flag": False, "frames": 0, "known": False}
     if s["state"] in ("VERIFIED", "FAILED", "EXPIRED"):
         return s, {"state": s["state"], "code": "session_closed", "task": s["at"]}
 
@@ -80,14 +83,19 @@ def liveness_step(s: State, e: dict, tasks: list[str], cfg: dict = LIVE, ttl: fl
 
     if e["ts"] - s["began"] >= ttl:
         return end("EXPIRED", "session_expired")
+    s["frames"] += 1
+    if s["frames"] > cfg["frames"]:
+        return end("FAILED", "too_many_frames")
     if e["faces"] != 1:
         if e["ts"] - s["face"] > cfg["lost_s"]:
             return end("FAILED", "multiple_faces" if e["faces"] else "face_lost")
         return s, {"state": s["state"], "code": "no_face", "task": s["at"]}
     s["face"] = e["ts"]
     frontal = abs(e["yaw"]) <= cfg["frontal"]
-    if frontal and e["similarity"] < cfg["same"]:
-        return end("FAILED", "face_changed")
+    if frontal and not (s["known"] and s["frames"] % cfg["identity_every"]):
+        s["known"] = True
+        if e["similarity"] < cfg["same"]:
+            return end("FAILED", "face_changed")
     if s["state"] == "BASELINE":
         if frontal and e["eyes"] >= cfg["open_eyes"]:
             s["seen"].append([e["eyes"], e["mouth"], e["height"]])
@@ -161,8 +169,11 @@ def run_batch(events: DataFrame, key: str, order: list[str], step: Callable, out
     return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
 
 
-def run_stream(events: DataFrame, key: str, order: list[str], step: Callable, out: str, watermark: str = "2 minutes", at: str = "event_time") -> DataFrame:
-    """The same steps over a stream; a session's state is kept as JSON and dropped once it has been idle for the watermark."""
+def run_stream(events: DataFrame, key: str, order: list[str], step: Callable, out: str, watermark: str = "2 minutes", at: str = "event_time", keep_s: float = 240.0) -> DataFrame:
+    """The same steps over a stream; a session's state is kept as JSON and dropped once it has been idle for ``keep_s``.
+
+    Until then a closed session answers late events as closed; later ones would begin a new session.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = [f.split(" ")[0].strip() for f in out.split(", ")]
@@ -178,10 +189,11 @@ def run_stream(events: DataFrame, key: str, order: list[str], step: Callable, ou
             state, said = step(state, e)
             made.append([said.get(n, e.get(n)) for n in names])
         held.update((json.dumps(state),))
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), int(rows[at].max().timestamp() * 1000)) + 240_000)
+        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), int(rows["at_ms"].max())) + int(1000 * keep_s))
         yield pd.DataFrame(made, columns=names)
 
-    return events.withWatermark(at, watermark).groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.withColumn("at_ms", F.unix_millis(F.col(at).cast("timestamp")))
+    return timed.withWatermark(at, watermark).groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 CAPTURE_OUT = "session_id long, event_id long, state string, code string"

@@ -26,4 +26,4 @@ def test_query_takes_older_captures(spark, sf):
 
     e = [(r.user_id, r.event_id, r.ts, r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()]
     want = sorted(i for u, i, t, _ in e if any(v == u and k == "purchase" and 0 <= (t - s).total_seconds() <= 18000 for v, _, s, k in e))
-    assert sorted(r.event_id for r in catalog.queries()["jn10_valid_captures_all"](spark, sf).collect()) == want
+    assert sorted(r.event_id for r in catalog.queries()["jn10_valid_captures"](spark, sf).collect()) == want
