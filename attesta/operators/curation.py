@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that a stratum is ranked in first; rows that may be put in order at once.
+PARTS, FEW = 64, 100_000
+
+
 def shuffle_key(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
@@ -15,11 +19,18 @@ def pair_media(images: DataFrame, labels: DataFrame, key: str, drop_unlabelled:
 
 
 def stratified_cap(df: DataFrame, strata: str, key: str, total: int, seed: int) -> DataFrame:
-    """At most an even share of ``total`` from each stratum, one at least."""
-    n = df.select(strata).distinct().count()
-    cap = max(1, total // max(1, n))
-    rank = F.row_number().over(Window.partitionBy(strata).orderBy(shuffle_key(key, seed), key))
-    return df.withColumn("rn", rank).where(F.col("rn") <= cap).drop("rn")
+    """At most an even share of ``total`` from each stratum, one at least: those first in the order of a hash.
+
+    A stratum's rows are ranked in parts first, of which each keeps a share's worth; so no task orders a whole stratum.
+    """
+    n = df.agg(F.countDistinct(strata) + F.max(F.col(strata).isNull().cast("int"))).first()[0]
+    cap = max(1, total // max(1, n or 0))
+    order = (shuffle_key(key, seed), F.col(key))
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    in_part = F.row_number().over(Window.partitionBy(strata, part).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(strata).orderBy(*order))
+    few = df.withColumn("_rn", in_part).where(F.col("_rn") <= cap).drop("_rn")
+    return few.withColumn("_rn", rank).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def holdout_groups(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
@@ -31,20 +42,37 @@ def holdout_groups(df: DataFrame, group: str, share: float, seed: int) -> DataFr
     return df.join(held, group, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
+def _place(order: DataFrame, rank: int) -> tuple | None:
+    """order(h, k): the row that is ``rank``-th by (h, k), from 1. Counts by the next digits of h narrow it down to a few rows."""
+    begin, done = "", 0
+    inside = order
+    while True:
+        at = len(begin)
+        counts = inside.groupBy(F.substring("h", at + 1, 3).alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # 4096 rows at most
+        for c in counts:
+            if done + c["n"] >= rank:
+                begin += c["d"]
+                break
+            done += c["n"]
+        inside = order.where(F.col("h").startswith(begin))
+        if c["n"] <= FEW or len(begin) >= 30:
+            return tuple(inside.orderBy("h", "k").limit(rank - done).collect()[-1])
+
+
 def split_dataset(df: DataFrame, key: str, val: float, test: float, seed: int) -> DataFrame:
     """Exact counts in hash order: first int(n * val) rows for validation, the next int(n * test) for test, the rest to train.
 
-    Two cut-off hashes are found by order; the rows themselves are only compared with them.
+    Two cut-off hashes are found from counts by their digits; the rows themselves are only compared with them. Rows of
+    one key go together; a null key goes to train.
     """
     n = df.count()
     nv, nt = int(n * val), int(n * test)
-    order = df.select(shuffle_key(key, seed).alias("h"), F.col(key).alias("k")).orderBy("h", "k")
-    top = order.limit(nv + nt)
-    cuts = top.withColumn("rn", F.row_number().over(Window.orderBy("h", "k"))).where(F.col("rn").isin(nv, nv + nt)).collect()
-    at = {r["rn"]: (r["h"], r["k"]) for r in cuts}
+    order = df.where(F.col(key).isNotNull()).select(shuffle_key(key, seed).alias("h"), F.col(key).alias("k"))
+    most = order.count()
+    at = {m: _place(order, m) for m in {min(nv, most), min(nv + nt, most)} if m}
     mine = F.struct(shuffle_key(key, seed).alias("h"), F.col(key).alias("k"))
-    upto = lambda m: mine <= F.struct(F.lit(at[m][0]).alias("h"), F.lit(at[m][1]).alias("k")) if m else F.lit(False)
-    return df.withColumn("split", F.when(upto(nv), "val").when(upto(nv + nt), "test").otherwise("train"))
+    upto = lambda m: F.coalesce(mine <= F.struct(F.lit(at[m][0]).alias("h"), F.lit(at[m][1]).alias("k")), F.lit(False)) & F.col(key).isNotNull() if m else F.lit(False)
+    return df.withColumn("split", F.when(upto(min(nv, most)), "val").when(upto(min(nv + nt, most)), "test").otherwise("train"))
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -114,9 +142,21 @@ def best_per_class(det: DataFrame, keys: list[str], confidence: str, arrival: st
 
 
 def ring_donor(df: DataFrame, key: str, group: str) -> DataFrame:
-    """Each row with the key of the next in its group; the last gets the first."""
-    w = Window.partitionBy(group).orderBy(key)
-    return df.withColumn("donor", F.coalesce(F.lead(key).over(w), F.min(key).over(Window.partitionBy(group))))
+    """Each row with the key of the next in its group; the last gets the first. A null group is a group of its own.
+
+    Rows are dealt to ranges of (group, key), neighbours are sought inside a range; only the first key of each range,
+    one row for each range that a group has, meets the others of its group.
+    """
+    from attesta.sources.scratch import written
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(n, F.col(group).asc_nulls_first(), F.col(key).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "ring")
+    firsts = dealt.groupBy(group, "_range").agg(F.min(key).alias("_first"))
+    ring = Window.partitionBy(group)
+    ends = firsts.withColumn("_next", F.coalesce(F.lead("_first").over(ring.orderBy("_range")), F.min("_first").over(ring))).select(F.col(group).alias("_group"), F.col("_range").alias("_of"), "_next")
+    near = dealt.withColumn("_near", F.lead(key).over(Window.partitionBy(group, "_range").orderBy(key)))
+    both = near.join(ends, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")), "left")
+    return both.select(*df.columns, F.coalesce("_near", "_next").alias("donor"))
 
 
 def expired_days(df: DataFrame, day: str, today: Column, keep: int) -> DataFrame:

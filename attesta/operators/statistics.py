@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str, n: str | None = None) -> DataFrame:
+    """The exact quantile of each group from counts by value, summed before the exchange: a group's buffer holds distinct values only."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    more = [F.sum("_n").alias(n)] if n else []
+    return counted.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, {share!r}, _n)").alias(name), *more)
+
+
 def fit_reference(cells: DataFrame, min_photos: int = 20) -> DataFrame:
     """cells(photo, region, feature, value) -> region, feature, median, scale (1.4826 x MAD, 0.001 at least), n.
 
-    Regions with fewer photos are left out. Exact quantiles buffer one (region, feature) at a time.
+    Regions with fewer photos are left out.
     """
+    at = ["region", "feature"]
     enough = cells.groupBy("region").agg(F.countDistinct("photo").alias("photos")).where(F.col("photos") >= min_photos)
-    mid = cells.join(enough.select("region"), "region", "left_semi").groupBy("region", "feature").agg(F.median("value").alias("median"), F.count("value").alias("n"))
-    off = with_reference(cells, mid).groupBy("region", "feature").agg(F.greatest(F.median(F.abs(F.col("value") - F.col("median"))) * 1.4826, F.lit(0.001)).alias("scale"))
-    return mid.join(off, ["region", "feature"])
+    mid = _quantile(cells.join(enough.select("region"), "region", "left_semi"), at, "value", 0.5, "median", "n")
+    off = _quantile(with_reference(cells, mid).withColumn("off", F.abs(F.col("value") - F.col("median"))), at, "off", 0.5, "mad")
+    return mid.join(off.select(*at, F.greatest(F.col("mad") * 1.4826, F.lit(0.001)).alias("scale")), at).select(*at, "median", "n", "scale")
 
 
 def with_reference(cells: DataFrame, reference: DataFrame) -> DataFrame:
@@ -29,17 +37,17 @@ def deviations(cells: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def fit_limits(dev: DataFrame, fpr: float) -> DataFrame:
-    """The genuine deviation at 1 - fpr / features, rounded; zero limits are left out."""
-    n = dev.select("feature").distinct().count()
-    out = dev.groupBy("region", "feature").agg(F.round(F.percentile("deviation", 1 - fpr / max(1, n)), 3).alias("limit"))
-    return out.where(F.col("limit") > 0)
+    """The genuine deviation at 1 - fpr / features, rounded; zero limits are left out. Reads ``dev`` twice."""
+    n = dev.agg(F.countDistinct("feature")).first()[0]
+    out = _quantile(dev, ["region", "feature"], "deviation", 1 - fpr / max(1, n), "limit")
+    return out.withColumn("limit", F.round("limit", 3)).where(F.col("limit") > 0)
 
 
 def region_score(dev: DataFrame, limits: DataFrame) -> DataFrame:
-    """Of each photo and region the largest deviation over its limit, and the feature; 1 or more warns."""
+    """Of each photo and region the largest deviation over its limit, and the feature, the first of equal ones; 1 or more warns."""
     share = dev.join(limits, ["region", "feature"]).withColumn("score", F.col("deviation") / F.col("limit"))
-    rank = F.row_number().over(Window.partitionBy("photo", "region").orderBy(F.desc("score"), "feature"))
-    return share.withColumn("rn", rank).where("rn = 1").select("photo", "region", "feature", "score", (F.col("score") >= 1).alias("warns"))
+    top = F.min(F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("minus"), "feature", "score")).alias("t")
+    return share.groupBy("photo", "region").agg(top).select("photo", "region", "t.feature", "t.score", (F.col("t.score") >= 1).alias("warns"))
 
 
 def describe_by(df: DataFrame, label: str, col: str) -> DataFrame:
@@ -77,7 +85,7 @@ def live_score(probs: DataFrame, key: str, model: str, p: str, limit: float) ->
 
 
 def trimmed_mean(df: DataFrame, key: str, col: str, q: float = 0.8) -> DataFrame:
-    cut = df.groupBy(key).agg(F.percentile(col, q).alias("cut"))
+    cut = _quantile(df, [key], col, q, "cut")
     return df.join(cut, key).where(F.col(col) <= F.col("cut")).groupBy(key).agg(F.avg(col).alias("trimmed"))
 
 

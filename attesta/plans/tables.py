@@ -80,7 +80,7 @@ LABELLED = "labelled AS (SELECT d.doc_id, lang, source, n_chars, quality, toxic,
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All distinct words of documents, with A-Z in lower case, and those of part names as they are, misread and cut short, as names to resolve."""
     low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    w = table(spark, sf_dir, "documents").select(F.explode(F.split(low("text"), r"[ \x09-\x0D]+")).alias("name"))
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \x09-\x0D]+")).alias("name")).distinct().select(low("name").alias("name"))
     p = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
     p = p.select(F.explode(F.array("w", F.translate("w", "kc", "ck"), F.substring("w", 2, 20))).alias("name"))
     w = w.union(p).where("name <> ''").distinct()
