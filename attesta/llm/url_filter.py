@@ -1,7 +1,9 @@
 """URL filter: host and path rules, and boosted trees on lexical features for the rest.
 
 All of it is DataFrame functions and MLlib. Trees are trained on at most
-``SAMPLE`` labelled urls, those with the smallest hash of url and label.
+``SAMPLE`` labelled urls, those with the smallest hash of url and label. Suffix
+statistics count all labelled urls; a training url's leave out the part of
+labelled urls that it is in, so that no url's own label is among its features.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 zero features, fits no rule and gets the trees' verdict; without labels of both
@@ -19,10 +21,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.shared import write_table
+from attesta.llm.shared import join_classes, write_table
 
-#: Labelled urls that the trees are trained on, and suffixes that have statistics, at most.
-SAMPLE, SUFFIXES = 20_000, 500
+#: Labelled urls that the trees are trained on, at most; parts for statistics; urls of the mean rate added to each suffix.
+SAMPLE, FOLDS, PRIOR = 20_000, 5, 4
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -65,13 +67,15 @@ def _lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def _with_suffixes(lexical: DataFrame, known: list) -> DataFrame:
-    pairs = [F.lit(x) for r in known for x in (r["suffix"], r["rate"])]
-    counts = [F.lit(x) for r in known for x in (r["suffix"], float(r["n"]))]
-    mean = sum(r["rate"] * r["n"] for r in known) / max(1, sum(r["n"] for r in known))
-    rate = F.try_element_at(F.create_map(*pairs), F.col("suffix")) if known else F.lit(None)
-    n = F.try_element_at(F.create_map(*counts), F.col("suffix")) if known else F.lit(None)
-    return lexical.withColumn("u_suffix_rate", F.coalesce(rate, F.lit(float(mean)))).withColumn("u_suffix_n", F.coalesce(n, F.lit(0.0)))
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)).cast("int")
+
+
+def _suffix_features(rows: DataFrame, mean: float) -> DataFrame:
+    """suffix_n and suffix_good, the labelled urls of the suffix and the good ones among them (null: none) -> features."""
+    n, good = (F.coalesce(c, F.lit(0)) for c in ("suffix_n", "suffix_good"))
+    rate = (good + F.lit(mean * PRIOR)) / (n + PRIOR)
+    return rows.withColumns({"u_suffix_rate": rate.cast("double"), "u_suffix_n": F.log1p(n.cast("double"))})
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, sample: int = SAMPLE, trees: int = 12, depth: int = 3) -> DataFrame:
@@ -80,21 +84,32 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, sample: int
     score: the trees' probability that the url is to be allowed.
     """
     parts = lambda df: df.withColumns(dict(zip(("host", "path"), host_and_path(F.col("url")), strict=True)))
-    few = labelled.where("label IS NOT NULL AND url IS NOT NULL").select("url", F.col("label").cast("double").alias("label"))
-    few = few.orderBy(F.xxhash64("url", "label"), "url", "label").limit(sample)
-    train = write_table(_lexical(parts(few)), "url-train")
+    known = labelled.where("label IS NOT NULL AND url IS NOT NULL").select("url", F.col("label").cast("double").alias("label"), _fold().alias("fold"))
+    few = known.orderBy(F.xxhash64("url", "label"), "url", "label").limit(sample)
+    suffix = F.substring_index(host_and_path(F.col("url"))[0], ".", -2)
+    folds = write_table(known.groupBy(suffix.alias("suffix"), "fold").agg(F.sum("label").alias("good"), F.count("*").alias("n")), "url-suffixes")
+    all_good, all_n = folds.agg(F.sum("good"), F.sum("n")).first()
+    mean = float(all_good or 0) / max(1, all_n or 0)
+    of_suffix = folds.groupBy("suffix").agg(F.sum("good").alias("suffix_good"), F.sum("n").alias("suffix_n"))
+    own = folds.select("suffix", "fold", F.col("good").alias("own_good"), F.col("n").alias("own_n"))
+    train = _lexical(parts(few)).join(of_suffix, "suffix").join(own, ["suffix", "fold"])
+    train = train.withColumns({"suffix_good": F.col("suffix_good") - F.col("own_good"), "suffix_n": F.col("suffix_n") - F.col("own_n")})
+    train = write_table(_suffix_features(train, mean), "url-train")
     kinds = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    known = train.groupBy("suffix").agg(F.avg("label").alias("rate"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
     to_vector = VectorAssembler(inputCols=list(FEATURES), outputCol="vector", handleInvalid="keep")
     host, path = F.col("host"), F.col("path")
     name, verdict = rule_of(host, path, rules)
-    scored = _with_suffixes(_lexical(parts(pages.select("page_id", "url"))), known)
+    # suffixes that many pages share are broadcast, the others meet by suffix
+    rows = parts(pages.select("page_id", "url")).withColumn("suffix", suffix)
+    sizes = rows.groupBy("suffix").agg(F.count("*").alias("n")).join(of_suffix, "suffix")
+    rows = join_classes(rows, sizes, "suffix", pages.count())
+    scored = _suffix_features(_lexical(rows), mean)
     if {0.0, 1.0} <= kinds.keys():
         # both kinds weigh the same: a rare one would else never win
         total = sum(kinds.values())
         weight = F.when(F.col("label") == 1.0, total / (2 * kinds[1.0])).otherwise(total / (2 * kinds[0.0]))
         gbt = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=11, checkpointInterval=-1)
-        model = gbt.fit(to_vector.transform(_with_suffixes(train, known)).withColumn("weight", weight).select("vector", "label", "weight").coalesce(2))
+        model = gbt.fit(to_vector.transform(train).withColumn("weight", weight).select("vector", "label", "weight").coalesce(2))
         scored = model.transform(to_vector.transform(scored)).withColumn("score", vector_to_array("probability")[1])
     else:
         scored = scored.withColumn("score", F.lit(0.0 if kinds.keys() == {0.0} else 1.0))
