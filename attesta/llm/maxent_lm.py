@@ -38,6 +38,8 @@ VOCAB, PER_CLASS, FORMS, FREQUENT = 512, 16, 16, 1 << 18
 #: Rows of the hashed weights: of classes, of words in their class.
 ROWS, WORD_ROWS = 8192, 1024
 ROUNDS, BATCH, RATE = 2, 8192, 0.15
+#: Partitions whose weights are averaged at a time.
+MERGE = 64
 END = np.uint64(0x5EED0E4D0F7E0000)
 _FORM = np.uint64(FORMS - 1)
 COUNT = np.dtype([("token", "<u8"), ("n", "<i8")])
@@ -253,8 +255,10 @@ def train(model: Model, docs: DataFrame, rounds: int = ROUNDS) -> Model:
 
         kind = "block int, part int, n long, data binary"
         learned = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text").mapInArrow(run, kind)
-        few = learned.groupBy("block", F.pmod("part", F.lit(16)).alias("salt")).applyInArrow(average, kind)
-        rows = sorted((x["block"], bytes(x["data"])) for x in few.groupBy("block").applyInArrow(average, kind).collect())
+        # a tree of averages: a group has MERGE partitions' blocks, the last one a MERGE ** 2-th of all
+        for part in (F.floor(F.col("part") / MERGE), F.floor(F.col("part") / MERGE), F.lit(0)):
+            learned = learned.withColumn("part", part.cast("int")).groupBy("block", "part").applyInArrow(average, kind)
+        rows = sorted((x["block"], bytes(x["data"])) for x in learned.collect())
         if rows:
             flat = np.concatenate([np.frombuffer(x, np.float32) for _, x in rows])
             model.w = flat[: model.w.size].reshape(model.w.shape).copy()
