@@ -1,10 +1,12 @@
 """Each operator against a plain version: the smallest tables, and rows that are odd in every way."""
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +67,39 @@ def test_license_templates(spark):
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert got[0].labels == got[1].labels == "mit" and got[0].score == 1 and got[1].score > 0.9
     assert got[2].labels == got[3].labels == ""
+    # each template alone carries its label, whole or in two halves with a few words between
+    for cut_in in (False, True):
+        whole = []
+        for k, (t, _) in enumerate(license_scan.TEMPLATES):
+            w = t.split()
+            whole.append((k, " ".join(w[: len(w) // 2] + ["qq", "zz"] * cut_in + w[len(w) // 2 :])))
+        for r in license_scan.license_scan(spark.createDataFrame(whole, "doc_id long, text string")).collect():
+            assert license_scan.TEMPLATES[r.doc_id][1] in r.labels.split(",") and (r.score == 1 or cut_in and r.score > 0.9)
+
+
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    top = 0
+    for x in a:
+        best = [0] + [best[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        top = max(top, *best)
+    return top
+
+
+def test_license_labels_follow_from_shared_words(docs):
+    """A label of the method's own needs a shared run of words, and one that covers a template is enough."""
+    templates = [(t.split(), label) for t, label in license_scan.TEMPLATES]
+    for r, (_, text) in zip(license_scan.license_scan(docs.orderBy("doc_id", "text")).orderBy("doc_id").collect(), pairs(docs), strict=True):
+        w = brute.TERM.findall(brute.lower(text))[:3000]
+        own = set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(",")))
+        if len(w) == 3000:
+            continue
+        run = {}
+        for t, label in templates:
+            run[label] = max(run.get(label, 0), longest_common(w, t) / len(t)) if own or "license" in w or "permission" in w else 0
+        assert all(run[label] > 0 for label in own)
+        assert all(label in r.labels.split(",") for label, share in run.items() if share >= 0.6)
+
 
 
 @settings(max_examples=60, deadline=None)
@@ -162,8 +197,10 @@ def test_fit_lengths(lengths, budget):
     for s, c in lengths:
         for _ in range(c):
             bits |= bits << s
-    full = source_mix.fit_lengths(size, count, budget, limit=10**6)
-    assert (full * size).sum() <= budget
+    nearest = max(k for k in range(budget + 1) if bits >> k & 1)
+    # without a share taken first all is left to the knapsack, which finds the nearest sum there is
+    full = source_mix.fit_lengths(size, count, budget, limit=10**6, share=False)
+    assert ((full >= 0) & (full <= count)).all() and (full * size).sum() == nearest
 
 
 def test_source_mix(docs):
@@ -217,6 +254,47 @@ def test_lm_is_a_distribution(spark):
     assert abs(inside + p[0, m.heads :].sum() - 1) < 1e-3 and len(code)
 
 
+def test_lm_score_word_by_word(spark):
+    """``score`` against the model's probabilities taken one token at a time, with what stands before it."""
+    rows = [(i, f"a b {'c d' if i % 2 else 'd c'} é e{i} x") for i in range(40)] + [(100, None), (101, "new words a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    docs = df.selectExpr("doc_id", "false AS held_out", "coalesce(text, '') AS text")
+    train = docs.join(spark.createDataFrame([(i,) for (i, _), h in zip(rows, held, strict=True) if not h], "doc_id long"), "doc_id")
+    counts = maxent_lm.count_tokens(train.select("text"))
+    m = maxent_lm.train(maxent_lm.Model(counts), train)
+    got = {r.doc_id: r.score for r in maxent_lm.score(docs, m, counts).collect()}
+    kinds = Counter(x for (_, t), h in zip(rows, held, strict=True) if not h for x in [*brute.WORD.findall(brute.lower(t)), None])
+    for i, t in rows:
+        code, off = maxent_lm.tokens(next(maxent_lm.texts(pa.array([t or ""]))))
+        words = [*brute.WORD.findall(brute.lower(t)), None]
+        n, number = m.look_up(code)
+        total = 0.0
+        for k, w in enumerate(words):
+            some, many = code[: k + 1], number[: k + 1]
+            cls, wide, narrow = m.features(some, many, np.array([0, k + 1]))
+            z = sum(m.w[r] for r in wide[k])
+            p = math.exp(z[cls[k]] - max(z)) / sum(math.exp(x - max(z)) for x in z)
+            if number[k] >= 0:
+                u = sum(m.u[r, cls[k]] for r in narrow[k])
+                p *= math.exp(u[number[k] % maxent_lm.PER_CLASS] - max(u)) / sum(math.exp(x - max(u)) for x in u)
+            else:
+                form = int(code[k]) % maxent_lm.FORMS
+                p *= (kinds[w] + 0.5) / (m.form_n[form] + 0.5 * (m.form_v[form] + 1))
+            total += math.log10(p)
+        assert math.isclose(got[i], total, rel_tol=1e-4)
+
+
+def test_lm_averages_in_a_tree(spark, monkeypatch):
+    """Partitions' weights meet a few at a time, with the same result."""
+    df = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(60)], "doc_id long, text string").repartition(7, "doc_id")
+    m = []
+    for merge in (2, 64):
+        monkeypatch.setattr(maxent_lm, "MERGE", merge)
+        m.append(maxent_lm.train(maxent_lm.Model(maxent_lm.count_tokens(df.select("text"))), df))
+    assert np.allclose(m[0].w, m[1].w, atol=1e-5) and np.allclose(m[0].u, m[1].u, atol=1e-5) and np.abs(m[0].w).max() > 0
+
+
 def test_chat(spark, sf):
     table = spark.read.parquet(f"{sf}/conversations.parquet")
     odd = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (-8, None, None, None), (-8, 1, "assistant", "␛.␛<|end|><|<|end|>turn|>"), (-8, 1, "assistant", "a\nb"), (-8, 1, "assistant", "a\nb"), (None, 1, "<|text|>", "x"), (-9, 2, "assistant", ""), (-10, 0, "assistant", LONG[:50_000])]
@@ -280,6 +358,40 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), pages.selectExpr("url", "1 AS label").limit(0)).count() == 0
 
 
+def plain_rule(url):
+    """The longest rule that fits, word by word."""
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end])
+        tail = rest[end:]
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
+    fits = [(len(h + p), h + p, kind) for kind, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_url_rules_of_all_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id AS page_id", "quality AS label")
+    got = url_filter.filter_urls(pages, pages.join(labels, "page_id")).collect()
+    want = {r.page_id: plain_rule(r.url) for r in pages.collect()}
+    assert len(got) == pages.count()
+    for r in got:
+        host, path, rule, verdict = want[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("allow" if r.score >= 0.5 else "block"))
+
+
+def test_url_own_label_is_no_feature(spark):
+    """Suffixes of one url each say nothing about it: as many good as bad of them, trees find nothing."""
+    made = [(i, f"http://s{i}.x{i}/", i % 2) for i in range(400)]
+    df = spark.createDataFrame(made, "page_id long, url string, label int")
+    out = url_filter.filter_urls(spark.createDataFrame([(-1, "http://a.new/"), (-2, None)], "page_id long, url string"), df).collect()
+    assert all(0.2 < r.score < 0.8 for r in out)
+
+
 def test_url_trees_learn(spark):
     made = [(i, f"http://h{i % 17}.net/{'9' * 30 if i % 3 == 0 else 'about'}/{i}", int(i % 3 != 0)) for i in range(600)]
     df = spark.createDataFrame(made, "page_id long, url string, label int")
@@ -287,6 +399,26 @@ def test_url_trees_learn(spark):
     assert all((r.verdict == "allow") == (r.page_id % 3 != 0) for r in out.collect())
 
 
+def test_rules_replayed(spark, sf):
+    """The learned list, read off its text and applied word by word, keeps what the query keeps."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.createDataFrame([(r.doc_id, int(r.n_chars % 3 > 0), 0) for r in docs.collect()], "doc_id long, quality int, toxic int")
+    for most in (labels, spark.read.parquet(f"{sf}/labels.parquet")):
+        out, rules = quality_rules.quality(docs, most)
+        for r in out.collect():
+            env = {k: r[k] for k in quality_rules.COUNTS}
+            first = None
+            for n, rule in enumerate(rules, 1):
+                tests = []
+                for c in rule:
+                    v = eval(quality_rules.FEATURES[c.feature], {}, env)
+                    tests.append(v > c.limit if c.above else v <= c.limit)
+                if all(tests):
+                    first = n
+                    break
+            assert r.rule == first and r.kept == (not r.base_failed and first is None)
+
+
 def test_rules_learn(spark):
     rng = np.random.default_rng(1)
     plain = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.integers(1000)) for _ in range(80))
