@@ -6,7 +6,9 @@ intersection has at least ``percent`` in a hundred of the union.
 1. Equal sets are one class from here on (a set's digest has 64 bits).
 2. Shingles are ordered by hash, with frequent ones last, and each set posts its
    prefix: two sets that link share a shingle there. Postings of a shingle are a
-   list; the lists of a bucket are worked on together.
+   list; the lists of a bucket are worked on together. Shingles that very many
+   documents have are no lists in one task: their postings go on as they are, to
+   the smallest digest among them, which a grouped minimum finds.
 3. Lists are sorted by set size and position and cut into blocks. Pairs of blocks
    whose sizes and positions rule out every link are skipped as a whole; of the
    others, postings without a partner that could link are left out.
@@ -44,7 +46,10 @@ from attesta.llm.textnum import LOWER, SPACE, Texts, mix, same, texts, windows,
 #: Frequent shingles that are put last, at most; any choice gives the same result.
 FREQUENT = 200_000
 _TOP = np.uint64(1 << 63)
+HELD = np.dtype([("token", "<u8"), ("key", "<u8")])
 POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("prev", "<u8"), ("n", "<i4"), ("pos", "<i4")])
+#: Documents with a shingle from which on its postings don't meet in one task: so many, and a thousandth of all.
+HOT = 5_000
 #: Postings in a block of a list; lists of FEW or less are not cut.
 BLOCK, FEW = 64, 10
 #: Sets in a cell of a long list, about.
@@ -122,9 +127,11 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, row long, doc_id long, key long, n long")
 
 
-def _post(docs: DataFrame, k: int, percent: int, last, buckets: int) -> DataFrame:
+def _post(docs: DataFrame, k: int, percent: int, last, hot, buckets: int) -> DataFrame:
+    """kind 0: postings by shingle; kind 1: those of the ``hot`` shingles, by set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(POSTING, buckets, "token")
+        packer, wide = Packer(POSTING, buckets, "token"), Packer(HELD, buckets, "key", kind=1)
         seen: set[int] = set()
         for b in batches:
             for t in texts(b.column("text")):
@@ -143,8 +150,17 @@ def _post(docs: DataFrame, k: int, percent: int, last, buckets: int) -> DataFram
                 r = np.zeros(len(doc), POSTING)
                 r["token"], r["key"], r["n"], r["pos"] = value[at], key[doc], n[doc], pos
                 r["prev"] = np.where(pos > 0, value[np.maximum(at - 1, 0)], np.uint64(0))
+                if len(hot.value):
+                    where = np.searchsorted(hot.value, r["token"])
+                    where[where == len(hot.value)] = 0
+                    often = hot.value[where] == r["token"]
+                    held = np.zeros(int(often.sum()), HELD)
+                    held["token"], held["key"] = r["token"][often], r["key"][often]
+                    yield from wide.add(held)
+                    r = r[~often]
                 yield from packer.add(r)
         yield from packer.flush()
+        yield from wide.flush()
 
     return docs.select("text").mapInArrow(run, BLOB)
 
@@ -398,17 +414,34 @@ def _components(docs: DataFrame, k: int, percent: int, chunk: int) -> tuple[Data
     # every task that read texts may hand in a count of a shingle that is frequent everywhere: summed in two steps
     parts = profile.where("kind = 1").groupBy("key", F.pmod(F.spark_partition_id(), F.lit(16)).alias("part")).agg(F.sum("n").alias("n"))
     often = parts.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "key").limit(FREQUENT)
-    last = spark.sparkContext.broadcast(np.sort(often.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
+    common = often.select("key", "n").toPandas()
+    codes = common["key"].to_numpy(np.int64).view(np.uint64)
+    last = spark.sparkContext.broadcast(np.sort(codes))
+    many = max(HOT, profile.where("kind = 0").count() // 1000)
+    hot = spark.sparkContext.broadcast(np.sort(codes[common["n"].to_numpy() >= many] | _TOP))  # as they stand in a set
     sets = profile.where("kind = 0").select("row", "doc_id", "key", "n")
     buckets = n_buckets(spark)
 
     def work(table: pa.Table) -> pa.Table:
-        got = hubs(unpack(table.column("data"), POSTING), percent).view(np.int64)
-        return pa.table({"hub": pa.array(got[:, 0]), "key": pa.array(got[:, 1])})
-
-    members = write_table(_post(docs, k, percent, last, buckets).groupBy("bucket").applyInArrow(work, "hub long, key long").distinct(), "jaccard-members")
+        kind = table.column("kind").to_numpy()
+        got = hubs(unpack(table.filter(pa.array(kind == 0)).column("data"), POSTING), percent).view(np.int64)
+        held = unpack(table.filter(pa.array(kind == 1)).column("data"), HELD)
+        token, key = held["token"].view(np.int64), held["key"].view(np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        parts = ((pa.array(got[:, 0]), none(len(token))), (pa.array(got[:, 1]), pa.array(key)), (none(len(got)), pa.array(token)))
+        return pa.table({n: pa.chunked_array(x) for n, x in zip(("hub", "key", "token"), parts, strict=True)})
+
+    posted = _post(docs, k, percent, last, hot, buckets).groupBy("bucket").applyInArrow(work, "hub long, key long, token long")
+    members = write_table(posted.distinct(), "jaccard-members")
+    if len(hot.value):
+        wide = members.where("token IS NOT NULL")
+        least = wide.groupBy("token").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+        found = wide.select("token", "key").join(F.broadcast(least), "token").select("hub", "key")  # FREQUENT rows at most
+        both = write_table(members.where("token IS NULL").select("hub", "key").union(found).distinct(), "jaccard-members")
+        drop_table(members)
+        members = both
     classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.count("*").alias("n"))
-    dealt = write_table(_deal(members, chunk), "jaccard-cells")
+    dealt = write_table(_deal(members.select("hub", "key"), chunk), "jaccard-cells")
     drop_table(members)
     texts_of = docs.select("row", "text").join(dealt.join(classes.select("key", "row"), "key"), "row")
     found = write_table(_resolve(texts_of.select(*dealt.columns, "text"), k, percent), "jaccard-links")

@@ -150,8 +150,10 @@ def test_jaccard(docs):
     assert rows(jaccard_join.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(pairs(docs)), key=repr)
 
 
-def test_jaccard_chains_and_crowds(spark):
-    """Links that only hold step by step, many near copies, and lists that are long without a link."""
+@pytest.mark.parametrize("hot", [5, 5_000])
+def test_jaccard_chains_and_crowds(spark, monkeypatch, hot):
+    """Links that only hold step by step, many near copies, and lists that are long without a link; many shingles hot, or none."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rng = np.random.default_rng(5)
     made, shared = [], [f"s{i}" for i in range(12)]
     for g in range(40):
