@@ -10,10 +10,12 @@ Defined results: a null or empty image, or one with other channels than 1, 3 or
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Side of the tiles, tiles of an image at most (evenly spread), and the band of cycles a pixel that is searched.
 TILE, TILES, BAND = 256, 16, (0.06, 0.48)
@@ -131,19 +133,23 @@ def score_with(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.
 def suppress_overlaps(detections: DataFrame, image: str, order: str, least: float) -> DataFrame:
     """EXT6: detections(image, x1, y1, x2, y2, score) -> those that no better one of their image overlaps by more than ``least``.
 
-    Of equal scores the smaller ``order`` is better. An image's boxes meet in one task: they are as many as a detector gives.
+    Of equal scores the smaller ``order`` is better, then the smaller corners; null scores come last. Boxes with a null corner overlap nothing,
+    nor do those of no image. An image's boxes meet in one row: they are as many as a detector gives. Every column must
+    be of a type that can be ordered.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", order], ascending=[False, True], na_position="last")
-        box = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        free = np.ones(len(box), bool)
-        for k in range(len(box)):
-            if free[k]:
-                corner = np.minimum(box[k, 2:], box[k + 1 :, 2:]) - np.maximum(box[k, :2], box[k + 1 :, :2])
-                both = np.prod(np.maximum(corner, 0), axis=1)
-                free[k + 1 :] &= both / (area[k] + area[k + 1 :] - both + 1e-9) <= least
-        return pdf[free]
-
-    return detections.groupBy(image).applyInPandas(keep, detections.schema)
+    corners = ["x1", "y1", "x2", "y2"]
+    row = F.struct(*detections.columns)
+    entry = F.struct(F.col("score").isNull().alias("last"), (-F.col("score")).alias("minus"), F.col(order).alias("tie"), *(F.col(c).cast("double").alias(c) for c in corners), row.alias("row"))
+    boxes = detections.where(F.col(image).isNotNull()).groupBy(F.col(image).alias("_image")).agg(F.sort_array(F.collect_list(entry)).alias("_boxes"))
+
+    def overlap(a: Column, b: Column) -> Column:
+        side = lambda low, high: F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0.0))
+        area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
+        both = side("x1", "x2") * side("y1", "y2")
+        whole = reduce(Column.__and__, (x[c].isNotNull() for x in (a, b) for c in corners))
+        return whole & (both / (area(a) + area(b) - both + 1e-9) > least)
+
+    none = F.filter("_boxes", lambda b: F.lit(False))
+    kept = F.aggregate("_boxes", none, lambda got, b: F.when(F.exists(got, lambda a: overlap(a, b)), got).otherwise(F.concat(got, F.array(b))))
+    best = boxes.select(F.explode(kept).alias("b")).select("b.row.*")
+    return best.union(detections.where(F.col(image).isNull()))

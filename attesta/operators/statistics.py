@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.sources.scratch import written
 
-def _quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str, n: str | None = None) -> DataFrame:
-    """The exact quantile of each group from counts by value, summed before the exchange: a group's buffer holds distinct values only."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+#: Rows of a table of references or limits that is broadcast at most.
+FEW = 10_000
+
+
+def _counted(df: DataFrame, keys: list[str], value: str, times: Column | None = None) -> DataFrame:
+    """How often each group has each value."""
+    n = F.count("*") if times is None else F.sum(times)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("_n"))
+
+
+def _quantile_of(counted: DataFrame, keys: list[str], value: str, share: float, name: str, n: str | None = None) -> DataFrame:
     more = [F.sum("_n").alias(n)] if n else []
     return counted.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, {share!r}, _n)").alias(name), *more)
 
 
+def _quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str, n: str | None = None) -> DataFrame:
+    """The exact quantile of each group from counts by value, summed before the exchange: a group's buffer holds distinct values only."""
+    return _quantile_of(_counted(df, keys, value), keys, value, share, name, n)
+
+
+def _few(df: DataFrame, name: str) -> DataFrame:
+    """``df`` made once, and broadcast if it has no more than FEW rows."""
+    made = written(df, name)
+    return F.broadcast(made) if made.count() <= FEW else made
+
+
 def fit_reference(cells: DataFrame, min_photos: int = 20) -> DataFrame:
     """cells(photo, region, feature, value) -> region, feature, median, scale (1.4826 x MAD, 0.001 at least), n.
 
@@ -20,14 +40,16 @@ def fit_reference(cells: DataFrame, min_photos: int = 20) -> DataFrame:
     """
     at = ["region", "feature"]
     enough = cells.groupBy("region").agg(F.countDistinct("photo").alias("photos")).where(F.col("photos") >= min_photos)
-    mid = _quantile(cells.join(enough.select("region"), "region", "left_semi"), at, "value", 0.5, "median", "n")
-    off = _quantile(with_reference(cells, mid).withColumn("off", F.abs(F.col("value") - F.col("median"))), at, "off", 0.5, "mad")
-    return mid.join(off.select(*at, F.greatest(F.col("mad") * 1.4826, F.lit(0.001)).alias("scale")), at).select(*at, "median", "n", "scale")
+    counted = written(_counted(cells, at, "value").join(enough.select("region"), "region", "left_semi"), "cell-counts")
+    mid = _few(_quantile_of(counted, at, "value", 0.5, "median", "n"), "cell-medians")
+    away = counted.join(mid, at).withColumn("off", F.abs(F.col("value") - F.col("median")))
+    off = _quantile_of(_counted(away, at, "off", F.col("_n")), at, "off", 0.5, "mad")
+    return off.select(*at, F.greatest(F.col("mad") * 1.4826, F.lit(0.001)).alias("scale")).join(mid, at).select(*at, "median", "n", "scale")
 
 
 def with_reference(cells: DataFrame, reference: DataFrame) -> DataFrame:
-    """A row for each cell that has a reference; (region, feature) kinds are few, the planner may broadcast them."""
-    return cells.join(reference, ["region", "feature"])
+    """A row for each cell that has a reference; the cells stay where they are if the references are few."""
+    return cells.join(_few(reference, "references"), ["region", "feature"])
 
 
 def deviations(cells: DataFrame, reference: DataFrame) -> DataFrame:
@@ -45,7 +67,7 @@ def fit_limits(dev: DataFrame, fpr: float) -> DataFrame:
 
 def region_score(dev: DataFrame, limits: DataFrame) -> DataFrame:
     """Of each photo and region the largest deviation over its limit, and the feature, the first of equal ones; 1 or more warns."""
-    share = dev.join(limits, ["region", "feature"]).withColumn("score", F.col("deviation") / F.col("limit"))
+    share = dev.join(_few(limits, "limits"), ["region", "feature"]).withColumn("score", F.col("deviation") / F.col("limit"))
     top = F.min(F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("minus"), "feature", "score")).alias("t")
     return share.groupBy("photo", "region").agg(top).select("photo", "region", "t.feature", "t.score", (F.col("t.score") >= 1).alias("warns"))
 

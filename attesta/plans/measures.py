@@ -316,6 +316,9 @@ SQL = {
     "jn15_with_reference": f"WITH {REFERENCE} SELECT c.region, c.feature, count(*) AS cells, round(avg(median), 6) AS median FROM cells c JOIN reference r ON c.region = r.region AND c.feature = r.feature GROUP BY 1, 2",
     "ag6_fit_reference": f"WITH {REFERENCE} SELECT region, feature, round(median, 6) AS median, round(scale, 6) AS scale, n FROM reference",
     "ag7_fit_limits": f'WITH {REFERENCE} SELECT region, feature, "limit" FROM limits',
+    "ext6_suppress_overlaps": """WITH b AS (SELECT l_orderkey, list({'n': l_linenumber, 'x': CAST(l_quantity AS DOUBLE)} ORDER BY CAST(l_discount AS DOUBLE) DESC, l_linenumber, l_quantity) AS boxes FROM lineitem GROUP BY 1),
+        k AS (SELECT l_orderkey, list_reduce(list_transform(boxes, lambda b: [b]), lambda got, b: CASE WHEN len(list_filter(got, lambda a: greatest(20 - abs(a.x - b[1].x), 0) * 10 / (400 - greatest(20 - abs(a.x - b[1].x), 0) * 10 + 1e-9) > 0.5)) > 0 THEN got ELSE got || b END) AS kept FROM b)
+        SELECT l_orderkey, unnest(kept).n AS l_linenumber FROM k""",
     "ag8_region_score": f"WITH {_SCORES} SELECT photo, region, feature, round(score, 6) AS score, warns FROM scores",
     "ag15_fired_by": f"WITH {_SCORES} SELECT region, feature, count(*) AS n FROM scores GROUP BY 1, 2",
     "ag9_describe_by": "SELECT event_type, count(value) AS n, min(value) AS low, round(quantile_cont(value, 0.1), 6) AS p10, quantile_cont(value, 0.5) AS mid, max(value) AS high FROM events GROUP BY 1",

@@ -80,3 +80,16 @@ def test_suppression(spark):
         want += [r[1] for r in kept]
     assert sorted(r.n for r in images.suppress_overlaps(df.repartition(3), "image", "n", 0.4).collect()) == sorted(want)
     assert images.suppress_overlaps(df.limit(0), "image", "n", 0.4).count() == 0
+
+
+def test_suppression_of_odd_rows(spark):
+    df = spark.createDataFrame(
+        [
+            (1, 1, 0.0, 0.0, 10.0, 10.0, 0.5), (1, 2, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 3, 0.0, None, 10.0, 10.0, 0.1), (1, 4, 0.0, 0.0, 10.0, 10.0, None),
+            (2, 5, 0.0, 0.0, 10.0, 10.0, None), (2, 5, 0.0, 0.0, 10.0, 10.0, None), (None, 6, 0.0, 0.0, 10.0, 10.0, 0.9), (None, 7, 0.0, 0.0, 10.0, 10.0, 0.9),
+        ],
+        "image int, n int, x1 double, y1 double, x2 double, y2 double, score double",
+    )
+    out = images.suppress_overlaps(df.withColumns({"row": df.n, "_boxes": df.n}), "image", "n", 0.4)
+    assert out.columns == [*df.columns, "row", "_boxes"]
+    assert sorted(r.n for r in out.collect()) == [2, 3, 5, 6, 7]
