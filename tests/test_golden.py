@@ -17,7 +17,7 @@ def one(spark, value, build, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(build(F.col("v")).alias("o")).first()["o"]
 
 
-@pytest.mark.parametrize(("raw", "want"), [("0012345679", True), ("0499370899", True), ("0012345678", False), ("1111111111", False), ("123", False), ("abcdefghij", False), ("", False), (None, False)])
+@pytest.mark.parametrize(("raw", "want"), [("3618472056", True), ("1000000011", True), ("3618472055", False), ("1000000010", False), ("7777777777", False), ("36184", False), ("36184x2056", False), ("", False), (None, False)])
 def test_national_id(spark, raw, want):
     assert one(spark, raw, dates.valid_national_id) is want
 
@@ -34,22 +34,22 @@ def test_jalali(spark):
 
 
 def test_normalise(spark):
-    for raw, want in {"mixed ۱2٣": "mixed 123", "كريمي": "کریمی", "محمــدي  كريمي 123": "محمدی کریمی 123", "علی ‌رضا": "علی‌رضا", None: "", "ھۆگر": "هۆگر"}.items():
+    for raw, want in {"no. ۷5٤": "no. 754", "كريمي": "کریمی", "حســني  كاظم 9": "حسنی کاظم 9", "نور ‌الدین": "نور‌الدین", None: "", "ھێمن": "هێمن"}.items():
         assert one(spark, raw, text.normalize_text) == want
-    assert one(spark, "محمــدي  كريمي 123", text.normalize_name) == "محمدی کریمی"
-    assert one(spark, "حسن۔", text.normalize_name) == "حسن"
-    assert one(spark, "۰۰۱-۲۳۴۵۶۷-۹", text.keep_digits) == "0012345679"
+    assert one(spark, "حســني  كاظم 9", text.normalize_name) == "حسنی کاظم"
+    assert one(spark, "نادر۔", text.normalize_name) == "نادر"
+    assert one(spark, "۳۶۱-۸۴۷۲۰۵-۶", text.keep_digits) == "3618472056"
     for raw, want in {"1370-5-2": "1370/05/02", "13700512": "1370/05/12", "70/5/12": None, "1370/05": None, "garbage": None, "": None}.items():
         assert one(spark, raw, text.normalize_date) == want
     assert one(spark, "abc 12", text.reading_order) == "12 abc"
 
 
 def test_names(spark):
-    names = ["ژاله", "زهره", "رضا", "علی"]
+    names = ["گلناز", "پروین", "سارا", "نادر"]
     lex = spark.createDataFrame(list(enumerate(names)), "ord int, word string").withColumns({"key": text.match_key(F.col("word")), "fold": text.fold_key(F.col("word"))})
-    read = spark.createDataFrame([("زهره",), ("زاله",), ("ژالن",), ("نب",)], "name string").withColumns({"key": text.match_key(F.col("name")), "fold": text.fold_key(F.col("name"))})
+    read = spark.createDataFrame([("پروین",), ("کلناز",), ("پرویم",), ("نب",)], "name string").withColumns({"key": text.match_key(F.col("name")), "fold": text.fold_key(F.col("name"))})
     got = {r.name: (r.value, r.method) for r in matching.resolve_names(read, lex).collect()}
-    assert got == {"زهره": ("زهره", "exact"), "زاله": ("ژاله", "exact"), "ژالن": ("ژاله", "nearest"), "نب": (None, "none")}
+    assert got == {"پروین": ("پروین", "exact"), "کلناز": ("گلناز", "exact"), "پرویم": ("پروین", "nearest"), "نب": (None, "none")}
 
 
 def test_ctc_scores(spark):
