@@ -123,6 +123,17 @@ def fn13(s, d):
     return w.select("c_custkey", dates.to_date(F.col("birth_date")).alias("born"), dates.age_on(F.col("birth_date"), today()).alias("age"), dates.is_expired(F.col("expiry_date"), today()).alias("expired"))
 
 
+def fn11(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select("o_orderkey", dates.jalali_to_date(k % 250 + 1250, k % 12 + 1, k % 29 + 1).alias("day"))
+
+
+def fn12(s, d):
+    p = dates.parse_jalali(F.col("birth_date"))
+    leap = dates.jalali_leap(F.col("c_custkey") % 250 + 1250)
+    return _wide(s, d).select("c_custkey", p["y"].alias("y"), p["m"].alias("m"), p["d"].alias("d"), leap.alias("leap"))
+
+
 def policies(s):
     return s.createDataFrame([("v1", "1990-01-01"), ("v2", "1995-06-01"), ("v3", "1999-01-01")], "version string, valid_from string").withColumn("valid_from", F.col("valid_from").cast("timestamp"))
 
@@ -135,7 +146,7 @@ def jn11(s, d):
 
 
 QUERIES = {
-    "prj1_public_view": lambda s, d: decisions.public_view(frames(s, d).select("event_id", F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("face_base64"), F.lit("x")).alias("data"))).select("event_id", F.array_join(F.map_keys("data"), ",").alias("keys")),
+    "prj1_public_view": lambda s, d: decisions.public_view(frames(s, d).select("event_id", F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("face_base64"), F.lit("x")).alias("data"))).select("event_id", F.array_join(F.map_keys("data"), ",").alias("keys"), F.col("data")["k"].alias("k")),
     "prj3_apply_modes": prj3,
     "prj4_frame_findings": prj4,
     "prj5_quality_gate": prj5,
@@ -149,6 +160,8 @@ QUERIES = {
     "prj13_validate_documents": lambda s, d: decisions.profile("ir_national_card_front")[0](_wide(s, d), today()).select("c_custkey", "codes"),
     "prj14_enrich": lambda s, d: decisions.enrich(_wide(s, d), today()).select("c_custkey", "born", "age", "ends", "expired", "id_valid"),
     "fn10_national_id": lambda s, d: _wide(s, d).select("c_custkey", dates.valid_national_id(F.col("national_id")).alias("valid")),
+    "fn11_jalali_to_date": fn11,
+    "fn12_parse_jalali": fn12,
     "fn13_jalali_ages": fn13,
     "prj15_unlocated": lambda s, d: decisions.unlocated(table(s, d, "orders").select(F.col("o_orderkey").alias("doc"), F.lit("R").alias("class"), (F.col("o_orderkey") % 2 == 0).alias("required")), table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("class")), ["doc", "class"]).select("doc"),
     "prj16_missing_fields": lambda s, d: decisions.missing_fields(_wide(s, d), ["national_id", "birth_date", "expiry_date", "first_name", "last_name", "father_name"]).select("c_custkey", "missing"),
@@ -178,7 +191,7 @@ _VERDICT = f"""WITH {RESULTS}, req AS (SELECT unnest(['document', 'selfie', 'ant
         FROM customer LEFT JOIN g ON g.case_id = c_custkey LEFT JOIN (SELECT case_id, min(score) AS low FROM done GROUP BY 1) m ON m.case_id = c_custkey)"""
 
 SQL = {
-    "prj1_public_view": "SELECT event_id, 'k' AS keys FROM events",
+    "prj1_public_view": f"WITH {FRAMES} SELECT event_id, 'k' AS keys, CAST(k AS VARCHAR) AS k FROM frames",
     "prj3_apply_modes": "SELECT event_id, event_type AS code, CASE WHEN event_type IN ('click', 'view') THEN 'info' ELSE 'error' END AS severity FROM events WHERE event_type <> 'error'",
     "prj4_frame_findings": PRJ4_SQL,
     "prj5_quality_gate": "SELECT doc_id, fatal, CASE WHEN fatal IS NULL AND (n_chars % 10) / 10.0 > 0.5 THEN 'card_glare' END AS warning FROM (SELECT *, CASE WHEN n_chars % 256 < 40 THEN 'card_too_dark' WHEN n_chars % 256 > 220 THEN 'card_too_bright' WHEN n_chars % 97 < 5 THEN 'card_blurry' END AS fatal FROM documents)",
@@ -195,6 +208,9 @@ SQL = {
         CASE WHEN first_name IS NULL THEN 'first_name_missing' END, CASE WHEN last_name = 'x' THEN 'last_name_suspicious' END, CASE WHEN father_name = '' THEN 'father_name_missing' END) AS codes FROM a""",
     "prj14_enrich": f"WITH {WIDE} SELECT c_custkey, born, CAST(age AS INT) AS age, ends, ends < DATE '2026-01-01' AS expired, CASE WHEN length(national_id) = 10 THEN id_ok END AS id_valid FROM a",
     "fn10_national_id": f"WITH {WIDE} SELECT c_custkey, id_ok AS valid FROM a",
+    "fn11_jalali_to_date": f"SELECT o_orderkey, DATE '1970-01-01' + CAST({_jalali('(o_orderkey % 250 + 1250)', '(o_orderkey % 12 + 1)', '(o_orderkey % 29 + 1)')} AS INT) AS day FROM orders",
+    "fn12_parse_jalali": f"""WITH {WIDE}, p AS (SELECT c_custkey, c_custkey % 250 + 1250 AS year, CASE WHEN born IS NOT NULL THEN string_split(birth_date, '/') END AS part FROM v)
+        SELECT c_custkey, CAST(part[1] AS INT) AS y, CAST(part[2] AS INT) AS m, CAST(part[3] AS INT) AS d, {_jalali('(year + 1)', '1', '1')} - {_jalali('year', '1', '1')} = 366 AS leap FROM p""",
     "fn13_jalali_ages": f"WITH {WIDE} SELECT c_custkey, born, CAST(age AS INT) AS age, ends < DATE '2026-01-01' AS expired FROM a",
     "prj15_unlocated": "SELECT o_orderkey AS doc FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "prj16_missing_fields": f"WITH {WIDE} SELECT c_custkey, concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL OR {c} = '' THEN '{c}' END" for c in ("national_id", "birth_date", "expiry_date", "first_name", "last_name", "father_name")) + ") AS missing FROM a",

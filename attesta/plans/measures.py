@@ -248,6 +248,7 @@ QUERIES = {
     "fn5_keep_digits": lambda s, d: _whole_text(s, d, lambda t: {"digits": text.keep_digits(t)}),
     "fn6_normalize_name": lambda s, d: _whole_text(s, d, lambda t: {"name": text.normalize_name(t)}),
     "fn8_match_keys": lambda s, d: _whole_text(s, d, lambda t: {"letters": text.match_key(t), "fold": text.fold_key(t), "base": text.base_key(t)}),
+    "fn9_reading_order": lambda s, d: _whole_text(s, d, lambda t: {"shown": text.reading_order(t)}),
     "fn9_label_of": lambda s, d: _whole_text(s, d, lambda t: {"label": text.label_of(t)}),
     "fn7_normalize_date": fn7,
     "fn14_quality_score": fn14,
@@ -372,6 +373,8 @@ SQL = {
     "fn5_keep_digits": f"SELECT doc_id, md5(regexp_replace({_DIGITS("coalesce(text, '')")}, '[^0-9]', '', 'g')) AS digits FROM documents",
     "fn6_normalize_name": f"SELECT doc_id, md5({_NAME}) AS name FROM documents",
     "fn8_match_keys": f"SELECT doc_id, md5({_KEY}) AS letters, md5(translate({_KEY}, '{text.FOLD_FROM}', '{text.FOLD_TO}')) AS fold, md5(translate({_KEY}, '{text.BASE_FROM}', '{text.BASE_TO}')) AS base FROM documents",
+    "fn9_reading_order": """WITH r AS (SELECT doc_id, text, list_reverse(regexp_extract_all(text, '[0-9A-Za-z]+|[^0-9A-Za-z]+')) AS runs FROM documents)
+        SELECT doc_id, md5(CASE WHEN text IS NOT NULL THEN coalesce(array_to_string([CASE WHEN regexp_matches(x, '^[0-9A-Za-z]') THEN x ELSE array_to_string(list_reverse(regexp_extract_all(x, '(?s).')), '') END FOR x IN runs], ''), '') END) AS shown FROM r""",
     "fn9_label_of": f"SELECT doc_id, md5({_TRIM(f"replace(coalesce(text, ''), '{text.ZWNJ}', '')")}) AS label FROM documents",
     "fn7_normalize_date": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey % 100 + 1300 AS VARCHAR) || '/' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') WHEN 1 THEN substr(CAST(c_custkey + 13700000 AS VARCHAR), 1, 4) || '/' || substr(CAST(c_custkey + 13700000 AS VARCHAR), 5, 2) || '/' || substr(CAST(c_custkey + 13700000 AS VARCHAR), 7, 2) WHEN 3 THEN '1370/05/12' END AS date FROM customer",
     "fn14_quality_score": f"WITH {FRAMES}, p AS (SELECT event_id, k, least(1, greatest(0, value / 20)) + least(1, greatest(0, k / 100.0::DOUBLE)) + least(1, greatest(0, 1 - abs(k - 50) / 25.0::DOUBLE)) + least(1, greatest(0, 1 - abs(k / 5.0::DOUBLE) / 20)) + least(1, greatest(0, 1 - abs(value - 20) / 20)) AS q FROM frames) SELECT event_id, round(CASE WHEN k % 2 = 0 THEN (q + least(1, greatest(0, k / 300.0::DOUBLE / 0.3))) / 6 ELSE q / 5 END, 6) AS quality FROM p",
