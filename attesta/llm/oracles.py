@@ -66,4 +66,14 @@ SQL = {
                     + length(role || text) - length(replace(role || text, '{ESC}', ''))) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op11_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT *, len(u) AS n, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS BIGINT) AS a, CAST(CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS BIGINT) AS b,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+                   WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS pre, coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS mid, coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS suf FROM k)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p
+    """,
 }

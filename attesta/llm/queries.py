@@ -80,8 +80,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.fill_middle import fill_middle, restored
+
+    made = fill_middle(_table(spark, sf_dir, "documents"))
+    text = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.best_fit import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_url_filter, op3_quality_rules, op4_maxent_lm, op5_license_scan, op6_suffix_dedup, op7_source_mix, op8_chat_format, op9_decontaminate, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_filter, op3_quality_rules, op4_maxent_lm, op5_license_scan, op6_suffix_dedup, op7_source_mix, op8_chat_format, op9_decontaminate, op10_jaccard_join, op11_fill_middle, op12_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
