@@ -76,4 +76,17 @@ SQL = {
                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
         FROM p
     """,
+    "op13_phrases": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+        c AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, unnest([w[a : a + k - 1] FOR a IN range(1, len(w) - k + 2)]) AS g FROM w, range(1, 5) x(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+        m AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, unnest([g[: k - 1], g[2 :]]) AS g, f FROM c WHERE k > 2) GROUP BY ALL),
+        s AS (SELECT lang, k, g, f, unnest(range(1, k)) AS cut FROM (SELECT c.* FROM c LEFT JOIN m ON c.lang = m.lang AND c.g = m.g WHERE k > 1 AND 100 * coalesce(m.f, 0) < 80 * c.f)),
+        v AS (SELECT s.lang, s.g, s.f AS a, x.f AS l, y.f AS r, CAST(2000000 * CAST(s.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score, cut
+              FROM s JOIN c x ON x.lang = s.lang AND x.g = s.g[: cut] JOIN c y ON y.lang = s.lang AND y.g = s.g[cut + 1 :]),
+        b AS (SELECT *, array_to_string(g, ' ') AS phrase FROM v QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b JOIN t USING (lang)
+        WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+    """,
 }

@@ -94,8 +94,14 @@ def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_url_filter, op3_quality_rules, op4_maxent_lm, op5_license_scan, op6_suffix_dedup, op7_source_mix, op8_chat_format, op9_decontaminate, op10_jaccard_join, op11_fill_middle, op12_best_fit)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_url_filter, op3_quality_rules, op4_maxent_lm, op5_license_scan, op6_suffix_dedup, op7_source_mix, op8_chat_format, op9_decontaminate, op10_jaccard_join, op11_fill_middle, op12_best_fit, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
