@@ -31,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.shared import BLOB, BLOB_ARROW, drop_table, join_classes, n_buckets, write_table
+from attesta.llm.shared import BLOB, BLOB_ARROW, drop_table, join_classes, partitions, write_table
 from attesta.llm.textnum import LOWER, Texts, Words, combine, mix, same, texts, words
 
 #: Ends of pieces, and what separates words.
@@ -44,7 +45,7 @@ GAPS = BREAKS.copy()
 GAPS[[0x20, 0x09]] = True
 UNKNOWN, LONGEST = "und", 4
 #: Bits of the bitmap of frequent words; records held before a task sums them; bytes of text read at once.
-BITS, HELD, SLICE = 26, 1 << 20, 1 << 22
+BITS, HELD, SLICE = 26, 1 << 20, 1 << 20
 #: A language's phrases are ranked in so many parts first.
 PARTS = 16
 
@@ -101,29 +102,46 @@ def _bitmap(frequent: DataFrame) -> bytes:
 
 
 def _pack(w: np.ndarray, n: np.ndarray, buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
-    """Phrases (a row of word hashes each, 0 for none) and counts, one blob a bucket: its words once, and numbers of them."""
+    """Phrases (a row of word hashes each, 0 for none) and counts, one compressed blob a bucket."""
     if not len(n):
         return
     bucket = (combine(list(w.T)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     w, n, bucket = w[order], n[order], bucket[order]
     at = np.r_[np.flatnonzero(same(bucket)), len(bucket)]
-    blobs = []
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        known, places = np.unique(w[a:b], return_inverse=True)
-        kinds = [np.uint16 if len(known) < 1 << 16 else np.uint32, np.uint16 if n[a:b].max() < 1 << 16 else np.uint64]
-        head = np.array([b - a, len(known), *(np.dtype(k).itemsize for k in kinds)], np.uint32)
-        blobs.append(head.tobytes() + known.tobytes() + places.reshape(-1, w.shape[1]).T.astype(kinds[0]).tobytes() + n[a:b].astype(kinds[1]).tobytes())
+    press = zstandard.ZstdCompressor(level=1)
+    blobs = [press.compress(_squeeze(w[a:b], n[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), pa.array(np.full(len(blobs), kind), pa.int32()), pa.array(blobs, pa.binary())], schema=BLOB_ARROW)
 
 
+def _squeeze(w: np.ndarray, n: np.ndarray) -> bytes:
+    """Words once, the most frequent first; phrases in order, as numbers of words, by columns and bytes."""
+    known, places, often = np.unique(w, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(known), np.uint32)
+    rank[order] = np.arange(len(known))
+    places = rank[places.reshape(w.shape)]
+    kinds = [np.uint16 if len(known) < 1 << 16 else np.uint32, np.uint16 if n.max() < 1 << 16 else np.uint64]
+    if len(known) < 1 << 16:
+        key = np.zeros(len(n), np.uint64)
+        for c in places.T:
+            key = key << np.uint64(16) | c
+        at = np.argsort(key)
+        places, n = places[at], n[at]
+    planes = np.ascontiguousarray(places.T.astype(kinds[0])).view(np.uint8).reshape(w.shape[1], len(n), -1).transpose(0, 2, 1)
+    head = np.array([len(n), len(known), *(np.dtype(k).itemsize for k in kinds)], np.uint32)
+    return head.tobytes() + known[order].tobytes() + planes.tobytes() + n.astype(kinds[1]).tobytes()
+
+
 def _unpack(column: pa.ChunkedArray, wide: int) -> tuple[np.ndarray, np.ndarray]:
     ws, ns = [np.zeros((0, wide), np.uint64)], [np.zeros(0, np.uint64)]
+    press = zstandard.ZstdDecompressor()
     for x in column:
-        raw = x.as_buffer()
+        raw = press.decompress(x.as_buffer())
         n, d, a, b = np.frombuffer(raw, np.uint32, 4).tolist()
         known = np.frombuffer(raw, np.uint64, d, 16)
-        places = np.frombuffer(raw, f"<u{a}", wide * n, 16 + 8 * d).reshape(wide, n)
+        planes = np.frombuffer(raw, np.uint8, wide * a * n, 16 + 8 * d).reshape(wide, a, n)
+        places = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f"<u{a}").reshape(wide, n)
         ws.append(known[places].T)
         ns.append(np.frombuffer(raw, f"<u{b}", n, 16 + 8 * d + a * wide * n).astype(np.uint64))
     return np.concatenate(ws), np.concatenate(ns)
@@ -166,7 +184,7 @@ GRAMS = "k int, w1 long, w2 long, w3 long, w4 long, f long"
 def count_phrases(docs: DataFrame, bitmap: bytes, least: int) -> DataFrame:
     """Rows of (lang, text) -> k, w1 to w4 (word hashes), f: phrases of two to four words that occur ``least`` times or more."""
     spark = docs.sparkSession
-    buckets = n_buckets(spark)
+    buckets = partitions(spark)
     told = spark.sparkContext.broadcast(bitmap)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
