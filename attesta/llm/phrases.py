@@ -9,8 +9,8 @@ plus the pieces that end with it. Every level is dealt out by its phrases' hash
 summed in the tasks before, so that no word or node meets in one task.
 
 Words of fewer than ``least`` occurrences end a piece: no phrase that counts has
-one. Which words those are is told by a bitmap of fixed size; a word that only
-shares a bit with a frequent one costs work, not correctness.
+one. Which words are left is told to all tasks, up to ``NUMBERED`` of them one by
+one, beyond that by a bitmap of fixed size; results are the same.
 
 A node all of whose flow comes in by one edge and leaves by one lies inside a
 unary path; ``compact`` joins edges over such nodes to paths, passages that always
@@ -44,8 +44,8 @@ BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAPS = BREAKS.copy()
 GAPS[[0x20, 0x09]] = True
 UNKNOWN, LONGEST = "und", 4
-#: Bits of the bitmap of frequent words; records held before a task sums them; bytes of text read at once.
-BITS, HELD, SLICE = 26, 1 << 20, 1 << 20
+#: Frequent words told one by one (12 bytes each); bits of the bitmap beyond that; records held before a task sums them; bytes of text read at once.
+NUMBERED, BITS, HELD, SLICE = 1 << 22, 26, 1 << 20, 1 << 20
 #: A language's phrases are ranked in so many parts first.
 PARTS = 16
 
@@ -102,97 +102,105 @@ def _bitmap(frequent: DataFrame) -> bytes:
 
 
 def _pack(w: np.ndarray, n: np.ndarray, buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
-    """Phrases (a row of word hashes each, 0 for none) and counts, one compressed blob a bucket."""
+    """Phrases in order (a row of words each, 0 for none) and counts, one compressed blob a bucket: columns byte by byte."""
     if not len(n):
         return
-    bucket = (combine(list(w.T)) % np.uint64(buckets)).astype(np.int32)
+    bucket = (combine([c.astype(np.uint64) for c in w.T]) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     w, n, bucket = w[order], n[order], bucket[order]
     at = np.r_[np.flatnonzero(same(bucket)), len(bucket)]
-    press = zstandard.ZstdCompressor(level=1)
-    blobs = [press.compress(_squeeze(w[a:b], n[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+    press, blobs = zstandard.ZstdCompressor(level=1), []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        head = np.array([b - a, w.itemsize], np.uint32).tobytes()
+        planes = [np.ascontiguousarray(x).view(np.uint8).reshape(b - a, -1).T.tobytes() for x in (*w[a:b].T, n[a:b])]
+        blobs.append(press.compress(head + b"".join(planes)))
     yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), pa.array(np.full(len(blobs), kind), pa.int32()), pa.array(blobs, pa.binary())], schema=BLOB_ARROW)
 
 
-def _squeeze(w: np.ndarray, n: np.ndarray) -> bytes:
-    """Words once, the most frequent first; phrases in order, as numbers of words, by columns and bytes."""
-    known, places, often = np.unique(w, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(known), np.uint32)
-    rank[order] = np.arange(len(known))
-    places = rank[places.reshape(w.shape)]
-    kinds = [np.uint16 if len(known) < 1 << 16 else np.uint32, np.uint16 if n.max() < 1 << 16 else np.uint64]
-    if len(known) < 1 << 16:
-        key = np.zeros(len(n), np.uint64)
-        for c in places.T:
-            key = key << np.uint64(16) | c
-        at = np.argsort(key)
-        places, n = places[at], n[at]
-    planes = np.ascontiguousarray(places.T.astype(kinds[0])).view(np.uint8).reshape(w.shape[1], len(n), -1).transpose(0, 2, 1)
-    head = np.array([len(n), len(known), *(np.dtype(k).itemsize for k in kinds)], np.uint32)
-    return head.tobytes() + known[order].tobytes() + planes.tobytes() + n.astype(kinds[1]).tobytes()
-
-
 def _unpack(column: pa.ChunkedArray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    ws, ns = [np.zeros((0, wide), np.uint64)], [np.zeros(0, np.uint64)]
-    press = zstandard.ZstdDecompressor()
+    ws, ns, press = [], [], zstandard.ZstdDecompressor()
     for x in column:
         raw = press.decompress(x.as_buffer())
-        n, d, a, b = np.frombuffer(raw, np.uint32, 4).tolist()
-        known = np.frombuffer(raw, np.uint64, d, 16)
-        planes = np.frombuffer(raw, np.uint8, wide * a * n, 16 + 8 * d).reshape(wide, a, n)
-        places = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f"<u{a}").reshape(wide, n)
-        ws.append(known[places].T)
-        ns.append(np.frombuffer(raw, f"<u{b}", n, 16 + 8 * d + a * wide * n).astype(np.uint64))
-    return np.concatenate(ws), np.concatenate(ns)
+        n, size = np.frombuffer(raw, np.uint32, 2).tolist()
+        planes = np.frombuffer(raw, np.uint8, offset=8)
+        whole = lambda at, k, kind: np.ascontiguousarray(planes[at : at + k * n].reshape(k, n).T).view(kind)[:, 0]  # noqa: E731, B023
+        ws.append(np.stack([whole(j * size * n, size, f"<u{size}") for j in range(wide)], 1))
+        ns.append(whole(wide * size * n, 8, "<u8"))
+    return (np.concatenate(ws), np.concatenate(ns)) if ws else (np.zeros((0, wide), np.uint32), np.zeros(0, np.uint64))
 
 
 def sums(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each phrase once, with the sum of its counts."""
+    """Each phrase once, in order, with the sum of its counts."""
     if not len(n):
         return w, n
-    h = combine(list(w.T))
-    order = np.argsort(h, kind="stable")
-    w, h, n = w[order], h[order], n[order]
-    new = same(h)
-    if (w[1:] != w[:-1]).any(1)[~new[1:]].any():  # phrases that share a hash: by their words, then
-        order = np.lexsort(w.T)
-        w, n = w[order], n[order]
-        new = np.r_[True, (w[1:] != w[:-1]).any(1)]
-    at = np.flatnonzero(new)
+    keys = [*w.T]
+    if w.itemsize == 4:  # two words to a key
+        keys = [a.astype(np.uint64) << np.uint64(32) | b for a, b in zip(keys[::2], [*keys[1::2], np.zeros(len(n), np.uint32)], strict=False)]
+    order = np.lexsort(keys[::-1])
+    w, n = w[order], n[order]
+    at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]).any(1)])
     return w[at], np.add.reduceat(n, at)
 
 
-def records(t: Texts, w: Words, h: np.ndarray, good: np.ndarray) -> np.ndarray:
+class Frequent:
+    """Frequent words by their hash: numbered by frequency, or, where they are too many to tell to all tasks, by a bitmap.
+
+    The bitmap has 2 ** BITS bits for every corpus; a word that only shares a bit costs work, not correctness. Numbered
+    words take fewer bytes; else a word's number is its hash.
+    """
+
+    def __init__(self, frequent: DataFrame, numbered: int):
+        self.bits = None
+        if frequent.count() <= numbered:
+            h = np.array([r["h"] for r in frequent.orderBy(F.desc("n"), "h").select("h").toLocalIterator()], np.int64).view(np.uint64)
+            self.by_number = np.r_[np.zeros(1, np.uint64), h]
+            self.number = np.argsort(h).astype(np.uint32) + np.uint32(1)
+            self.sorted = np.sort(h)
+        else:
+            self.bits = _bitmap(frequent)
+
+    def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number, and whether it is frequent."""
+        if self.bits is not None:
+            bit = h >> np.uint64(64 - BITS)
+            return h, np.frombuffer(self.bits, np.uint8)[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+        if not len(self.sorted):
+            return np.zeros(len(h), np.uint32), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return self.number[at], self.sorted[at] == h
+
+    def hashes(self, number: np.ndarray) -> np.ndarray:
+        return number if self.bits is not None else self.by_number[number]
+
+
+def records(t: Texts, w: Words, number: np.ndarray, good: np.ndarray) -> np.ndarray:
     """The up to four good words that begin at each good one, inside its piece; single words are left out."""
     k = np.flatnonzero(good)
     if not len(k):
-        return np.zeros((0, LONGEST), np.uint64)
+        return np.zeros((0, LONGEST), number.dtype)
     piece = np.searchsorted(np.flatnonzero(BREAKS[t.data]), w.start[k])
     fresh = np.r_[True, (np.diff(k) > 1) | (np.diff(piece) > 0) | (np.diff(w.doc[k]) > 0)]
     begin = np.flatnonzero(fresh)
     end = np.repeat(np.r_[begin[1:], len(k)], np.diff(np.r_[begin, len(k)]))
     left = end - np.arange(len(k))
-    padded = np.r_[h[k], np.zeros(LONGEST, np.uint64)]
-    out = np.stack([np.where(left > j, padded[j : j + len(k)], np.uint64(0)) for j in range(LONGEST)], 1)
+    padded = np.r_[number[k], np.zeros(LONGEST, number.dtype)]
+    out = np.stack([np.where(left > j, padded[j : j + len(k)], padded[-1]) for j in range(LONGEST)], 1)
     return out[left > 1]
 
 
 GRAMS = "k int, w1 long, w2 long, w3 long, w4 long, f long"
 
 
-def count_phrases(docs: DataFrame, bitmap: bytes, least: int) -> DataFrame:
+def count_phrases(docs: DataFrame, frequent: Frequent, least: int) -> DataFrame:
     """Rows of (lang, text) -> k, w1 to w4 (word hashes), f: phrases of two to four words that occur ``least`` times or more."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    told = spark.sparkContext.broadcast(bitmap)
+    told = spark.sparkContext.broadcast(frequent)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, n = np.frombuffer(told.value, np.uint8), [], 0
+        held, n = [], 0
         for t, w, h, _, _ in _read(batches):
-            bit = h >> np.uint64(64 - BITS)
-            good = bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
-            held.append(records(t, w, h, good))
+            held.append(records(t, w, *told.value.numbers(h)))
             n += len(held[-1])
             if n >= HELD:
                 made = np.concatenate(held)
@@ -222,6 +230,7 @@ def count_phrases(docs: DataFrame, bitmap: bytes, least: int) -> DataFrame:
             for kind, data in zip(b.column("kind").to_pylist(), b.column("data"), strict=True):
                 k = kind - 10
                 w, n = _unpack([data], k)
+                w = told.value.hashes(w)
                 w = np.concatenate([w, np.zeros((len(n), LONGEST - k), np.uint64)], 1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k), pa.int32()), *map(pa.array, np.ascontiguousarray(w.T)), pa.array(n.view(np.int64))], names=["k", "w1", "w2", "w3", "w4", "f"])
 
@@ -286,7 +295,7 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, most: int =
     """
     vocabulary = write_table(count_words(docs), "phrase-words")
     frequent = vocabulary.where(F.col("n") >= least)
-    grams = write_table(count_phrases(docs, _bitmap(frequent), least), "phrase-counts")
+    grams = write_table(count_phrases(docs, Frequent(frequent, NUMBERED), least), "phrase-counts")
     held = [grams.where("k = 4")]
     for k in (3, 2):
         inside = (F.col("f") == F.col("out")) & (F.col("f") == F.col("into"))  # of a unary path

@@ -214,8 +214,10 @@ def test_phrases(docs):
     assert sorted(got) == sorted(plain_phrases(rows, 30))
 
 
-def test_phrases_few_words(spark):
+@pytest.mark.parametrize("numbered", [0, 1 << 22])
+def test_phrases_few_words(spark, monkeypatch, numbered):
     """Many ties, rings and repeated rows; words that are names of languages; a language's list is cut."""
+    monkeypatch.setattr(phrases, "NUMBERED", numbered)
     rng = np.random.default_rng(6)
     rows = [(int(k % 4), " ".join(rng.choice(["en", "de", "a", "b", "und", "C"], rng.integers(0, 12))) + ". x y z x y z x y", [None, "en", "de", "und"][k % 4]) for k in range(160)]
     rows += [(None, None, None), (7, "", "fr"), (7, "one two, three", "fr")] + [(8, "p q r s t u v; p q r s t u v", "it")] * 9
@@ -230,7 +232,7 @@ def test_paths_of_passages(spark):
     rows = [("p q r s t u v w",)] * 4 + [("k l m n k l m n k l m n k l m",)] * 3 + [("a b c d e",)] * 2 + [("a b c d f",)] * 3
     docs = spark.createDataFrame(rows, "text string").selectExpr("text", "'en' AS lang")
     words = phrases.count_words(docs)
-    grams = spark.createDataFrame(phrases.count_phrases(docs, phrases._bitmap(words), 2).collect(), phrases.GRAMS)
+    grams = spark.createDataFrame(phrases.count_phrases(docs, phrases.Frequent(words, 10**6), 2).collect(), phrases.GRAMS)
     name = {r.h: r.word for r in words.collect()}
     paths = {}
     for r in phrases.compact(grams).collect():
