@@ -193,8 +193,8 @@ QUERIES = {
     "snk8_fixity_audit": snk8,
     "jn3_lexicon_exact": lambda s, d: M.lexicon_exact(words(s, d).select("name"), lexicon(s, d), F.col("name")).select("name", "value"),
     "jn4_lexicon_folded": lambda s, d: M.lexicon_folded(words(s, d).select("name"), lexicon(s, d), F.translate("name", "cksz", "kkss")).select("name", "value"),
-    "jn5_lexicon_nearest": lambda s, d: M.lexicon_nearest(words(s, d).select("name", "key"), lexicon(s, d)).select("name", "value", "distance"),
-    "jn6_resolve_names": lambda s, d: M.resolve_names(words(s, d), lexicon(s, d)).select("name", "value", "method"),
+    "jn5_lexicon_nearest": lambda s, d: M.lexicon_nearest(written(words(s, d).select("name", "key"), "names"), written(lexicon(s, d), "lexicon")).select("name", "value", "distance"),
+    "jn6_resolve_names": lambda s, d: M.resolve_names(written(words(s, d), "names"), written(lexicon(s, d), "lexicon")).select("name", "value", "method"),
     "jn8_verify_pairs": jn8,
     "jn9_evaluation_pairs": lambda s, d: M.evaluation_pairs(_vectors(s, d)).select("id", "other", "genuine", F.round("similarity", 6).alias("similarity")),
     "jn12_truth_join": jn12,
