@@ -140,19 +140,6 @@ def test_lifecycle_machine():
     assert codes("document", "selfie", "liveness", "finalize", "finalize", "document") == ["", "", "", "", "", "case_finalized"]
 
 
-def test_stream_matches_batch(spark, tmp_path):
-    rows = [(s, 10 * s + n, float(n), "stream" if n < 2 else "still", 10.0, "", 0.9, f"2024-01-01 00:00:0{n}") for s in range(5) for n in range(3)]
-    df = spark.createDataFrame(rows, "session_id long, event_id long, ts double, kind string, sharpness double, code string, similarity double, event_time string").withColumn("event_time", F.col("event_time").cast("timestamp"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = machines.run_stream(stream, "session_id", ["ts", "event_id"], machines.capture_step, machines.CAPTURE_OUT).writeStream.format("memory").queryName("captured").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    want = sorted(map(tuple, machines.capture_batch(df).collect()))
-    assert sorted(map(tuple, spark.table("captured").collect())) == want
-    assert [r[2] for r in want][2::3] == ["CAPTURED"] * 5
-
-
 def test_idle_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (1, "2024-01-01 01:00:00"), (1, "2024-01-01 03:00:00")], "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(str(tmp_path / "in"))
