@@ -181,6 +181,19 @@ def ext6(s, d):
 
 DOCS = lambda s, d: table(s, d, "documents")
 
+LISTED = ["اب", "ا ب پ", "ببا", "پا", "ابا", "ابپ\u200cب", "ابت"]
+_LABELS = {0: [1, 2], 1: [1, 2, 3], 2: [2, 2, 1], 3: [3, 1], 4: [1, 2, 1], 5: [1, 2, 3, 2]}
+
+
+def jn7(s, d):
+    """Events as a recogniser's frames over a blank and three letters: a crop for each user and two days."""
+    f = frames(s, d)
+    weights = [1 + (F.col("k") + 3 * j * j + 5 * j) % 10 for j in range(4)]
+    crop = F.col("user_id") * 1_000_000 + F.floor(F.unix_timestamp("ts") / 172_800)
+    f = f.select(crop.alias("crop"), F.struct("ts", "event_id").alias("t"), F.array(*(F.log(w / sum(weights)) for w in weights)).alias("logp"))
+    return M.score_lexicon(f, "crop", LISTED, ["_", "ا", "ب", "پ"], -8.0, 0.2).select("crop", "value", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
+
+
 QUERIES = {
     "src2_transcripts": src2,
     "src4_pair_media": lambda s, d: C.pair_media(DOCS(s, d).select("doc_id", "lang"), table(s, d, "labels"), "doc_id"),
@@ -194,6 +207,7 @@ QUERIES = {
     "jn3_lexicon_exact": lambda s, d: M.lexicon_exact(words(s, d).select("name"), lexicon(s, d), F.col("name")).select("name", "value"),
     "jn4_lexicon_folded": lambda s, d: M.lexicon_folded(words(s, d).select("name"), lexicon(s, d), F.translate("name", "cksz", "kkss")).select("name", "value"),
     "jn5_lexicon_nearest": lambda s, d: M.lexicon_nearest(written(words(s, d).select("name", "key"), "names"), written(lexicon(s, d), "lexicon")).select("name", "value", "distance"),
+    "jn7_score_lexicon": jn7,
     "jn6_resolve_names": lambda s, d: M.resolve_names(written(words(s, d), "names"), written(lexicon(s, d), "lexicon")).select("name", "value", "method"),
     "jn8_verify_pairs": jn8,
     "jn9_evaluation_pairs": lambda s, d: M.evaluation_pairs(_vectors(s, d)).select("id", "other", "genuine", F.round("similarity", 6).alias("similarity")),
@@ -283,7 +297,19 @@ _SCORES = f"""{REFERENCE}, sc AS (SELECT photo, d.region, d.feature, deviation /
 _CASES = "e AS (SELECT vec_id, [CAST(v AS DOUBLE) FOR v IN embedding] AS v FROM embeddings), c AS (SELECT a.vec_id // 2 AS case_id, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1)"
 _CLEAN = "unnest(string_split(text, '')) AS ch"
 
+_PATHS = ", ".join(f"({k}, '{LISTED[k]}', {[0, *(x for w in v for x in (w, 0))]})" for k, v in _LABELS.items())
+_JN7 = f"""WITH RECURSIVE {FRAMES},
+    f AS (SELECT user_id * 1000000 + floor(epoch(ts) / 172800)::BIGINT AS crop, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 172800) ORDER BY ts, event_id) AS t, [1 + (k + 3 * j * j + 5 * j) % 10 FOR j IN range(0, 4)] AS w FROM frames),
+    p AS (SELECT crop, t, [x / list_sum(w) FOR x IN w] AS p FROM f),
+    n AS (SELECT * FROM (VALUES {_PATHS}) v(ord, name, path)),
+    a AS (SELECT crop, ord, t, path, [CASE WHEN i <= 2 THEN p[path[i] + 1] ELSE 0 END FOR i IN range(1, len(path) + 1)] AS a FROM p, n WHERE t = 1
+        UNION ALL SELECT a.crop, ord, p.t, path, [(a.a[i] + CASE WHEN i > 1 THEN a.a[i - 1] ELSE 0 END + CASE WHEN i > 2 AND path[i] <> 0 AND path[i] <> path[i - 2] THEN a.a[i - 2] ELSE 0 END) * p[path[i] + 1] FOR i IN range(1, len(path) + 1)] FROM a JOIN p ON p.crop = a.crop AND p.t = a.t + 1),
+    s AS (SELECT crop, ord, CASE WHEN a[-1] + a[-2] > 0 THEN ln(a[-1] + a[-2]) ELSE '-inf'::DOUBLE END AS score FROM a QUALIFY t = max(t) OVER (PARTITION BY crop)),
+    r AS (SELECT crop, ord, score, score - lead(score) OVER w AS margin, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY crop ORDER BY score DESC, ord))
+    SELECT crop, name AS value, round(score, 4) AS score, round(margin, 4) AS margin FROM r JOIN n USING (ord) WHERE rn = 1 AND score > -8 AND margin >= 0.2"""
+
 SQL = {
+    "jn7_score_lexicon": _JN7,
     "ag25_fuse_classes": f"WITH {FRAMES}, m AS (SELECT user_id, avg(k / 100.0::DOUBLE) AS real, avg(1 - k / 100.0::DOUBLE) AS unsure, avg(value / 100) AS fake FROM frames GROUP BY 1) SELECT user_id, CASE greatest(real, unsure, fake) WHEN real THEN 'real' WHEN unsure THEN 'unsure' ELSE 'fake' END AS label FROM m",
     "src2_transcripts": """WITH l AS (SELECT doc_id, CAST(i - 1 AS INT) AS line, string_split(concat_ws(chr(9), source, lines[i], CASE WHEN n_chars % 9 = 0 THEN 'x' END), chr(9)) AS p
         FROM (SELECT doc_id, source, n_chars, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)))

@@ -22,7 +22,7 @@ def test_score_lexicon_and_resolve(spark):
     sharp = [[math.log(x) for x in (0.05, 0.9, 0.05)], [math.log(x) for x in (0.05, 0.05, 0.9)]]
     vague = [[math.log(1 / 3)] * 3] * 2
     df = spark.createDataFrame([(c, t, p) for c, rows in (("ab?", sharp), ("vague", vague)) for t, p in enumerate(rows)], "crop string, t int, logp array<double>")
-    accept = lambda least, lead, names=("ab", "ba"): {r.crop: r.value for r in matching.score_lexicon(df, "crop", list(names), ["_", "a", "b"], least, lead).collect()}
+    accept = lambda least, lead, names=("ab", "ba"): {r.crop: r.value for r in matching.score_lexicon(df, "crop", list(names), ["_", "a", "b"], least, lead, letters=lambda c: c).collect()}
     assert accept(-5.0, 1.0) == {"ab?": "ab"}
     assert accept(-0.1, 1.0) == {} and accept(-5.0, 9.0) == {}
     assert accept(-5.0, 0.0, ("ab",)) == {}  # no runner-up
