@@ -5,34 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.selection import below, counted, few, quantile
 from attesta.sources.scratch import written
 
-#: Rows of a table of references or limits that is broadcast at most.
-FEW = 10_000
-
-
-def _counted(df: DataFrame, keys: list[str], value: str, times: Column | None = None) -> DataFrame:
-    """How often each group has each value."""
-    n = F.count("*") if times is None else F.sum(times)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("_n"))
-
-
-def _quantile_of(counted: DataFrame, keys: list[str], value: str, share: float, name: str, n: str | None = None) -> DataFrame:
-    more = [F.sum("_n").alias(n)] if n else []
-    return counted.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, {share!r}, _n)").alias(name), *more)
-
-
-def _quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str, n: str | None = None) -> DataFrame:
-    """The exact quantile of each group from counts by value, summed before the exchange: a group's buffer holds distinct values only."""
-    return _quantile_of(_counted(df, keys, value), keys, value, share, name, n)
-
-
-def _few(df: DataFrame, name: str) -> DataFrame:
-    """``df`` made once, and broadcast if it has no more than FEW rows."""
-    made = written(df, name)
-    return F.broadcast(made) if made.count() <= FEW else made
-
-
 def fit_reference(cells: DataFrame, min_photos: int = 20) -> DataFrame:
     """cells(photo, region, feature, value) -> region, feature, median, scale (1.4826 x MAD, 0.001 at least), n.
 
@@ -40,16 +15,16 @@ def fit_reference(cells: DataFrame, min_photos: int = 20) -> DataFrame:
     """
     at = ["region", "feature"]
     enough = cells.groupBy("region").agg(F.countDistinct("photo").alias("photos")).where(F.col("photos") >= min_photos)
-    counted = written(_counted(cells, at, "value").join(enough.select("region"), "region", "left_semi"), "cell-counts")
-    mid = _few(_quantile_of(counted, at, "value", 0.5, "median", "n"), "cell-medians")
-    away = counted.join(mid, at).withColumn("off", F.abs(F.col("value") - F.col("median")))
-    off = _quantile_of(_counted(away, at, "off", F.col("_n")), at, "off", 0.5, "mad")
+    counts = written(counted(cells, at, "value").join(enough.select("region"), "region", "left_semi"), "cell-counts")
+    mid = few(quantile(counts, at, "value", 0.5, "median", "n"), "cell-medians")
+    away = counts.join(mid, at).withColumn("off", F.abs(F.col("value") - F.col("median")))
+    off = quantile(counted(away, at, "off", F.col("_n")), at, "off", 0.5, "mad")
     return off.select(*at, F.greatest(F.col("mad") * 1.4826, F.lit(0.001)).alias("scale")).join(mid, at).select(*at, "median", "n", "scale")
 
 
 def with_reference(cells: DataFrame, reference: DataFrame) -> DataFrame:
     """A row for each cell that has a reference; the cells stay where they are if the references are few."""
-    return cells.join(_few(reference, "references"), ["region", "feature"])
+    return cells.join(few(reference, "references"), ["region", "feature"])
 
 
 def deviations(cells: DataFrame, reference: DataFrame) -> DataFrame:
@@ -61,19 +36,26 @@ def deviations(cells: DataFrame, reference: DataFrame) -> DataFrame:
 def fit_limits(dev: DataFrame, fpr: float) -> DataFrame:
     """The genuine deviation at 1 - fpr / features, rounded; zero limits are left out. Reads ``dev`` twice."""
     n = dev.agg(F.countDistinct("feature")).first()[0]
-    out = _quantile(dev, ["region", "feature"], "deviation", 1 - fpr / max(1, n), "limit")
+    at = ["region", "feature"]
+    out = quantile(counted(dev, at, "deviation"), at, "deviation", 1 - fpr / max(1, n), "limit")
     return out.withColumn("limit", F.round("limit", 3)).where(F.col("limit") > 0)
 
 
 def region_score(dev: DataFrame, limits: DataFrame) -> DataFrame:
     """Of each photo and region the largest deviation over its limit, and the feature, the first of equal ones; 1 or more warns."""
-    share = dev.join(_few(limits, "limits"), ["region", "feature"]).withColumn("score", F.col("deviation") / F.col("limit"))
+    share = dev.join(few(limits, "limits"), ["region", "feature"]).withColumn("score", F.col("deviation") / F.col("limit"))
     top = F.min(F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("minus"), "feature", "score")).alias("t")
     return share.groupBy("photo", "region").agg(top).select("photo", "region", "t.feature", "t.score", (F.col("t.score") >= 1).alias("warns"))
 
 
 def describe_by(df: DataFrame, label: str, col: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(col).alias("n"), F.min(col).alias("low"), F.percentile(col, 0.1).alias("p10"), F.median(col).alias("mid"), F.max(col).alias("high"))
+    """Number, smallest, tenth percentile, median and largest of each label's values; a label without any has nulls."""
+    counts = counted(df, [label], col)
+    out = df.groupBy(label).agg(F.count(col).alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).alias("o")
+    for share, name in ((0.1, "p10"), (0.5, "mid")):
+        q = quantile(counts, [label], col, share, name).alias("q")
+        out = out.join(q, F.col(f"o.`{label}`").eqNullSafe(F.col(f"q.`{label}`")), "left").select("o.*", f"q.{name}").alias("o")
+    return out.select(label, "n", "low", "p10", "mid", "high")
 
 
 def sweep(df: DataFrame, score: str, genuine: Column, thresholds: list[float]) -> DataFrame:
@@ -89,8 +71,7 @@ def sweep(df: DataFrame, score: str, genuine: Column, thresholds: list[float]) -
 def auc(df: DataFrame, group: str, score: str, attack: Column) -> DataFrame:
     """Share of (attack, genuine) pairs in which the attack scores strictly higher, from counts by distinct value; groups without both kinds are left out."""
     at = df.where(F.col(score).isNotNull()).groupBy(group, score).agg(F.count_if(attack).alias("a"), F.count_if(~attack).alias("g"))
-    below = F.sum("g").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    won = at.withColumn("won", F.col("a") * F.coalesce(below, F.lit(0)))
+    won = below(at, [group], score, "g", "below").withColumn("won", F.col("a") * F.col("below"))
     out = won.groupBy(group).agg(F.sum("won").alias("won"), (F.sum("a") * F.sum("g")).alias("pairs"))
     return out.where("pairs > 0").select(group, (F.col("won") / F.col("pairs")).alias("auc"))
 
@@ -107,7 +88,8 @@ def live_score(probs: DataFrame, key: str, model: str, p: str, limit: float) ->
 
 
 def trimmed_mean(df: DataFrame, key: str, col: str, q: float = 0.8) -> DataFrame:
-    cut = _quantile(df, [key], col, q, "cut")
+    """Mean of each key's values up to their quantile ``q``."""
+    cut = few(quantile(counted(df, [key], col), [key], col, q, "cut"), "trims")
     return df.join(cut, key).where(F.col(col) <= F.col("cut")).groupBy(key).agg(F.avg(col).alias("trimmed"))
 
 
@@ -115,17 +97,6 @@ def fired_by(scores: DataFrame, kind: str, feature: str) -> DataFrame:
     return scores.groupBy(kind, feature).agg(F.count("*").alias("n"))
 
 
-def tail_summary(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.percentile(col, 0.99).alias("p99"), F.percentile(col, 0.999).alias("p999"), F.max(col).alias("top"), F.count(col).alias("n"))
-
-
-def fmr_fnmr(pairs: DataFrame, score: str, genuine: Column, thresholds: list[float], target: float) -> DataFrame:
-    """False match and non-match rates by threshold, and which is the first to meet the target."""
-    s = sweep(pairs, score, genuine, thresholds).select("threshold", F.col("attack_pass").alias("fmr"), (1 - F.col("genuine_pass")).alias("fnmr"))
-    first = F.min(F.when(F.col("fmr") <= target, F.col("threshold"))).over(Window.partitionBy(F.lit(1)))
-    return s.withColumn("chosen", F.coalesce(F.col("threshold") == first, F.lit(False)))
-
-
 def fuse_classes(probs: DataFrame, key: str, classes: list[str]) -> DataFrame:
     """Mean class probabilities over models and the largest; the first of equal ones."""
     out = probs.groupBy(key).agg(*(F.avg(c).alias(c) for c in classes))
