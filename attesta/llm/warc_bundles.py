@@ -42,6 +42,8 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
     Payloads that at least a thousandth of all rows share are at most a thousand and are broadcast;
     any other is joined by digest, so that no task gets more than a thousandth of the rows for one key.
+    Payloads under ``least`` bytes, and those that are broadcast, take no part in that join: their keys
+    are hashes of row and input partition, so that equal rows of different partitions don't meet either.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
@@ -49,7 +51,8 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     many = F.lit(max(2, pages.count() // 1000))
     hot = groups.where(F.col("n") >= many).select("digest", F.col("first").alias("hot"))
     rest = groups.where(F.col("n") < many).select("digest", F.col("first").alias("cold"))
-    found = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat("digest", F.lit("/"), F.col("page_id").cast("string"))))
+    apart = F.concat(F.lit("#"), F.xxhash64("page_id", "url", "digest").cast("string"), F.lit("/"), F.spark_partition_id().cast("string"))
+    found = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", F.when(F.col("hot").isNull() & (F.col("payload_bytes") >= least), F.col("digest")).otherwise(apart))
     found = found.join(rest.withColumnRenamed("digest", "key"), "key", "left")
     first = F.coalesce("hot", "cold")
     return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(first), first)).select("page_id", "url", "payload", "digest", "payload_bytes", "refers_to")
