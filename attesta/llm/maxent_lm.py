@@ -10,8 +10,9 @@ into classes by the form of the word. A softmax over classes and one over the
 words of a class read the same kind of features: the hashed word before, the two
 words before, and the words two, three and four back (skips). Words outside the
 vocabulary share their class by their counts, so all of the corpus's counts enter
-the score. Weights come from gradient updates in every partition, averaged by
-tokens after each round; a round reads its share of the training documents.
+the score. Weights come from gradient updates in every shard of a round's share of
+the training documents, averaged by tokens after each round. Shards have a fixed
+size and order, so how the input is partitioned doesn't matter.
 
 The ``FREQUENT`` most frequent tokens' counts are broadcast; others meet their
 counts in packed exchanges by token, and come back to their row.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ VOCAB, PER_CLASS, FORMS, FREQUENT = 512, 16, 16, 1 << 18
 #: Rows of the hashed weights: of classes, of words in their class.
 ROWS, WORD_ROWS = 8192, 1024
 ROUNDS, BATCH, RATE = 2, 8192, 0.15
-#: Partitions whose weights are averaged at a time.
-MERGE = 64
+#: Tokens of a shard, bytes of its texts learned from at once, and shards whose weights are averaged at a time.
+SHARD, SLICE, MERGE = 2_000_000, 1 << 19, 64
 END = np.uint64(0x5EED0E4D0F7E0000)
 _FORM = np.uint64(FORMS - 1)
 COUNT = np.dtype([("token", "<u8"), ("n", "<i8")])
@@ -220,32 +222,65 @@ class Learner:
                 self._step(u, self.gu, narrow[s][own].astype(np.int64) * self.m.heads + cls[s][own][:, None], q)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts]]:
+    """Each shard's texts in slices that end with the text that fills them, however the rows come in batches."""
+    held, size, shard = [], 0, None
+    for b in batches:
+        of, text = b.column("shard").to_numpy(), pc.fill_null(b.column("text"), "")
+        long, a = pc.binary_length(text).to_numpy(), 0
+        for k in range(len(of)):
+            if of[k] != shard:
+                held.append(text.slice(a, k - a))
+                if shard is not None and sum(map(len, held)):
+                    yield from ((shard, t) for t in texts(pa.concat_arrays(held), 1 << 62))
+                held, size, a, shard = [], 0, k, of[k]
+            size += int(long[k]) + 1
+            if size >= SLICE:
+                held.append(text.slice(a, k + 1 - a))
+                yield from ((shard, t) for t in texts(pa.concat_arrays(held), 1 << 62))
+                held, size, a = [], 0, k + 1
+        held.append(text.slice(a))
+    if sum(map(len, held)):
+        yield from ((shard, t) for t in texts(pa.concat_arrays(held), 1 << 62))
+
+
 def train(model: Model, docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Rounds of gradient updates on all texts of ``docs``, each on its share; partitions' weights are averaged by tokens."""
+    """Rounds of gradient updates on all texts of ``docs``, each on its share.
+
+    A round's documents are dealt to shards of about ``SHARD`` tokens by a hash of id and text, and learned from in the order
+    of that hash; shards' weights are averaged by tokens. So the model depends on the documents, not on how they are
+    partitioned, and a shard has enough tokens to be better than counts before it is averaged.
+    """
     spark = docs.sparkSession
     blocks = 8
+    shards = max(1, round(model.total / max(1, rounds) / SHARD))
     for r in range(rounds if model.total else 0):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import copy
 
-            m = copy.copy(shared.value)
-            m.w, m.u = m.w.copy(), m.u.copy()
-            learner, n = Learner(m), 0
-            for b in batches:
-                for t in texts(b.column("text")):
-                    code, off = tokens(t)
-                    learner.learn(code, m.look_up(code)[1], off)
-                    n += len(code)
-            if n:
+            def told(shard: int, m: Model, n: int) -> pa.RecordBatch:
                 flat = np.concatenate([m.w.ravel(), m.u.ravel()])
                 parts = [x.astype(np.float32).tobytes() for x in np.array_split(flat, blocks)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, TaskContext.get().partitionId(), np.int32)), pa.array(np.full(blocks, n)), pa.array(parts, pa.binary())], names=["block", "part", "n", "data"]
-                )
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, shard, np.int32)), pa.array(np.full(blocks, n)), pa.array(parts, pa.binary())], names=["block", "part", "n", "data"])
+
+            own, m, learner, n = None, None, None, 0
+            for shard, t in _slices(batches):
+                if shard != own:
+                    if n:
+                        yield told(own, m, n)
+                    m = copy.copy(shared.value)
+                    m.w, m.u = m.w.copy(), m.u.copy()
+                    own, learner, n = shard, Learner(m), 0
+                code, off = tokens(t)
+                learner.learn(code, m.look_up(code)[1], off)
+                n += len(code)
+            if n:
+                yield told(own, m, n)
 
         def average(table: pa.Table) -> pa.Table:
+            table = table.sort_by("part")  # sums in one order
             n = table.column("n").to_numpy()
             total, x = 0.0, 0
             for data, k in zip(table.column("data"), n, strict=True):
@@ -254,8 +289,10 @@ def train(model: Model, docs: DataFrame, rounds: int = ROUNDS) -> Model:
             return pa.table({"block": table.column("block").slice(0, 1), "part": table.column("part").slice(0, 1), "n": pa.array([int(total)]), "data": pa.array([(x / total).astype(np.float32).tobytes()], pa.binary())})
 
         kind = "block int, part int, n long, data binary"
-        learned = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text").mapInArrow(run, kind)
-        # a tree of averages: a group has MERGE partitions' blocks, the last one a MERGE ** 2-th of all
+        key = F.xxhash64("doc_id", "text")
+        share = docs.where(F.pmod(key, F.lit(rounds)) == r).select("text", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), key.alias("key"))
+        learned = share.repartition(shards, "shard").sortWithinPartitions("shard", "key").drop("key").mapInArrow(run, kind)
+        # a tree of averages: a group has MERGE shards' blocks, the last one a MERGE ** 2-th of all
         for part in (F.floor(F.col("part") / MERGE), F.floor(F.col("part") / MERGE), F.lit(0)):
             learned = learned.withColumn("part", part.cast("int")).groupBy("block", "part").applyInArrow(average, kind)
         rows = sorted((x["block"], bytes(x["data"])) for x in learned.collect())

@@ -288,7 +288,8 @@ def test_lm_score_word_by_word(spark):
 
 
 def test_lm_averages_in_a_tree(spark, monkeypatch):
-    """Partitions' weights meet a few at a time, with the same result."""
+    """Shards' weights meet a few at a time, with the same result."""
+    monkeypatch.setattr(maxent_lm, "SHARD", 20)
     df = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(60)], "doc_id long, text string").repartition(7, "doc_id")
     m = []
     for merge in (2, 64):
@@ -297,6 +298,17 @@ def test_lm_averages_in_a_tree(spark, monkeypatch):
     assert np.allclose(m[0].w, m[1].w, atol=1e-5) and np.allclose(m[0].u, m[1].u, atol=1e-5) and np.abs(m[0].w).max() > 0
 
 
+@pytest.mark.parametrize("shard", [2_000, 2_000_000])
+def test_lm_does_not_depend_on_partitions(spark, sf, monkeypatch, shard):
+    monkeypatch.setattr(maxent_lm, "SHARD", shard)
+    monkeypatch.setattr(maxent_lm, "SLICE", 10_000)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = []
+    for n in (2, 8, 33):
+        scores.append({r.doc_id: r.score for r in maxent_lm.score_documents(df.repartition(n, "n_chars")).collect()})
+    assert all(math.isclose(scores[0][k], s[k], rel_tol=1e-6) for s in scores[1:] for k in s) and len(scores[0]) == df.count()
+
+
 def test_chat(spark, sf):
     table = spark.read.parquet(f"{sf}/conversations.parquet")
     odd = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (-8, None, None, None), (-8, 1, "assistant", "␛.␛<|end|><|<|end|>turn|>"), (-8, 1, "assistant", "a\nb"), (-8, 1, "assistant", "a\nb"), (None, 1, "<|text|>", "x"), (-9, 2, "assistant", ""), (-10, 0, "assistant", LONG[:50_000])]
