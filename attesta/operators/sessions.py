@@ -131,12 +131,6 @@ def reap_expired(events: DataFrame, key: str, ts: str, ttl_s: int) -> DataFrame:
     return out.withColumns({"expires": after(1), "dropped_at": after(2)})
 
 
-def valid_captures(requests: DataFrame, captures: DataFrame, key: str, ts: str, created: str, ttl_s: int) -> DataFrame:
-    """Requests with the captures of their key that are there and not past five times the time to live."""
-    age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(created).cast("timestamp"))
-    return requests.join(captures, key).where((age >= 0) & (age <= 5_000_000 * ttl_s))
-
-
 def with_valid_capture(requests: DataFrame, captures: DataFrame, key: str, ts: str, created: str, ttl_s: int) -> DataFrame:
     """Requests whose key's newest capture not after them is not past five times the time to live, with its time.
 

@@ -119,7 +119,7 @@ def fn14(s, d):
 
 def fn19(s, d):
     li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x1"), F.lit(0.0).alias("y1"), (F.col("l_quantity") + 10).cast("double").alias("x2"), F.lit(20.0).alias("y2"))
-    return measures.jitter_boxes(li, 0.1).groupBy("l_orderkey").agg(F.count("*").alias("boxes"), F.round(F.sum(F.col("jx1") + F.col("jy2")), 3).alias("total"))
+    return measures.jitter_boxes(li, 0.1).groupBy("l_orderkey").agg(F.count("*").alias("boxes"), F.round(F.sum(F.col("jx1") * F.col("jx1") + 2 * F.col("jy1") * F.col("jy1") + 3 * F.col("jx2") * F.col("jy2")), 3).alias("total"))
 
 
 def fn20(s, d):
@@ -255,7 +255,7 @@ QUERIES = {
     "st4_alphabet_gap": lambda s, d: E.alphabet_gap(C.charset(DOCS(s, d).where("lang = 'fr'"), "text"), C.charset(DOCS(s, d).where("lang = 'en'"), "text")),
     "st5_merge_split_aliases": lambda s, d: C.merge_split_aliases(DOCS(s, d).select("doc_id", "lang"), "lang", {"valid": ["val", "fr", "de"], "test": ["en"]}),
     "st6_separate_eval": st6,
-    "fn1_fold_digits": lambda s, d: table(s, d, "customer").select("c_custkey", text.keep_digits(F.concat(F.lit("۱٢-"), F.col("c_name"))).alias("digits")),
+    "fn1_fold_digits": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(text.fold_digits(F.translate("text", "0123456789", "۰١۲٣۴٥۶٧۸٩")), 256).alias("folded")),
     "fn2_fold_letters": lambda s, d: _whole_text(s, d, lambda t: {"folded": text.fold_letters(t)}),
     "fn3_strip_marks": lambda s, d: _whole_text(s, d, lambda t: {"bare": text.strip_marks(text.strip_invisibles(t))}),
     "fn4_normalize_text": lambda s, d: _whole_text(s, d, lambda t: {"clean": text.normalize_text(t)}),
@@ -266,7 +266,7 @@ QUERIES = {
     "fn9_label_of": lambda s, d: _whole_text(s, d, lambda t: {"label": text.label_of(t)}),
     "fn7_normalize_date": fn7,
     "fn14_quality_score": fn14,
-    "fn15_cosine": lambda s, d: jn8(s, d).where("similarity > 0"),
+    "fn15_cosine": lambda s, d: table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", F.round(measures.cosine(F.col("v"), F.reverse("v")), 6).alias("similarity")),
     "fn19_jitter_boxes": fn19,
     "fn20_task_tests": fn20,
     "ext6_suppress_overlaps": ext6,
@@ -329,7 +329,7 @@ SQL = {
         SELECT n.name, CASE WHEN e.word IS NOT NULL THEN e.word WHEN f.value IS NOT NULL THEN f.value WHEN r.d <= greatest(1, length(r.word) // 3) THEN r.word END AS value, CASE WHEN e.word IS NOT NULL OR f.value IS NOT NULL THEN 'exact' WHEN r.d <= greatest(1, length(r.word) // 3) THEN 'nearest' ELSE 'none' END AS method
         FROM names n LEFT JOIN lexicon e ON e.word = n.name LEFT JOIN f ON f.fold = n.fold LEFT JOIN r ON r.name = n.name""",
     "jn8_verify_pairs": f"WITH {_CASES} SELECT case_id, round({_COS}, 6) AS similarity FROM c",
-    "fn15_cosine": f"WITH {_CASES} SELECT * FROM (SELECT case_id, round({_COS}, 6) AS similarity FROM c) WHERE similarity > 0",
+    "fn15_cosine": f"WITH c AS (SELECT vec_id, [CAST(v AS DOUBLE) FOR v IN embedding] AS x, list_reverse([CAST(v AS DOUBLE) FOR v IN embedding]) AS y FROM embeddings) SELECT vec_id, round({_COS}, 6) AS similarity FROM c",
     "jn9_evaluation_pairs": f"""WITH e AS (SELECT vec_id, label, [CAST(v AS DOUBLE) FOR v IN embedding] AS v FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS other, a.label = b.label AS genuine, a.v AS x, b.v AS y
         FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 20 <> 0 OR a.vec_id < b.vec_id)) SELECT id, other, genuine, round({_COS}, 6) AS similarity FROM p""",
     "jn12_truth_join": """WITH n AS (SELECT c_custkey, translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ابپتجیکدرز') AS t FROM customer),
@@ -392,7 +392,7 @@ SQL = {
     "st2_combine_rounds": "SELECT doc_id, lang, NULL AS source FROM documents UNION ALL SELECT doc_id, NULL, source FROM documents WHERE lang = 'de'",
     "st3_unknown_classes": "SELECT DISTINCT l_partkey + 5 AS p_partkey FROM lineitem WHERE l_partkey + 5 NOT IN (SELECT p_partkey FROM part)",
     "st4_alphabet_gap": f"SELECT DISTINCT ch FROM (SELECT {_CLEAN} FROM documents WHERE lang = 'fr') WHERE ch <> '' AND ch NOT IN (SELECT ch FROM (SELECT {_CLEAN} FROM documents WHERE lang = 'en'))",
-    "fn1_fold_digits": "SELECT c_custkey, '12' || regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer",
+    "fn1_fold_digits": "SELECT doc_id, sha256(text) AS folded FROM documents",
     "fn2_fold_letters": f"SELECT doc_id, md5(translate(text, '{text.LETTERS_FROM}', '{text.LETTERS_TO}')) AS folded FROM documents",
     "fn3_strip_marks": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{text.INVISIBLES}', '', 'g'), '{text.MARKS}', '', 'g')) AS bare FROM documents",
     "fn4_normalize_text": f"SELECT doc_id, md5({_NORMAL}) AS clean FROM documents",
@@ -404,6 +404,7 @@ SQL = {
     "fn9_label_of": f"SELECT doc_id, md5({_TRIM(f"replace(coalesce(text, ''), '{text.ZWNJ}', '')")}) AS label FROM documents",
     "fn7_normalize_date": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey % 100 + 1300 AS VARCHAR) || '/' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') WHEN 1 THEN substr(CAST(c_custkey + 13700000 AS VARCHAR), 1, 4) || '/' || substr(CAST(c_custkey + 13700000 AS VARCHAR), 5, 2) || '/' || substr(CAST(c_custkey + 13700000 AS VARCHAR), 7, 2) WHEN 3 THEN '1370/05/12' END AS date FROM customer",
     "fn14_quality_score": f"WITH {FRAMES}, p AS (SELECT event_id, k, least(1, greatest(0, value / 20)) + least(1, greatest(0, k / 100.0::DOUBLE)) + least(1, greatest(0, 1 - abs(k - 50) / 25.0::DOUBLE)) + least(1, greatest(0, 1 - abs(k / 5.0::DOUBLE) / 20)) + least(1, greatest(0, 1 - abs(value - 20) / 20)) AS q FROM frames) SELECT event_id, round(CASE WHEN k % 2 = 0 THEN (q + least(1, greatest(0, k / 300.0::DOUBLE / 0.3))) / 6 ELSE q / 5 END, 6) AS quality FROM p",
-    "fn19_jitter_boxes": "SELECT l_orderkey, count(*) * 9 AS boxes, round(sum(9 * (CAST(l_quantity AS DOUBLE) + 20)), 3) AS total FROM lineitem GROUP BY 1",
+    "fn19_jitter_boxes": """WITH j AS (SELECT l_orderkey, q + x * 1.0 AS x1, y * 2.0 AS y1, q + 10 + x * 1.0 AS x2, 20 + y * 2.0 AS y2 FROM (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS q FROM lineitem), (VALUES (-1), (0), (1)) a(x), (VALUES (-1), (0), (1)) b(y))
+        SELECT l_orderkey, count(*) AS boxes, round(sum(x1 * x1 + 2 * y1 * y1 + 3 * x2 * y2), 3) AS total FROM j GROUP BY 1""",
     "fn20_task_tests": f"WITH {FRAMES} SELECT event_id, abs(k - 50) <= 15 AS frontal, k / 300.0::DOUBLE < 0.6 * 0.2::DOUBLE AS closed, k / 300.0::DOUBLE >= 0.8 * 0.2::DOUBLE AS opened, k - 50 >= 25 AS turned_left, k - 50 <= -25 AS turned_right, abs(k - 50) <= 15 AND value / 100 >= 1.15::DOUBLE * 0.3 AS smiling, k + 100 >= 1.3::DOUBLE * 120 AS closer FROM frames",
 }

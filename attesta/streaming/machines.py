@@ -285,7 +285,7 @@ def run_stream(events: DataFrame, key: str, order: list[str], machine: Machine,
 
     ``ts`` is event time in seconds, above zero, where watermarks begin. Events wait in the session's state until the watermark has passed them; then they are
     played in order, and the deadline goes off when the watermark reaches it. Rows behind the watermark are dropped by the
-    engine (``flows.with_late_rows`` keeps them aside). The state goes ``keep_s`` after the last event or deadline; until then
+    engine. The state goes ``keep_s`` after the last event or deadline; until then
     a closed session answers as closed. Needs the RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor
