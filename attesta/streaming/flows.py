@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -86,17 +86,30 @@ def reap_expired(events: DataFrame, key: str, ts: str, ttl_s: int = 120, waterma
     return out.select(key, F.timestamp_millis("began").alias("began"), F.timestamp_millis(F.col("began") + 2000 * ttl_s).alias("dropped_at"))
 
 
-def retention_tick(purge: Callable[[], int], last_run: Callable[[], float], ran: Callable[[float], None], now: Callable[[], float], every_s: float = 6 * 3600) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: purge at most once in ``every_s``; a failure is logged and never stops the stream."""
+RUNS = "batch long, at double, removed long, failed boolean"
+
+
+def retention_tick(spark: SparkSession, path: str, purge: Callable[[], int], now: Callable[[], float], every_s: float = 6 * 3600) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: purge at most once in ``every_s``; a failure is logged and never stops the stream.
+
+    The table at ``path`` has a row for each run: when, in which batch, how many it removed, and whether it failed. The row is
+    written once the purge is over: a restart, or a batch that is tried again, goes on from the last row, and a purge that
+    was cut off is done again.
+    """
     import logging
 
+    spark.createDataFrame([], RUNS).write.mode("ignore").parquet(path)
+
     def tick(batch: DataFrame, number: int) -> None:
-        if now() - last_run() < every_s:
+        last, at = spark.read.schema(RUNS).parquet(path).agg(F.max("at")).first()[0], now()
+        if last is not None and at - last < every_s:
             return
-        ran(now())
+        removed, failed = None, False
         try:
-            purge()
+            removed = purge()
         except Exception:
+            failed = True
             logging.getLogger(__name__).exception("retention failed in batch %s", number)
+        spark.createDataFrame([(number, float(at), removed, failed)], RUNS).coalesce(1).write.mode("append").parquet(path)
 
     return tick
