@@ -10,15 +10,24 @@ Defined results: a null or empty image, or one with other channels than 1, 3 or
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Side of the tiles, tiles of an image at most (evenly spread), and the band of cycles a pixel that is searched.
-TILE, TILES, BAND = 256, 16, (0.06, 0.48)
+# Side of a tile in pixels, tiles of an image at most, band of cycles a pixel that is searched,
+# floors under power and under fine detail, percentiles of the span, standard deviation of the blur in pixels.
+TILE = 256
+TILES = 16
+BAND = (0.06, 0.48)
+POWER_FLOOR = 1e-6
+DETAIL_FLOOR = 1e-3
+SPAN = (1, 99)
+SIGMA = 1.5
 
 QUALITY = "sharpness double, brightness double, glare double"
 RECAPTURE = "spectral_peak double, chroma_peak double, chroma_hf double, dynamic_range double"
@@ -50,48 +59,74 @@ def image_quality(image: np.ndarray, blown: int = 250) -> tuple[float, float, fl
     return float(laplacian(gray).var()), float(gray.mean()), float((gray >= blown).mean())
 
 
-def _blur(x: np.ndarray, sigma: float = 1.5) -> np.ndarray:
-    reach = int(np.rint(4 * sigma))
-    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weights /= weights.sum()
-    for axis in (0, 1):
-        wide = np.pad(x, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="reflect")
-        x = np.apply_along_axis(np.convolve, axis, wide, weights, "valid")
-    return x
-
-
-_freq = np.fft.fftfreq(TILE)
-_distance = np.hypot(_freq[:, None], _freq[None, :])
-_ring = np.minimum((_distance * TILE).astype(int), TILE // 2)
-_rings = [np.flatnonzero(_ring.ravel() == r) for r in range(TILE // 2 + 1)]
-_band = (_distance >= BAND[0]) & (_distance <= BAND[1])
-_window = np.hanning(TILE)[:, None] * np.hanning(TILE)[None, :]
-
-
-def spectral_peak(channel: np.ndarray) -> float:
-    """The strongest peak over the median of its ring, in log10 of the power that tiles have on average; 0 without a tile."""
-    rows, cols = channel.shape[0] // TILE, channel.shape[1] // TILE
-    if not rows * cols:
-        return 0.0
-    tiles = channel[: rows * TILE, : cols * TILE].astype(float).reshape(rows, TILE, cols, TILE).swapaxes(1, 2).reshape(-1, TILE, TILE)
-    if len(tiles) > TILES:
-        tiles = tiles[np.linspace(0, len(tiles) - 1, TILES).astype(int)]
-    flat = (tiles - tiles.mean(axis=(1, 2), keepdims=True)) * _window
-    power = np.log10((np.abs(np.fft.fft2(flat)) ** 2).mean(axis=0) + 1e-6).ravel()
-    over = power - np.array([np.median(power[r]) if len(r) else 0.0 for r in _rings])[_ring.ravel()]
-    return float(over[_band.ravel()].max())
+def planes_of(image: np.ndarray) -> np.ndarray:
+    """BGR -> 3 x height x width: luma, and how far red and blue lie from it, around 128, in whole levels."""
+    y = luma(image)
+    away = (image[:, :, [2, 0]] - y[:, :, None]) * (0.713, 0.564) + 128
+    return np.stack([y, *np.moveaxis(np.rint(away).clip(0, 255), 2, 0)])
+
+
+def detail(planes: np.ndarray) -> np.ndarray:
+    """For each plane the mean distance of a pixel from its surroundings, which a Gaussian weighs."""
+    reach = round(4 * SIGMA)
+    weight = np.exp(-((np.arange(reach + 1) / SIGMA) ** 2) / 2)
+    weight /= weight[0] + 2 * weight[1:].sum()
+    around = planes
+    for axis in (1, 2):
+        n = planes.shape[axis]
+        mirrored = np.pad(around, [(reach, reach) if k == axis else (0, 0) for k in range(3)], mode="reflect")
+        shifted = lambda by: np.take(mirrored, range(reach + by, reach + by + n), axis)  # noqa: B023, E731
+        around = weight[0] * shifted(0) + sum(w * (shifted(d) + shifted(-d)) for d, w in enumerate(weight[1:], 1))
+    return np.abs(planes - around).mean(axis=(1, 2))
+
+
+@cache
+def _half_plane() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a real tile's transform, which is told by half of its plane: each coefficient's ring, how often it stands
+    in the whole plane, where rings begin among all coefficients in order of rings, and which lie in the band.
+
+    Squared wave numbers are whole, so rings and band are exact.
+    """
+    across, down = np.arange(TILE // 2 + 1), np.fft.fftfreq(TILE, 1 / TILE).astype(int)
+    square = np.add.outer(down**2, across**2).ravel()
+    ring = np.minimum(np.array([isqrt(k) for k in square.tolist()]), TILE // 2)
+    times = np.tile(np.where(across % (TILE // 2), 2, 1), TILE)
+    begin = np.r_[0, np.bincount(ring, times).astype(int).cumsum()]
+    return ring, times, begin, (square >= (BAND[0] * TILE) ** 2) & (square <= (BAND[1] * TILE) ** 2)
+
+
+def spectral_peaks(planes: np.ndarray) -> np.ndarray:
+    """For each plane how far a wave of the band stands out from the median of its ring, at most, in log10 of the
+    power that tiles have on average; 0 without a tile."""
+    if min(planes.shape[1:]) < TILE:
+        return np.zeros(len(planes))
+    tiles = sliding_window_view(planes, (TILE, TILE), (1, 2))[:, ::TILE, ::TILE]
+    down, across = np.divmod(np.arange(tiles.shape[1] * tiles.shape[2]), tiles.shape[2])
+    if len(down) > TILES:
+        spread = np.linspace(0, len(down) - 1, TILES).astype(int)
+        down, across = down[spread], across[spread]
+    ring, times, begin, band = _half_plane()
+    fade = np.hanning(TILE)
+    out = []
+    for plane in tiles:
+        some = plane[down, across]
+        waves = np.fft.rfft2((some - some.mean(axis=(1, 2), keepdims=True)) * fade * fade[:, None])
+        level = np.log10(np.square(np.abs(waves)).mean(axis=0).ravel() + POWER_FLOOR)
+        order = np.lexsort((level, ring))
+        ranked = np.repeat(level[order], times[order])
+        middle = (ranked[(begin[:-1] + begin[1:] - 1) // 2] + ranked[(begin[:-1] + begin[1:]) // 2]) / 2
+        out.append((level - middle[ring])[band].max())
+    return np.array(out)
 
 
 def recapture(image: np.ndarray) -> tuple[float, float, float, float] | None:
-    """Peaks of luma and of colour, fine colour against fine luma (log), and the span of luma between its 1st and 99th percentile."""
+    """Peaks of luma and of colour, fine colour against fine luma (log), and the span of luma without its extremes."""
     if image.shape[2] != 3 or min(image.shape[:2]) < TILE:
         return None
-    b, _, r = (image[:, :, k].astype(float) for k in range(3))
-    y = luma(image)
-    red, blue = (np.clip(np.rint((c - y) * k + 128), 0, 255) for c, k in ((r, 0.713), (b, 0.564)))
-    fine = lambda c: float(np.abs(c - _blur(c)).mean())
-    low, high = np.percentile(y, (1, 99))
-    return spectral_peak(y), max(spectral_peak(red), spectral_peak(blue)), float(np.log((fine(red) + fine(blue) + 1e-3) / (fine(y) + 1e-3))), float(high - low)
+    planes = planes_of(image)
+    peak, fine = spectral_peaks(planes), detail(planes)
+    against = np.log((fine[1:].sum() + DETAIL_FLOOR) / (fine[0] + DETAIL_FLOOR))
+    return float(peak[0]), float(peak[1:].max()), float(against), float(np.diff(np.percentile(planes[0], SPAN))[0])
 
 
 def _measured(images: DataFrame, keep: list[str], measure: Callable, schema: str) -> DataFrame:

@@ -41,8 +41,8 @@ def test_recapture(spark):
     p = np.log10(abs(np.fft.fft2((tile - tile.mean()) * np.outer(np.hanning(256), np.hanning(256)))) ** 2 + 1e-6)
     ring = np.minimum((far * 256).astype(int), 128)
     over = p - np.array([np.median(p[ring == r]) for r in range(129)])[ring]
-    assert images.spectral_peak(tile) == pytest.approx(over[(far >= 0.06) & (far <= 0.48)].max())
-    assert images.spectral_peak(noise[:100, :, 0]) == 0.0
+    assert images.spectral_peaks(tile[None])[0] == pytest.approx(over[(far >= 0.06) & (far <= 0.48)].max())
+    assert images.spectral_peaks(noise[None, :100, :, 0])[0] == 0.0
 
 
 def test_scorer_made_once_a_task(spark):
