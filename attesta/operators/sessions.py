@@ -5,24 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.segments import SEGMENT, before, carried, cut, inside, up_to
+
 
 def _w(key: str, order: list[str]):
     return Window.partitionBy(key).orderBy(*order)
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    return df.drop(*(c for c in df.columns if c.startswith("_seg_")))
+
+
 def ok_streak(frames: DataFrame, key: str, order: list[str], ok: Column, n: int) -> DataFrame:
     """Passing frames in a row, from 0 at each failure, and whether n are there."""
-    w = _w(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    out = frames.withColumn("_ok", ok.cast("int")).withColumn("island", F.sum(1 - F.col("_ok")).over(w))
-    run = Window.partitionBy(key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("streak", F.sum("_ok").over(run)).withColumn("qualified", F.col("streak") >= n).drop("_ok")
+    w = inside(key, order)
+    rows = cut(frames, key, order).withColumn("_seg_ok", ok.cast("int")).withColumn("_seg_bad", F.sum(1 - F.col("_seg_ok")).over(w))
+    run = Window.partitionBy(key, SEGMENT, "_seg_bad").orderBy(*order)
+    rows = rows.withColumn("_seg_run", F.sum("_seg_ok").over(run))
+    # a segment ends in a run; runs of segments up to the same number of failures are one
+    bad = {"_seg_all": F.sum("_seg_all").over(up_to())}
+    at_start = {"_seg_island": F.last("_seg_all").over(before()), "_seg_streak": F.last("_seg_tail").over(before())}
+    facts = {"_seg_all": F.sum(1 - F.col("_seg_ok")), "_seg_tail": F.max_by("_seg_run", F.struct(*order))}
+    rows = carried(rows, key, facts, bad, {"_seg_tail": F.sum("_seg_tail").over(up_to("_seg_all"))}, at_start)
+    more = F.when(F.col("_seg_bad") == 0, F.coalesce("_seg_streak", F.lit(0))).otherwise(0)
+    out = rows.withColumns({"island": F.col("_seg_bad") + F.coalesce("_seg_island", F.lit(0)), "streak": F.col("_seg_run") + more})
+    return _plain(out.withColumn("qualified", F.col("streak") >= n))
 
 
 def running_max(frames: DataFrame, key: str, order: list[str], col: str, after: int = 2) -> DataFrame:
     """The largest value before this frame; null until ``after`` frames have passed."""
-    w = _w(key, order)
-    best = F.max(col).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return frames.withColumn("reference", F.when(F.row_number().over(w) > after, best))
+    w = inside(key, order)
+    facts = {"_seg_max": F.max(col), "_seg_n": F.count("*")}
+    rows = carried(cut(frames, key, order), key, facts, {"_seg_most": F.max("_seg_max").over(before()), "_seg_passed": F.sum("_seg_n").over(before())})
+    here = F.max(col).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.row_number().over(w) + F.coalesce("_seg_passed", F.lit(0))
+    return _plain(rows.withColumn("reference", F.when(number > after, F.greatest(here, "_seg_most"))))
 
 
 def relative_blur(frames: DataFrame, col: str, reference: str, ratio: float) -> DataFrame:
@@ -32,9 +49,18 @@ def relative_blur(frames: DataFrame, col: str, reference: str, ratio: float) ->
 
 def steady_hints(frames: DataFrame, key: str, order: list[str], codes: str, priority: tuple[str, ...], window: int = 3, least: int = 2) -> DataFrame:
     """The code of highest priority that ``least`` of the last ``window`` frames have, also where this one doesn't."""
-    seen = F.flatten(F.collect_list(codes).over(_w(key, order).rowsBetween(1 - window, 0)))
+    w = inside(key, order)
+    last = lambda c: F.slice(c, -F.least(F.lit(window - 1), F.size(c)), F.lit(window - 1)) if window > 1 else F.slice(c, 1, 0)
+    rows = cut(frames, key, order).withColumn("_seg_rest", F.row_number().over(Window.partitionBy(key, SEGMENT).orderBy(*(F.desc(c) for c in order))))
+    tail = F.array_sort(F.collect_list(F.when(F.col("_seg_rest") < window, F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(codes).alias("codes")))))
+    earlier = F.flatten(F.collect_list("_seg_tail").over(before()))
+    rows = carried(rows, key, {"_seg_tail": F.transform(tail, lambda x: F.struct(x["codes"].alias("codes")))}, {"_seg_tails": F.when(F.size(earlier) > 0, last(earlier)).otherwise(earlier)})
+    here = F.collect_list(F.struct(F.col(codes).alias("codes"))).over(w.rowsBetween(1 - window, 0))
+    short = F.slice(F.reverse("_seg_tails"), F.lit(1), F.greatest(F.lit(0), F.lit(window) - F.size(here)))  # what the window lacks in its segment
+    all_of = F.concat(F.coalesce(short, F.slice(here, 1, 0)), here)
+    seen = F.flatten(F.filter(F.transform(all_of, lambda x: x["codes"]), lambda c: c.isNotNull()))
     steady = F.filter(F.array(*map(F.lit, priority)), lambda p: F.size(F.filter(seen, lambda c: c == p)) >= least)
-    return frames.withColumn("hint", F.try_element_at(steady, F.lit(1)))
+    return _plain(rows.withColumn("hint", F.try_element_at(steady, F.lit(1))))
 
 
 def best_in_streak(streaks: DataFrame, key: str, score: str, order: list[str]) -> DataFrame:
@@ -50,19 +76,26 @@ def streak_median(streaks: DataFrame, key: str, col: str, n: int) -> DataFrame:
 
 def every_nth(frames: DataFrame, key: str, order: list[str], n: int, qualifies: Column) -> DataFrame:
     """Qualifying frames whose number among all frames divides by n, and the first qualifying one."""
-    w = _w(key, order)
-    out = frames.withColumn("frame_no", F.row_number().over(w)).withColumn("_q", qualifies)
-    first = F.min(F.when(F.col("_q"), F.col("frame_no"))).over(Window.partitionBy(key))
-    return out.withColumn("_first", first).where(F.col("_q") & ((F.col("frame_no") % n == 0) | (F.col("frame_no") == F.col("_first")))).drop("_q", "_first")
+    w = inside(key, order)
+    rows = cut(frames, key, order).withColumn("_seg_q", F.coalesce(qualifies, F.lit(False)))
+    facts = {"_seg_n": F.count("*"), "_seg_some": F.count_if("_seg_q")}
+    rows = carried(rows, key, facts, {"_seg_passed": F.sum("_seg_n").over(before()), "_seg_had": F.sum("_seg_some").over(before())})
+    had = F.count_if("_seg_q").over(w.rowsBetween(Window.unboundedPreceding, -1)) + F.coalesce("_seg_had", F.lit(0))
+    number = (F.row_number().over(w) + F.coalesce("_seg_passed", F.lit(0))).cast("int")
+    out = rows.withColumns({"frame_no": number, "_seg_first": had == 0})
+    return _plain(out.where(F.col("_seg_q") & ((F.col("frame_no") % n == 0) | F.col("_seg_first"))))
 
 
 def face_lost(frames: DataFrame, key: str, order: list[str], ts: str, one_face: Column, limit_s: float) -> DataFrame:
     """Seconds since the last frame with one face, or since the start, and whether they pass the limit on a frame without."""
-    w = _w(key, order)
-    last = F.last(F.when(one_face, F.col(ts)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.first(ts).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    w = inside(key, order)
+    rows = cut(frames, key, order).withColumn("_seg_face", F.when(one_face, F.col(ts)))
+    facts = {"_seg_lately": F.max_by("_seg_face", F.when(F.col("_seg_face").isNotNull(), F.struct(*order))), "_seg_start": F.min_by(ts, F.struct(*order))}
+    rows = carried(rows, key, facts, {"_seg_last": F.last("_seg_lately", ignorenulls=True).over(before()), "_seg_began": F.first("_seg_start").over(before())})
+    last = F.coalesce(F.last("_seg_face", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_seg_last")
+    start = F.coalesce("_seg_began", F.first(ts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.coalesce(last, start).cast("timestamp"))) / 1e6
-    return frames.withColumn("gap_s", gap).withColumn("lost", ~one_face & (gap > limit_s))
+    return _plain(rows.withColumn("gap_s", gap).withColumn("lost", ~one_face & (gap > limit_s)))
 
 
 def ctc_collapse(frames: DataFrame, key: str, order: list[str], symbol: str, p: str, blank: str) -> DataFrame:
