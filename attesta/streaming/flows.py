@@ -113,3 +113,28 @@ def retention_tick(spark: SparkSession, path: str, purge: Callable[[], int], now
         spark.createDataFrame([(number, float(at), removed, failed)], RUNS).coalesce(1).write.mode("append").parquet(path)
 
     return tick
+
+
+MARKS = "batch long, latest timestamp, late long"
+
+
+def late_aside(spark: SparkSession, marks: str, aside: str, ts: str, delay_s: float, then: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows behind the watermark are counted and kept at ``aside``, the others go to ``then``.
+
+    The watermark is the latest time of the batches before, less ``delay_s``, as the engine has it. The table at ``marks`` has a row
+    for each batch: its latest time and how many of its rows were late. A batch that is tried again sees the same
+    watermark and writes its late rows over. Rows without a time are never late.
+    """
+    spark.createDataFrame([], MARKS).write.mode("ignore").parquet(marks)
+
+    def run(batch: DataFrame, number: int) -> None:
+        seen = spark.read.schema(MARKS).parquet(marks).where(F.col("batch") < number)
+        latest = seen.agg(F.max("latest")).first()[0]
+        behind = F.lit(False) if latest is None else F.coalesce(F.unix_micros(F.col(ts)) < F.unix_micros(F.lit(latest)) - int(delay_s * 1e6), F.lit(False))
+        late = batch.where(behind)
+        late.write.mode("overwrite").parquet(f"{aside}/batch={number}")
+        then(batch.where(~behind), number)
+        row = batch.agg(F.lit(number).cast("long").alias("batch"), F.max(ts).cast("timestamp").alias("latest"), F.count_if(behind).alias("late"))
+        row.coalesce(1).write.mode("append").parquet(marks)
+
+    return run
