@@ -97,9 +97,18 @@ def fired_by(scores: DataFrame, kind: str, feature: str) -> DataFrame:
     return scores.groupBy(kind, feature).agg(F.count("*").alias("n"))
 
 
+#: Units of a probability that ``fuse_classes`` adds up.
+UNITS = 1e9
+
+
 def fuse_classes(probs: DataFrame, key: str, classes: list[str]) -> DataFrame:
-    """Mean class probabilities over models and the largest; the first of equal ones."""
-    out = probs.groupBy(key).agg(*(F.avg(c).alias(c) for c in classes))
+    """Mean class probabilities over models and the largest; the first of equal ones.
+
+    Probabilities count in whole billionths, so that sums are exact and equal means are equal in any order of rows.
+    One that is null, not a number or infinite isn't there.
+    """
+    whole = lambda c: F.round(F.col(c) * UNITS).try_cast("long")
+    out = probs.groupBy(key).agg(*((F.sum(whole(c)).cast("double") / F.nullif(F.count(whole(c)), F.lit(0)) / UNITS).alias(c) for c in classes))
     top = F.greatest(*classes)
     label = None
     for c in classes:
