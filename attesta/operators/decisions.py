@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.selection import few
+
 # Steps in the order they are shown, groups of checks with their codes, words that name an editor.
 STEPS = ("document", "forensics", "selfie", "antispoof", "face_match", "liveness")
 GROUPS = {
@@ -148,11 +150,12 @@ def field_findings(readings: DataFrame, spec: DataFrame, least: float) -> DataFr
     """readings(field, value, confidence, ...) and spec(field, exact_len) -> the same with ``findings``, an array of codes.
 
     Only fields with a value have findings. ``spec`` has a row for each field; fields without one have no length to meet.
+    A short ``spec`` goes to all tasks, so that the readings of a frequent field aren't one task.
     """
     filled = F.coalesce(F.col("value") != "", F.lit(False))
     low = F.when(filled & (F.col("confidence") < least), F.lit("field_low_confidence"))
     size = F.when(filled & (F.length("value") != F.col("exact_len")), F.lit("field_length_mismatch"))
-    both = readings.join(spec.select("field", "exact_len"), "field", "left")
+    both = readings.join(few(spec.select("field", "exact_len"), "field-spec"), "field", "left")
     return both.withColumn("findings", F.array_compact(F.array(low, size))).drop("exact_len").select(*readings.columns, "findings")
 
 

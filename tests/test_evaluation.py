@@ -176,3 +176,11 @@ def test_verdicts_of_odd_cases(spark):
     why = spark.createDataFrame([(1, "document", "old", "warn"), (1, "document", "old", "warn"), (1, "selfie", "x", "error"), (None, "document", "y", "error"), (2, "document", "z", "info")], "case_id int, step string, code string, severity string")
     got = rows(decisions.case_verdict(cases, res, why, ("document",), ("x",)))
     assert got == sorted([(1, "manual_review", "document:old,document:old", 0.0)] * 2 + [(2, "manual_review", "document:document_review,document:document_review", 0.2), (None, "manual_review", "document:step_missing", 0.0)], key=repr)
+
+
+def test_findings_of_a_frequent_field_stay_dealt(spark):
+    r = spark.range(80, numPartitions=8).select(F.lit("name").alias("field"), F.col("id").cast("string").alias("value"), F.lit(0.9).alias("confidence"))
+    spec = spark.createDataFrame([("name", 2)], "field string, exact_len int")
+    got = decisions.field_findings(r, spec, 0.3).withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == 80 and sum(x.findings == ["field_length_mismatch"] for x in got) == 10
+    assert len({x.part for x in got}) == 8
