@@ -17,6 +17,10 @@ INVISIBLES = r"[​‍‎‏‪-‮⁦-⁩﻿]"
 NAME_DROPPED = r"[^ء-غف-يٮ-ۓە‌ ]"
 ZWNJ = "‌"
 FOLD_FROM, FOLD_TO = "ژگپچ", "زکبج"
+# What may change by composition: above the Latin letters all but ranges of
+# characters that are composed, don't combine and are never the second part of another one.
+SETTLED = ((0x400, 0x482), (0x61B, 0x64A), (0x660, 0x66F), (0x671, 0x6D3), (0x6D5, 0x6D5), (0x6F0, 0x6FF), (0x200B, 0x2027), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+UNSETTLED = r"[\x{300}-\x{10FFFF}&&[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in SETTLED) + "]]"
 BASE_FROM, BASE_TO = "گژپچەڕێۆڵڤ", "کزبجهریولف"
 
 
@@ -42,8 +46,11 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition; the JVM has no function for it, so only text above ASCII goes to Python."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfc(c)).otherwise(c)
+    """Canonical composition; the JVM has no function for it, so only text that may change by it goes to Python.
+
+    A Python function sees every row whatever ``when`` says, so it is the text that is taken away from the others.
+    """
+    return F.coalesce(_nfc(F.when(c.rlike(UNSETTLED), c)), c)
 
 
 def _spaces(c: Column) -> Column:
@@ -62,7 +69,7 @@ def keep_digits(c: Column) -> Column:
 
 
 def normalize_name(c: Column, compose: bool = True) -> Column:
-    return _spaces(F.regexp_replace(normalize_text(c, compose), NAME_DROPPED, " "))
+    return _spaces(F.regexp_replace(normalize_text(c, compose), f"{NAME_DROPPED}+", " "))
 
 
 def normalize_date(c: Column) -> Column:
