@@ -15,6 +15,7 @@ LETTERS_FROM, LETTERS_TO = "يىےكڪةۀأإٱھؤ", "یییککههاااهو
 MARKS = r"[ً-ٰٟـۖ-ۭ]"
 INVISIBLES = r"[​‍‎‏‪-‮⁦-⁩﻿]"
 NAME_DROPPED = r"[^ء-غف-يٮ-ۓە‌ ]"
+NO_LETTER = r"[^ء-غف-يٮٯٱ-ۓە]+"  # U+0670 lies among the letters and is a mark
 ZWNJ = "‌"
 FOLD_FROM, FOLD_TO = "ژگپچ", "زکبج"
 # What may change by composition: above the Latin letters all but ranges of
@@ -85,8 +86,8 @@ def normalize_date(c: Column) -> Column:
 
 
 def match_key(c: Column) -> Column:
-    """Letters only."""
-    return F.translate(normalize_name(c), " " + ZWNJ, "")
+    """Letters only: those of ``normalize_name``, without what it does to the spaces between them."""
+    return F.regexp_replace(fold_letters(nfc(F.coalesce(c, F.lit("")))), NO_LETTER, "")
 
 
 def fold_key(c: Column) -> Column:

@@ -22,3 +22,11 @@ def test_only_unsettled_text_goes_to_python(spark):
     assert got == {k: t and unicodedata.normalize("NFC", t) for k, t in enumerate(made)}
     plan = df.select(text.nfc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "_nfc(CASE WHEN" in plan  # what Python is given is null where nothing can change
+
+
+def test_match_key_is_the_letters_of_the_name(spark):
+    every = [chr(c) for c in (*range(0x20, 0x250), *range(0x600, 0x700), *range(0x2000, 0x2070), 0xFEFF, 0xFB50, 0xFE8D, 0x1F600)]
+    made = ["ب" + "".join(every[k : k + 7]) + " پ‌ ج" for k in range(len(every))] + ["", None, "‌ ", "آً ٰب", "هٔ"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(made)], "k int, t string")
+    name = F.translate(text.normalize_name(F.col("t")), " " + text.ZWNJ, "")
+    assert df.select("k", text.match_key(F.col("t")).alias("key"), name.alias("name")).where("NOT key <=> name").collect() == []
