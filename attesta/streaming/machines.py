@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 State = dict
+#: Outputs that a batch task hands on at a time.
+TOLD = 5000
 
 
 def capture_step(s: State, e: dict, required: int = 2, budget: int = 100, ratio: float = 0.7, similar: float = 0.4, ttl: float = 120.0, stream_ratio: float | None = None, still: bool = True) -> tuple[State, dict | None]:
@@ -262,20 +264,25 @@ def run_batch(events: DataFrame, key: str, order: list[str], machine: Machine, o
     names = _columns(out)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = None, []
+        held, rows, made = None, [], []
 
-        def played() -> pd.DataFrame:
-            return _frame([[held if n == key else e.get(n) if n in order else said.get(n) for n in names] for _, e, said in play(None, rows, machine, until)], names)
+        def played() -> list[list]:
+            return [[held if n == key else e.get(n) if n in order else said.get(n) for n in names] for _, e, said in play(None, rows, machine, until)]
 
         for pdf in parts:
             for e in pdf.to_dict("records"):
                 if rows and e[key] != held:
-                    yield played()
+                    made += played()
                     rows = []
+                    if len(made) >= TOLD:  # a frame for each session would cost more than to play it
+                        yield _frame(made, names)
+                        made = []
                 held = e[key]
                 rows.append(e)
         if rows:
-            yield played()
+            made += played()
+        if made:
+            yield _frame(made, names)
 
     return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
 
