@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import textnum
-from attesta.llm.shared import BLOB, n_buckets, pack, unpack, write_table
+from attesta.llm.shared import BLOB, BLOB_ARROW, n_buckets, pack, unpack
 from attesta.llm.textnum import Texts, mix, powers, same, texts
 
 LENGTH, K = 100, 32
@@ -90,6 +90,24 @@ SEEN = np.dtype([("part", "<u4"), ("row", "<i8"), ("pos", "<i4")])
 _HASHED = np.dtype([("hash", "<u8"), ("row", "<i8"), ("pos", "<i4")])
 
 
+def squeezed(records: np.ndarray, bucket: np.ndarray, kind: int) -> pa.RecordBatch:
+    """``pack``, each blob as its length and Zstandard: contexts of neighbours say the same bytes, which short blocks of the shuffle's own codec don't see."""
+    zstd = pa.Codec("zstd", compression_level=3)
+    b = pack(records, bucket, kind)
+    data = [len(x).to_bytes(8, "little") + zstd.compress(x, asbytes=True) for x in b.column(2).to_pylist()]
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], schema=BLOB_ARROW)
+
+
+def unsqueezed(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    """All records of a column of ``squeezed`` blobs."""
+    zstd = pa.Codec("zstd")
+    parts = []
+    for x in column:
+        raw = memoryview(x.as_buffer())
+        parts.append(np.frombuffer(zstd.decompress(raw[8:], int.from_bytes(raw[:8], "little")), dtype))
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
 def _places(row: np.ndarray, pos: np.ndarray) -> pa.Table:
     """A row for each document with its places."""
     order = np.argsort(row, kind="stable")
@@ -267,9 +285,9 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
             s = np.zeros(len(copies), SPAN)
             s["row"], s["start"], s["end"] = copies["row"], copies["pos"] - copies["a"], copies["pos"] + copies["b"]
             own = by[~again]
-            yield pack(r[own], (h[own] % np.uint64(buckets)).astype(np.int32), 0)
+            yield squeezed(r[own], (h[own] % np.uint64(buckets)).astype(np.int32), 0)
             s = _spans(s)
-            yield pack(s, (s["row"] % buckets).astype(np.int32), 1)
+            yield squeezed(s, (s["row"] % buckets).astype(np.int32), 1)
 
         for b in batches:
             ids, keys = b.column("doc_id").to_numpy(), b.column("row").to_numpy()
@@ -290,27 +308,41 @@ def _context_blobs(rows: DataFrame, length: int, k: int, buckets: int) -> DataFr
     return rows.mapInArrow(run, BLOB)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
-    """Rows of ``_whole`` -> row, spans: lists of byte spans to remove; they may overlap."""
+#: Columns that tell a row from others and that hold what repeats of it.
+ROW, SPANS = "attesta suffix row", "attesta suffix spans"
+
+
+def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
+    """The rows of ``docs``, all columns, with ``SPANS``: lists of byte spans to remove, which may overlap; null: none.
+
+    Rows meet their anchors' places, and later their spans, by one and the same exchange of all columns: texts
+    are dealt out once. So nothing is cut off in between, and only this exchange waits for the end.
+    """
     buckets = n_buckets(docs.sparkSession)
-    placed = _anchor_blobs(docs, length, k, buckets).groupBy("bucket").applyInArrow(_repeated, _PLACES)
-    placed = placed.groupBy("row").agg(F.collect_list("places").alias("places"))
-    rows = docs.join(placed, "row").select("doc_id", "row", "text", "places")
+    keyed = docs.withColumn(ROW, _row())
+    row = F.col(f"`{ROW}`")
+    # null ids become the smallest
+    whole = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = _anchor_blobs(keyed.select(*whole), length, k, buckets).groupBy("bucket").applyInArrow(_repeated, _PLACES)
+    placed = placed.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("places").alias("attesta suffix places"))
+    others = [F.col(f"`{c}`").alias(f"other {i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]  # else they would be left out of this exchange, and it made twice
+    rows = keyed.join(placed, ROW).select(*whole, F.col("`attesta suffix places`").alias("places"), *others)
 
     def work(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        c = unpack(table.filter(pa.array(kind == 0)).column("data"), context_dtype(length, k))
+        c = unsqueezed(table.filter(pa.array(kind == 0)).column("data"), context_dtype(length, k))
         c = c[np.lexsort((c["pos"], c["row"], c["doc"]))]
         family = Family(length, k)
         found = [family.add(c[x : x + batch]) for x in range(0, len(c), batch)]
-        found.append(unpack(table.filter(pa.array(kind == 1)).column("data"), SPAN))
+        found.append(unsqueezed(table.filter(pa.array(kind == 1)).column("data"), SPAN))
         s = _spans(np.concatenate(found))
         at = np.flatnonzero(same(s["row"]))
         pairs = pa.StructArray.from_arrays([pa.array(s["start"]), pa.array(s["end"])], ["start", "end"])
         return pa.table({"row": pa.array(s["row"][at]), "spans": pa.ListArray.from_arrays(pa.array(np.r_[at, len(s)].astype(np.int32)), pairs)})
 
     spans = _context_blobs(rows, length, k, buckets).groupBy("bucket").applyInArrow(work, "row long, spans array<struct<start:int,end:int>>")
-    return write_table(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+    spans = spans.groupBy(F.col("row").alias(ROW)).agg(F.flatten(F.collect_list("spans")).alias(SPANS))
+    return keyed.join(spans, ROW, "left").drop(ROW)
 
 
 def _row() -> F.Column:
@@ -318,18 +350,13 @@ def _row() -> F.Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """doc_id (null ids become the smallest), row, text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), _row().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-
-
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, keep: bool = False) -> DataFrame:
     """Rows of (doc_id, text) -> a row each: bytes, removed bytes, removed runs, digest of the rest, and the rest where ``keep``."""
-    rows = _whole(docs)
-    found = rows.join(repeated_spans(rows, length, k, batch), "row", "left").select("doc_id", "text", "spans")
+    found = with_spans(docs.select("doc_id", "text"), length, k, batch)
+    found = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(f"`{SPANS}`").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -353,14 +380,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
                 cols = [pa.array(x, y) for x, y in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(t.first, len(t)), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = found.mapInArrow(run, REMOVED)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
+    return found.mapInArrow(run, REMOVED)
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated strings cut out of ``text`` (broken characters at the cuts go too); n_chars follows where there is one."""
-    spans = repeated_spans(_whole(docs), length, k).toDF("attesta suffix row", "attesta suffix spans")
-    rows = docs.join(spans, _row() == F.col("`attesta suffix row`"), "left").drop("attesta suffix row")
+    rows = with_spans(docs, length, k)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import collections
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -68,6 +69,28 @@ def test_suffix_dedup_keeps_rows_apart(spark, docs):
     assert counted((r.doc_id, r.text) for r in cut.collect()) == counted((d, None if t is None else cover[d, t]) for d, t in rows)
 
 
+def test_suffix_dedup_deals_texts_out_once(spark):
+    """One exchange of texts serves both joins: with anchors' places, and with spans."""
+    docs = spark.createDataFrame(made(), DOCS)
+    for out in (suffix_dedup.remove_repeats(docs), suffix_dedup.strip_repeats(docs)):
+        out.collect()
+        assert out._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+
+
+def test_suffix_dedup_squeezes_contexts():
+    rng = np.random.default_rng(3)
+    words = [f"{w:x}" for w in rng.integers(1 << 20, size=2000)]
+    data = np.frombuffer(" ".join(words[i] for i in rng.integers(2000, size=20_000)).encode(), np.uint8)
+    pos = np.arange(100, len(data) - 100, 35)
+    zero = np.zeros(1, np.int64)
+    c, _ = suffix_dedup.contexts(data, np.array([0, len(data)]), np.zeros(len(pos), np.int64), pos, zero, zero, 100, 32)
+    blobs = suffix_dedup.squeezed(c, (np.arange(len(c)) % 4).astype(np.int32), 0)
+    back = np.concatenate([suffix_dedup.unsqueezed(pa.chunked_array([blobs.column("data").slice(i, 1)]), c.dtype) for i in range(4)])
+    assert (np.sort(back, order="pos") == c).all()
+    assert sum(len(x) for x in blobs.column("data").to_pylist()) < 0.5 * c.nbytes
+    assert not len(suffix_dedup.unsqueezed(pa.chunked_array([], pa.binary()), c.dtype))
+
+
 def test_anchors_of_a_long_text_in_pieces():
     from attesta.llm.textnum import Texts
 
