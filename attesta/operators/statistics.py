@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.selection import below, counted, few, quantile
 from attesta.sources.scratch import written
 
+#: Slots that photos are dealt to by hash.
+SLOTS = 1024
+
+
+def cells_of(rows: DataFrame, features: Sequence[str], value: str = "value") -> DataFrame:
+    """rows(photo, region, a column for each feature) -> photo, region, feature, value: a row for each feature."""
+    one = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias(value)) for f in features))).alias("c")
+    return rows.select("photo", "region", one).select("photo", "region", "c.feature", f"c.`{value}`")
+
+
+def _with_photos(cells: DataFrame, least: int) -> DataFrame:
+    """Regions with so many photos: so many taken slots are as many photos at least, and regions with fewer have their photos counted."""
+    slot = F.pmod(F.xxhash64("photo"), F.lit(max(SLOTS, 16 * least)))
+    taken = few(cells.groupBy("region").agg(F.countDistinct(F.when(F.col("photo").isNotNull(), slot)).alias("slots")), "region-slots")
+    sure, unsure = taken.where(F.col("slots") >= least).select("region"), taken.where(F.col("slots") < least).select("region")
+    if not unsure.head(1):
+        return sure
+    photos = cells.join(unsure, "region", "left_semi").groupBy("region").agg(F.countDistinct("photo").alias("photos"))
+    return sure.union(photos.where(F.col("photos") >= least).select("region"))
+
+
 def fit_reference(cells: DataFrame, min_photos: int = 20) -> DataFrame:
     """cells(photo, region, feature, value) -> region, feature, median, scale (1.4826 x MAD, 0.001 at least), n.
 
     Regions with fewer photos are left out.
     """
     at = ["region", "feature"]
-    enough = cells.groupBy("region").agg(F.countDistinct("photo").alias("photos")).where(F.col("photos") >= min_photos)
-    counts = written(counted(cells, at, "value").join(enough.select("region"), "region", "left_semi"), "cell-counts")
+    counts = written(counted(cells, at, "value").join(_with_photos(cells, min_photos), "region", "left_semi"), "cell-counts")
     mid = few(quantile(counts, at, "value", 0.5, "median", "n"), "cell-medians")
     away = counts.join(mid, at).withColumn("off", F.abs(F.col("value") - F.col("median")))
     off = quantile(counted(away, at, "off", F.col("_n")), at, "off", 0.5, "mad")
@@ -27,25 +49,43 @@ def with_reference(cells: DataFrame, reference: DataFrame) -> DataFrame:
     return cells.join(few(reference, "references"), ["region", "feature"])
 
 
-def deviations(cells: DataFrame, reference: DataFrame) -> DataFrame:
-    """The largest deviation of each photo's cells by region and feature."""
-    d = F.abs(F.col("value") - F.col("median")) / F.col("scale")
-    return with_reference(cells, reference).groupBy("photo", "region", "feature").agg(F.max(d).alias("deviation"))
+def _by_region(table: DataFrame, features: Sequence[str], values: Sequence[str], name: str) -> DataFrame:
+    """table(region, feature, values) -> a row for each region, with the value v of the i-th feature in column _v_i."""
+    at = lambda f, v: F.max(F.when(F.col("feature") == f, F.col(v)))
+    return few(table.groupBy("region").agg(*(at(f, v).alias(f"_{v}_{i}") for i, f in enumerate(features) for v in values)), name)
 
 
-def fit_limits(dev: DataFrame, fpr: float) -> DataFrame:
-    """The genuine deviation at 1 - fpr / features, rounded; zero limits are left out. Reads ``dev`` twice."""
-    n = dev.agg(F.countDistinct("feature")).first()[0]
+def deviations(rows: DataFrame, features: Sequence[str], reference: DataFrame) -> DataFrame:
+    """rows(photo, region, a column for each feature) -> photo, region, and in the features' columns their largest deviations.
+
+    A deviation is null where the feature has no value or the region no reference of it; regions without any are left out.
+    """
+    ref = _by_region(reference, features, ["median", "scale"], "references")
+    d = lambda i, f: F.abs(F.col(f"`{f}`") - F.col(f"_median_{i}")) / F.col(f"_scale_{i}")
+    return rows.join(ref, "region").groupBy("photo", "region").agg(*(F.max(d(i, f)).alias(f) for i, f in enumerate(features)))
+
+
+def fit_limits(dev: DataFrame, features: Sequence[str], fpr: float) -> DataFrame:
+    """``deviations`` -> region, feature, limit: the genuine deviation at 1 - fpr / features, rounded; zero limits are left out. Features without any deviation don't count."""
     at = ["region", "feature"]
-    out = quantile(counted(dev, at, "deviation"), at, "deviation", 1 - fpr / max(1, n), "limit")
+    counts = counted(cells_of(dev, features, "deviation"), at, "deviation")
+    n = counts.agg(F.countDistinct("feature")).first()[0]
+    out = quantile(counts, at, "deviation", 1 - fpr / max(1, n), "limit")
     return out.withColumn("limit", F.round("limit", 3)).where(F.col("limit") > 0)
 
 
-def region_score(dev: DataFrame, limits: DataFrame) -> DataFrame:
-    """Of each photo and region the largest deviation over its limit, and the feature, the first of equal ones; 1 or more warns."""
-    share = dev.join(few(limits, "limits"), ["region", "feature"]).withColumn("score", F.col("deviation") / F.col("limit"))
-    top = F.min(F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("minus"), "feature", "score")).alias("t")
-    return share.groupBy("photo", "region").agg(top).select("photo", "region", "t.feature", "t.score", (F.col("t.score") >= 1).alias("warns"))
+def region_score(dev: DataFrame, features: Sequence[str], limits: DataFrame) -> DataFrame:
+    """Of each row of ``deviations`` the largest share of its limit, and the feature, the first of equal ones; 1 or more warns.
+
+    Features without a limit aren't scored; regions without any are left out. Rows stay where they are.
+    """
+    share = dev.join(_by_region(limits.where(F.col("limit").isNotNull()), features, ["limit"], "limits"), "region")
+    scores = []
+    for i, f in enumerate(features):
+        score = F.col(f"`{f}`") / F.col(f"_limit_{i}")
+        scores.append(F.when(F.col(f"_limit_{i}").isNotNull(), F.struct(score.isNull().alias("none"), (-score).alias("minus"), F.lit(f).alias("feature"), score.alias("score"))))
+    top = share.select("photo", "region", F.array_min(F.array(*scores)).alias("t"))
+    return top.select("photo", "region", "t.feature", "t.score", (F.col("t.score") >= 1).alias("warns"))
 
 
 def describe_by(df: DataFrame, label: str, col: str) -> DataFrame:
