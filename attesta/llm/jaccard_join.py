@@ -5,7 +5,10 @@ intersection has at least ``percent`` in a hundred of the union.
 
 1. Equal sets are one class from here on (a set's digest has 64 bits).
 2. Shingles are ordered by hash, with frequent ones last, and each set posts its
-   prefix: two sets that link share a shingle there. Postings of a shingle are a
+   prefix: two sets that link share a shingle there. Most shingles are in no other
+   prefix. So prefixes are first dealt out as four bytes a shingle, and a bitmap
+   of bounded size tells all tasks which shingles came twice: only these are
+   posted. (One that just shares a bit is a list of one.) Postings of a shingle are a
    list; the lists of a bucket are worked on together. Shingles that very many
    documents have are no lists in one task: their postings go on as they are, to
    the smallest digest among them, which a grouped minimum finds.
@@ -20,7 +23,8 @@ intersection has at least ``percent`` in a hundred of the union.
 5. A long list is dealt to cells of about ``chunk`` sets, each with the hub. What
    is not in the hub's component there is then held against the other cells, again
    in chunks; what the hub has linked needs no look at each other. So no task has
-   more than a cell, however many sets a list has.
+   more than a cell, however many sets a list has. Only texts of sets in a list
+   are dealt out, each in Zstandard from the first exchange on.
 6. Components of all groups are merged.
 
 Defined results: a null or empty text has an empty set, no link, and its own id
@@ -36,11 +40,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.components import components
-from attesta.llm.shared import BLOB, Packer, drop_table, join_classes, n_buckets, unpack, write_table
+from attesta.llm.shared import BLOB, Packer, drop_table, join_classes, may_be_in, n_buckets, pack, unpack, write_table
 from attesta.llm.textnum import LOWER, SPACE, Texts, mix, same, texts, windows, words
 
 #: Frequent shingles that are put last, at most; any choice gives the same result.
@@ -54,6 +60,8 @@ HOT = 5_000
 BLOCK, FEW = 64, 10
 #: Sets in a cell of a long list, about.
 CHUNK = 256
+#: Bits that tell which shingles are in two prefixes: 2 ** BITS at most. Shingles a task holds before it deals them out.
+BITS, GATHERED = 27, 1_000_000
 
 
 def shingles(t: Texts, k: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -127,37 +135,104 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, row long, doc_id long, key long, n long")
 
 
-def _post(docs: DataFrame, k: int, percent: int, last, hot, buckets: int) -> DataFrame:
-    """kind 0: postings by shingle; kind 1: those of the ``hot`` shingles, by set."""
+class Prefixes:
+    """The prefixes of the sets that a task hasn't had before."""
+
+    def __init__(self, percent: int):
+        self.percent, self.seen = percent, set()
+
+    def __call__(self, value: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Digests and sizes of all sets; of each shingle in a prefix the set, the place in it, and the place in ``value``."""
+        n, key = np.diff(off), digests(value, off)
+        fresh = np.zeros(len(n), bool)
+        for d, x in enumerate(key.tolist()):
+            if x not in self.seen and n[d]:
+                self.seen.add(x)
+                fresh[d] = True
+        p = np.where(fresh, n - (self.percent * n + 99) // 100 + 1, 0)
+        doc = np.repeat(np.arange(len(n)), p)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(p) - p, p)
+        return key, n, doc, pos, off[:-1][doc] + pos
+
+
+def _among(token: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of ``token`` are in the sorted ``held``."""
+    if not len(held):
+        return np.zeros(len(token), bool)
+    where = np.searchsorted(held, token)
+    where[where == len(held)] = 0
+    return held[where] == token
+
+
+def _short(token: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle as its bucket and four bytes more. Two that agree in these are taken for one shingle, which only lets more through."""
+    return (token % np.uint64(buckets)).astype(np.int32), (token // np.uint64(buckets)).astype(np.uint32)
+
+
+def _bit(rest: np.ndarray, width: int) -> np.ndarray:
+    """The bit of a shingle among its bucket's."""
+    return (mix(rest.astype(np.uint64)) % np.uint64(width)).astype(np.int64)
+
+
+def _shared(docs: DataFrame, k: int, percent: int, last: Broadcast, hot: Broadcast, buckets: int, postings: int) -> np.ndarray:
+    """``buckets`` rows of bits, set for every shingle that two prefixes have or more; ``hot`` ones are left out."""
+    width = 8 * max(1, min(1 << BITS, postings) // (8 * buckets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes, held = Prefixes(percent), []
+
+        def flush() -> pa.RecordBatch:
+            v = np.sort(np.concatenate(held))
+            held.clear()
+            keep = np.ones(len(v), bool)
+            keep[2:] = v[2:] != v[:-2]  # twice tells as much as more
+            bucket, rest = _short(v[keep], buckets)
+            return pack(rest, bucket)
+
+        for b in batches:
+            for t in texts(b.column("text")):
+                value, off = shingles(t, k, last.value)
+                token = value[prefixes(value, off)[-1]]
+                held.append(token[~_among(token, hot.value)])
+                if sum(map(len, held)) >= GATHERED:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def twice(t: pa.Table) -> pa.Table:
+        rest = np.sort(unpack(t.column("data"), np.dtype("<u4")))
+        bits = np.zeros(width, bool)
+        bits[_bit(rest[1:][rest[1:] == rest[:-1]], width)] = True
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((buckets, width // 8), np.uint8)
+    for r in docs.select("text").mapInArrow(run, BLOB).groupBy("bucket").applyInArrow(twice, "bucket int, bits binary").collect():
+        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _post(docs: DataFrame, k: int, percent: int, last: Broadcast, hot: Broadcast, shared: Broadcast, buckets: int) -> DataFrame:
+    """kind 0: postings by shingle, of those that ``shared`` has; kind 1: those of the ``hot`` shingles, by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, wide = Packer(POSTING, buckets, "token"), Packer(HELD, buckets, "key", kind=1)
-        seen: set[int] = set()
+        prefixes, bits = Prefixes(percent), shared.value
         for b in batches:
             for t in texts(b.column("text")):
                 value, off = shingles(t, k, last.value)
-                n = np.diff(off)
-                key = digests(value, off)
-                fresh = np.zeros(len(n), bool)
-                for d, x in enumerate(key.tolist()):
-                    if x not in seen and n[d]:
-                        seen.add(x)
-                        fresh[d] = True
-                p = np.where(fresh, n - (percent * n + 99) // 100 + 1, 0)
-                doc = np.repeat(np.arange(len(n)), p)
-                pos = np.arange(len(doc)) - np.repeat(np.cumsum(p) - p, p)
-                at = off[:-1][doc] + pos
+                key, n, doc, pos, at = prefixes(value, off)
+                often = _among(value[at], hot.value)
+                held = np.zeros(int(often.sum()), HELD)
+                held["token"], held["key"] = value[at][often], key[doc[often]]
+                if len(held):
+                    yield from wide.add(held)
+                bucket, rest = _short(value[at], buckets)
+                bit = _bit(rest, 8 * bits.shape[1])
+                here = ~often & (bits[bucket, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                doc, pos, at = doc[here], pos[here], at[here]
                 r = np.zeros(len(doc), POSTING)
                 r["token"], r["key"], r["n"], r["pos"] = value[at], key[doc], n[doc], pos
                 r["prev"] = np.where(pos > 0, value[np.maximum(at - 1, 0)], np.uint64(0))
-                if len(hot.value):
-                    where = np.searchsorted(hot.value, r["token"])
-                    where[where == len(hot.value)] = 0
-                    often = hot.value[where] == r["token"]
-                    held = np.zeros(int(often.sum()), HELD)
-                    held["token"], held["key"] = r["token"][often], r["key"][often]
-                    yield from wide.add(held)
-                    r = r[~often]
                 yield from packer.add(r)
         yield from packer.flush()
         yield from wide.flush()
@@ -324,14 +399,37 @@ def _deal_apart(dealt: DataFrame, apart: DataFrame, chunk: int) -> DataFrame:
     return held.union(cells.where("out").select("hub", "key", others.alias("cell"), part.alias("part"), "parts", F.lit(3).alias("side")))
 
 
-FOUND = "kind int, a long, b long, tokens binary"
+FOUND = "kind int, a long, b long, text binary"
 CELL = ["hub", "cell", "part"]
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    kind, a, b, tokens = zip(*found, strict=True)
+    kind, a, b, text = zip(*found, strict=True)
     ids = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *ids, pa.array(tokens, pa.binary())], names=["kind", "a", "b", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *ids, pa.array(text, pa.binary())], names=["kind", "a", "b", "text"])
+
+
+def _zipped(docs: DataFrame) -> DataFrame:
+    """Rows of (row, text), each text in Zstandard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for t in texts(b.column("text")):
+                data = pa.array([press.compress(t.bytes(i)) for i in range(len(t))], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(t.first, len(t)), data], names=["row", "text"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, text binary")
+
+
+def _unzipped(column: pa.Array, limit: int = 1 << 19) -> Iterator[Texts]:
+    """As ``texts``, of a column of ``_zipped``."""
+    press, held, first = zstandard.ZstdDecompressor(), [], 0
+    for i, x in enumerate(column, 1):
+        held.append(press.decompress(x.as_buffer()))
+        if i == len(column) or sum(map(len, held)) >= limit:
+            yield Texts(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]), first)
+            held, first = [], i
 
 
 def _deal_out(members: DataFrame) -> DataFrame:
@@ -339,7 +437,7 @@ def _deal_out(members: DataFrame) -> DataFrame:
 
 
 def _resolve(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows of ``_deal`` with the text -> kind 0: links that span the components of each cell. Of lists of several
+    """Rows of ``_deal`` with the text of ``_zipped`` -> kind 0: links that span the components of each cell. Of lists of several
     cells also kind 1: sets that are not in their hub's component, and kind 2: every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +449,8 @@ def _resolve(members: DataFrame, k: int, percent: int) -> DataFrame:
         for b in batches:
             hub_of, key_of = (b.column(c).to_numpy().view(np.uint64) for c in ("hub", "key"))
             cell_of, parts_of = (b.column(c).to_numpy() for c in ("cell", "parts"))
-            done = []
-            for t in texts(b.column("text")):
+            text, done = b.column("text"), []
+            for t in _unzipped(text):
                 value, off = shingles(t, k)
                 true = digests(value, off)
                 for d in np.flatnonzero(true == key_of[t.first : t.first + len(t)]):  # else another row of the same id
@@ -367,7 +465,7 @@ def _resolve(members: DataFrame, k: int, percent: int) -> DataFrame:
                     else:
                         group.add(key, tokens)
                     if parts > 1 and (key != this[0] or this[1] == 0):
-                        done.append((2, this[0], key, tokens.tobytes()))
+                        done.append((2, this[0], key, text[i].as_py()))
             if done:
                 yield _rows(done)
         if done := found():
@@ -376,23 +474,25 @@ def _resolve(members: DataFrame, k: int, percent: int) -> DataFrame:
     return _deal_out(members).mapInArrow(run, FOUND)
 
 
-def _resolve_apart(members: DataFrame, percent: int) -> DataFrame:
-    """Rows of ``_deal_apart`` with the sets -> more links, as kind 0."""
+def _resolve_apart(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows of ``_deal_apart`` with the texts -> more links, as kind 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, cell = None, None
         for b in batches:
-            columns = (b.column(c).to_pylist() for c in (*CELL, "side", "key", "tokens"))
+            rows = list(zip(*(b.column(c).to_pylist() for c in (*CELL, "side", "key")), strict=True))
             done = []
-            for hub, part, cell_no, side, key, tokens in zip(*columns, strict=True):
-                value, key = np.frombuffer(tokens, np.uint64), key % (1 << 64)
-                if (hub, part, cell_no) != cell:
-                    done += group.links() if group else []
-                    cell, group = (hub, part, cell_no), Group(key, value, percent)
-                elif side < 3:
-                    group.place(key, value, side == 2)
-                else:
-                    group.add(key, value)
+            for t in _unzipped(b.column("text")):
+                value, off = shingles(t, k)
+                for d, (hub, cell_no, part, side, key) in enumerate(rows[t.first : t.first + len(t)]):
+                    tokens, key = value[off[d] : off[d + 1]], key % (1 << 64)
+                    if (hub, cell_no, part) != cell:
+                        done += group.links() if group else []
+                        cell, group = (hub, cell_no, part), Group(key, tokens.copy(), percent)
+                    elif side < 3:
+                        group.place(key, tokens, side == 2)
+                    else:
+                        group.add(key, tokens)
             if done:
                 yield _rows(done)
         if group and (done := group.links()):
@@ -417,10 +517,12 @@ def _components(docs: DataFrame, k: int, percent: int, chunk: int) -> tuple[Data
     common = often.select("key", "n").toPandas()
     codes = common["key"].to_numpy(np.int64).view(np.uint64)
     last = spark.sparkContext.broadcast(np.sort(codes))
-    many = max(HOT, profile.where("kind = 0").count() // 1000)
+    size = profile.where("kind = 0").agg(F.count("*").alias("rows"), F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1")).alias("postings")).first()
+    many = max(HOT, size["rows"] // 1000)
     hot = spark.sparkContext.broadcast(np.sort(codes[common["n"].to_numpy() >= many] | _TOP))  # as they stand in a set
     sets = profile.where("kind = 0").select("row", "doc_id", "key", "n")
     buckets = n_buckets(spark)
+    shared = spark.sparkContext.broadcast(_shared(docs, k, percent, last, hot, buckets, size["postings"] or 0))
 
     def work(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -431,7 +533,7 @@ def _components(docs: DataFrame, k: int, percent: int, chunk: int) -> tuple[Data
         parts = ((pa.array(got[:, 0]), none(len(token))), (pa.array(got[:, 1]), pa.array(key)), (none(len(got)), pa.array(token)))
         return pa.table({n: pa.chunked_array(x) for n, x in zip(("hub", "key", "token"), parts, strict=True)})
 
-    posted = _post(docs, k, percent, last, hot, buckets).groupBy("bucket").applyInArrow(work, "hub long, key long, token long")
+    posted = _post(docs, k, percent, last, hot, shared, buckets).groupBy("bucket").applyInArrow(work, "hub long, key long, token long")
     members = write_table(posted.distinct(), "jaccard-members")
     if len(hot.value):
         wide = members.where("token IS NOT NULL")
@@ -441,16 +543,16 @@ def _components(docs: DataFrame, k: int, percent: int, chunk: int) -> tuple[Data
         drop_table(members)
         members = both
     classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.count("*").alias("n"))
-    dealt = write_table(_deal(members.select("hub", "key"), chunk), "jaccard-cells")
+    dealt = write_table(_deal(members.select("hub", "key"), chunk).join(classes.select("key", "row"), "key"), "jaccard-cells")
     drop_table(members)
-    texts_of = docs.select("row", "text").join(dealt.join(classes.select("key", "row"), "key"), "row")
-    found = write_table(_resolve(texts_of.select(*dealt.columns, "text"), k, percent), "jaccard-links")
+    held = _zipped(may_be_in(docs.select("row", "text"), "row", dealt.select("row").distinct()))
+    found = write_table(_resolve(dealt.join(held, "row"), k, percent), "jaccard-links")
     links = found.where("kind = 0").select("a", "b")
     apart = found.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("key"))
     if apart.head(1):
-        again = _deal_apart(dealt, apart, chunk)
-        sets_of = found.where("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("key"), "tokens")
-        more = _resolve_apart(again.join(sets_of, ["hub", "key"]), percent)
+        again = _deal_apart(dealt.drop("row"), apart, chunk)
+        texts_of = found.where("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("key"), "text")
+        more = _resolve_apart(again.join(texts_of, ["hub", "key"]), k, percent)
         links = links.union(write_table(more.select("a", "b"), "jaccard-links"))
     drop_table(dealt)
     roots = components(links)

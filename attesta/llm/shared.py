@@ -120,3 +120,27 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> D
     own = F.concat(F.lit("#"), F.xxhash64(*rows.columns).cast("string"))
     out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(own)).join(cold, "_key", "left")
     return out.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))
+
+
+#: Bits of the bitmap of ``may_be_in``: 2 ** ROW_BITS at most.
+ROW_BITS = 27
+
+
+def may_be_in(df: DataFrame, column: str, among: DataFrame, mark: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose long in ``column`` may be in ``among``, a table of that column alone; with ``mark`` all rows, and whether they may.
+
+    A bitmap of 16 bits for each value, up to ``ROW_BITS``, is broadcast: no value is missed, a few others come through.
+    """
+    from pyspark.sql import functions as F
+
+    size = 1 << min(ROW_BITS, max(15, (16 * among.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(size)) + 1
+    bits, part, found = "attesta bits", "attesta part", mark or "attesta mark"
+    # dealt out before they are summed up: else every task sends bitmaps of its own
+    rows = among.select(F.bitmap_bucket_number(bit).alias(part), F.bitmap_bit_position(bit).alias("at")).repartition(part)
+    table = rows.groupBy(part).agg(F.bitmap_construct_agg("at").alias(bits))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.col(f"`{bits}`").substr((F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    out = df.withColumn(part, F.bitmap_bucket_number(bit)).join(F.broadcast(table), part, "left").withColumn(found, is_set).drop(part, bits)
+    return out if mark else out.where(F.col(f"`{found}`")).drop(found)

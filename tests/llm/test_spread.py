@@ -2,9 +2,10 @@
 
 import collections
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from attesta.llm import warc_bundles
+from attesta.llm import jaccard_join, shared, warc_bundles
 
 
 def test_small_and_repeated_payloads_are_dealt_out(spark):
@@ -31,3 +32,42 @@ def test_small_and_repeated_payloads_are_dealt_out(spark):
     for r in rows:
         want = first.get(r.payload) if len(r.payload) >= 100 and groups[r.payload] > 1 and r.page_id != first.get(r.payload) else None
         assert r.refers_to == want
+
+
+def _shuffled(spark, job):
+    """Bytes that a job writes for exchanges, and its result."""
+    sc, jvm = spark._jsc.sc(), spark._jvm
+    none = lambda: jvm.java.util.ArrayList()
+
+    def stages() -> dict[int, int]:
+        sc.listenerBus().waitUntilEmpty()
+        got = sc.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none())
+        return {got.apply(i).stageId(): got.apply(i).shuffleWriteBytes() for i in range(got.size())}
+
+    before = stages()
+    out = job()
+    return sum(n for k, n in stages().items() if k not in before), out
+
+
+def test_near_copies_deal_out_little(spark):
+    """Shingles of one prefix, texts of no list and rows that stay are in no exchange, whose files stay until the driver collects its garbage."""
+    rng = np.random.default_rng(7)
+    made = [(i, " ".join(map(str, rng.integers(1 << 40, size=400)))) for i in range(300)]
+    made += [(300 + i, made[i][1] + " more") for i in range(20)] + made[:2]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3).cache()
+    size = sum(len(t) for _, t in made)
+    assert df.count() == len(made)
+    moved, got = _shuffled(spark, lambda: jaccard_join.jaccard_components(df).collect())
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, i - 300 if i >= 300 else i) for i, _ in made)
+    assert moved < size / 2
+    df.unpersist()
+
+
+def test_rows_that_may_be_in_a_table(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 100 > 0, F.col("id")).alias("a b"), F.lit(1).alias("part"))
+    among = df.where("`a b` % 7 = 3").select("a b")
+    got = shared.may_be_in(df, "a b", among, "may").collect()
+    assert len(got) == 5000 and got[0].asDict().keys() == {"a b", "part", "may"}
+    assert all(r["may"] for r in got if (r["a b"] or 0) % 7 == 3) and sum(r["may"] for r in got) < 5000 / 7 * 1.7
+    assert shared.may_be_in(df, "a b", among.limit(0)).count() == 0
+    assert 700 < shared.may_be_in(df, "a b", among).count() < 1300
