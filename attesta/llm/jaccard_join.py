@@ -25,6 +25,9 @@ intersection has at least ``percent`` in a hundred of the union.
    in chunks; what the hub has linked needs no look at each other. So no task has
    more than a cell, however many sets a list has. Only texts of sets in a list
    are dealt out, each in Zstandard from the first exchange on.
+   Before that, sets of lists of one cell are sieved by sketches, a bit for the
+   parity of the shingles that fall on it: sketches differ in no more bits than
+   their sets in shingles, so what can't link with any other goes without its text.
 6. Components of all groups are merged.
 
 Defined results: a null or empty text has an empty set, no link, and its own id
@@ -422,6 +425,80 @@ def _zipped(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, text binary")
 
 
+def _sketches(docs: DataFrame, k: int) -> DataFrame:
+    """Rows of (row, text) -> row, size of the set, and its sketch: two to four bits a shingle, a power of two of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in texts(b.column("text")):
+                value, off = shingles(t, k)
+                n, value, made = np.diff(off), mix(value), []
+                for d in range(len(t)):
+                    bits = 1 << max(6, int(2 * n[d] - 1).bit_length())
+                    at = (value[off[d] : off[d + 1]] & np.uint64(bits - 1)).astype(np.int64)
+                    made.append(np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(t.first, len(t)), pa.array(n.astype(np.int64)), pa.array(made, pa.binary())], names=["row", "n", "sketch"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, n long, sketch binary")
+
+
+def may_have_link(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which of different sets may link with another of them, by sizes and sketches."""
+    keep = np.zeros(len(n), bool)
+    size = np.array([len(x) for x in sketches])
+    for width in np.unique(size):  # sets that link differ in size by less than half: sketches are as long, or twice as long
+        if 2 * percent < 100:
+            keep[:] = True
+            break
+        at = np.r_[np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)]
+        own = int((size == width).sum())
+        bits = np.frombuffer(b"".join(sketches[i] for i in at[:own]), np.uint64).reshape(own, -1)
+        if len(at) > own:
+            twice = np.frombuffer(b"".join(sketches[i] for i in at[own:]), np.uint64).reshape(len(at) - own, 2, -1)
+            bits = np.r_[bits, twice[:, 0] ^ twice[:, 1]]
+        for i in range(own):
+            apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1, dtype=np.int64)
+            both = n[at[i]] + n[at[i + 1 :]]
+            ok = at[i + 1 :][(both - apart) // 2 >= least_overlap(n[at[i]], n[at[i + 1 :]], percent)]
+            if len(ok):
+                keep[at[i]] = keep[ok] = True
+    return keep
+
+
+def _sieve(members: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``_deal``, of lists of one cell, with n and sketch -> those that may link with another of their list."""
+    out = [c for c in members.columns if c not in ("n", "sketch")]
+
+    def kept(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        hub, key, n, sketch = t["hub"].to_numpy(), t["key"].to_numpy(), t["n"].to_numpy(), t["sketch"].to_pylist()
+        head = same(hub)
+        begin = np.flatnonzero(head)
+        fresh = np.flatnonzero(head | np.r_[True, key[1:] != key[:-1]])  # a row may be there repeatedly
+        keep = np.zeros(len(t), bool)
+        for a, b in zip(*(np.searchsorted(fresh, x) for x in (begin, np.r_[begin[1:], len(t)])), strict=True):
+            at = fresh[a:b]
+            if len(at) > 1:
+                keep[at] = may_have_link(n[at], [sketch[i] for i in at], percent)
+        yield from t.select(out).filter(pa.array(keep)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            hub = b.column("hub").to_numpy()
+            if not len(hub):
+                continue
+            last = int(np.searchsorted(hub, hub[-1]))  # where the list begins that may go on
+            if last or held and held[-1].column("hub")[-1].as_py() != hub[0]:
+                yield from kept(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from kept(pa.Table.from_batches(held))
+
+    kinds = dict(members.dtypes)
+    return members.repartition("hub").sortWithinPartitions("hub", "key").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in out))
+
+
 def _unzipped(column: pa.Array, limit: int = 1 << 19) -> Iterator[Texts]:
     """As ``texts``, of a column of ``_zipped``."""
     press, held, first = zstandard.ZstdDecompressor(), [], 0
@@ -545,8 +622,11 @@ def _components(docs: DataFrame, k: int, percent: int, chunk: int) -> tuple[Data
     classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.count("*").alias("n"))
     dealt = write_table(_deal(members.select("hub", "key"), chunk).join(classes.select("key", "row"), "key"), "jaccard-cells")
     drop_table(members)
-    held = _zipped(may_be_in(docs.select("row", "text"), "row", dealt.select("row").distinct()))
-    found = write_table(_resolve(dealt.join(held, "row"), k, percent), "jaccard-links")
+    read = lambda rows: may_be_in(docs.select("row", "text"), "row", rows.select("row").distinct())
+    short = dealt.where("parts = 1")
+    sieved = write_table(_sieve(short.join(_sketches(read(short), k), "row"), percent).select(dealt.columns).union(dealt.where("parts > 1")), "jaccard-sieved")
+    found = write_table(_resolve(sieved.join(_zipped(read(sieved)), "row"), k, percent), "jaccard-links")
+    drop_table(sieved)
     links = found.where("kind = 0").select("a", "b")
     apart = found.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("key"))
     if apart.head(1):
@@ -582,8 +662,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     best = sets.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
     firsts = best.join(classes.select("key", "root"), "key")
     mine = F.coalesce("root", "key")  # a component's name is the key of one of its sets
-    row = "attesta near row"
-    winners = firsts.groupBy(mine.alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = docs.where(~wordless).withColumn(row, _row()).join(winners, row, "left_semi").dropDuplicates([row]).drop(row)
-    return kept.unionByName(docs.where(wordless))
+    winners = firsts.groupBy(mine.alias("root")).agg(F.min("first").alias("first")).select("first.row", F.lit(True).alias("wins"))
+    # most rows stay, and need no exchange: only those that may go, or may be repeated, are looked at by row
+    row, may = "attesta near row", "attesta near may"
+    times = sets.where("n > 0").groupBy("row").agg(F.count("*").alias("times"))
+    doubt = write_table(times.join(winners, "row", "left").where("wins IS NULL OR times > 1").select(F.col("row").alias(row), "wins"), "jaccard-doubt")
+    marked = may_be_in(docs.withColumn(row, _row()), row, doubt.select(row), may)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    held = marked.where(worded & F.col(f"`{may}`")).drop(may)
+    kept = held.join(doubt.where("wins IS NULL").select(row), row, "left_anti").dropDuplicates([row]).drop(row)
+    return kept.unionByName(marked.where(~(worded & F.col(f"`{may}`"))).drop(row, may))

@@ -60,9 +60,30 @@ def test_near_copies_deal_out_little(spark):
     moved, got = _shuffled(spark, lambda: jaccard_join.jaccard_components(df).collect())
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, i - 300 if i >= 300 else i) for i, _ in made)
     assert moved < size / 2
+    moved, got = _shuffled(spark, lambda: jaccard_join.keep_one(df).collect())
+    assert sorted((r.doc_id, r.text) for r in got) == made[:300]
+    assert moved < size / 2
     df.unpersist()
 
 
+def test_sketches_keep_all_that_link(spark):
+    """Sets in lists of one shingle: all with a link are kept, whatever the sizes, most without one are not."""
+    rng = np.random.default_rng(11)
+    sets = [set(rng.integers(1 << 40, size=int(n)).tolist()) for n in rng.integers(2, 900, size=60)]
+    for s in sets[:30]:  # sets of other sizes that just link, or just don't
+        for share in (0.82, 0.79):
+            sets.append(set(list(s)[: max(1, int(len(s) * share))]))
+    df = spark.createDataFrame([(i, " ".join(map(str, s))) for i, s in enumerate(sets)], "row long, text string")
+    got = {r.row: r for r in jaccard_join._sketches(df, 1).collect()}
+    n, sketches = np.array([got[i].n for i in range(len(sets))]), [bytes(got[i].sketch) for i in range(len(sets))]
+    assert n.tolist() == [len(s) for s in sets]
+    for percent in (40, 50, 80, 100):
+        keep = jaccard_join.may_have_link(n, sketches, percent)
+        linked = [any(100 * len(s & t) >= percent * len(s | t) for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)]
+        assert all(keep[np.flatnonzero(linked)])
+        assert percent < 80 or keep.sum() < sum(linked) + 25
+
+
 def test_rows_that_may_be_in_a_table(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 100 > 0, F.col("id")).alias("a b"), F.lit(1).alias("part"))
     among = df.where("`a b` % 7 = 3").select("a b")
